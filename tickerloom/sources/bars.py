@@ -48,12 +48,9 @@ def recent_history(bars: DataFrame, as_of: dt.date, days: int = 2000) -> DataFra
 
 
 def bars_in_range_of(bars: DataFrame, other: DataFrame, date: str = "date") -> DataFrame:
-    """S-3: bars between the first and last date of another table (one-row join)."""
-    span = other.agg(F.min(date).alias("_lo"), F.max(date).alias("_hi"))
-    return (
-        bars.join(F.broadcast(span), F.col("date").between(F.col("_lo"), F.col("_hi")))
-        .drop("_lo", "_hi")
-    )
+    """S-3: bars between the first and last date of another table."""
+    first, last = other.agg(F.min(date)), other.agg(F.max(date))
+    return bars.filter(F.col("date").between(first.scalar(), last.scalar()))
 
 
 def local_date(ts, tz: str = "Europe/Istanbul"):
