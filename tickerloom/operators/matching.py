@@ -62,15 +62,14 @@ def names_to_match(companies: DataFrame) -> DataFrame:
 
 def shingles(content: Column, n: Column) -> Column:
     """Distinct runs of n words of the upper-cased text."""
-    tokens = words(F.upper(content))
-    return F.when(
-        F.size(tokens) >= n,
-        F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " ")
-            )
-        ),
-    )
+    # The words are bound once: an expression inside the inner function would be
+    # evaluated again for every run.
+    def runs(tokens: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(tokens) - n + 1)
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+        return F.when(F.size(tokens) >= n, F.array_distinct(joined))
+
+    return F.transform(F.array(words(F.upper(content))), runs)[0]
 
 
 def letters(x: Column) -> Column:
