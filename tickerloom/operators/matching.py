@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.jaro import PREFIX, SCALE, jaro_winkler
 from tickerloom.functions.text import WORD, clean_company_name, strip, words
-from tickerloom.session import broadcast_if_small
+from tickerloom.session import broadcast_if_small, spread
 
 c = F.col
 
@@ -90,15 +90,22 @@ def possible(threshold: float) -> Column:
     least (t - 0.1p) / (1 - 0.1p), hence m/|a| + m/|b| >= 3J - 1 for m matched
     characters; characters found on one side only cannot be matched.
     """
-    needed = F.lit(3 * threshold - 1)
-    for p in range(1, PREFIX + 1):
-        j = max(0.0, (threshold - SCALE * p) / (1 - SCALE * p))
-        same = F.left("cleaned_name", F.lit(p)) == F.left("shingle", F.lit(p))
-        needed = F.when(same, 3 * j - 1).otherwise(needed)
+    def least_sum(p: int) -> float:
+        return 3 * max(0.0, (threshold - SCALE * p) / (1 - SCALE * p)) - 1
+
+    def differs(p: int) -> Column:
+        return F.left("cleaned_name", F.lit(p)) != F.left("shingle", F.lit(p))
+
+    # Tried in order, and most pairs differ in the first character already.
+    needed = F.when(differs(1), least_sum(0))
+    for p in range(2, PREFIX + 1):
+        needed = needed.when(differs(p), least_sum(p - 1))
+    needed = needed.otherwise(least_sum(PREFIX))
     lost_a = F.bit_count(c("_mask").bitwiseAND(F.bitwise_not(c("_smask"))))
     lost_b = F.bit_count(c("_smask").bitwiseAND(F.bitwise_not(c("_mask"))))
-    upper = F.least(c("_len") - lost_a, c("_slen") - lost_b)
-    return upper / c("_len") + upper / c("_slen") >= needed - 1e-9
+    common = F.least(c("_len") - lost_a, c("_slen") - lost_b)
+    total = common / c("_len") + common / c("_slen") + 1e-9
+    return (total >= least_sum(PREFIX)) & (total >= needed)
 
 
 def fuzzy_matches(
@@ -132,7 +139,7 @@ def fuzzy_matches(
         ),
     )
     counts = sorted(r["_n"] for r in plan)
-    runs = articles.select(
+    runs = spread(articles.select("news_id", "content")).select(
         "news_id",
         F.explode(F.array(*[F.lit(n) for n in counts]) if counts else F.array().cast("array<int>")).alias("_n"),
         "content",
