@@ -346,7 +346,7 @@ add(
     "scored_latest_rows",
     lambda s, p: models.score_latest(model_features(s, p), trained(s, p), TECHNICAL, DAY),
 )
-add("compared_models", lambda s, p: models.compare_models(model_features(s, p), TECHNICAL, rounds=10, iterations=20))
+add("compared_models", lambda s, p: models.compare_models(model_features(s, p), TECHNICAL, rounds=5, iterations=10))
 add(
     "feature_group_ablation",
     lambda s, p: models.run_ablation(

@@ -101,12 +101,13 @@ def replay(
         wallets.select("wallet", F.explode(F.map_keys("portfolio")).alias("symbol"))
     ).distinct()
     nothing = F.lit(None)
+    # The opening rows have no date and sort first.
     start = wallets.select(
-        "wallet", F.lit(dt.date(1, 1, 1)).alias("date"), F.lit(0).alias("kind"), F.lit(0).alias("seq"),
+        "wallet", nothing.cast("date").alias("date"), F.lit(0).alias("kind"), F.lit(0).alias("seq"),
         nothing.cast("string").alias("symbol"), nothing.cast("int").alias("signal"), c("money").alias("value"),
     )
     held = wallets.select("wallet", F.explode("portfolio").alias("symbol", "_units")).select(
-        "wallet", F.lit(dt.date(1, 1, 1)).alias("date"), F.lit(1).alias("kind"), F.lit(0).alias("seq"),
+        "wallet", nothing.cast("date").alias("date"), F.lit(1).alias("kind"), F.lit(0).alias("seq"),
         "symbol", nothing.cast("int").alias("signal"), c("_units").cast("double").alias("value"),
     )
     quotes = universe.join(prices.filter(c("close").isNotNull()), "symbol").select(
