@@ -30,7 +30,7 @@ def split_files(files: DataFrame, key: str = "path", text: str = "value") -> Dat
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files as (path, value)."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
 
 
 def write_labelled(sentences: DataFrame, path: str) -> None:
