@@ -17,6 +17,8 @@ def local_session(cores: int | str = "*", app: str = "tickerloom", shuffle: int
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.adaptive.enabled", "true")
+        # The window stages are bound by the processor: do not merge small inputs into one task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
