@@ -11,6 +11,7 @@ from tickerloom.functions.scores import signal
 from tickerloom.functions.text import words
 from tickerloom.operators.macro import to_wide, us_series
 from tickerloom.operators.sentiment import daily_sentiment, score_articles
+from tickerloom.session import spread
 from tickerloom.sources.bars import bars_from_ticks
 
 c = F.col
@@ -33,7 +34,9 @@ def line_order():
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    columns = ["l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity",
+               "l_discount", "l_tax"]
+    li = spread(table(spark, sf_dir, "lineitem").select(*columns))
     price = c("l_extendedprice") / c("l_quantity")
     return li.select(
         c("l_suppkey").cast("string").alias("symbol"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions.scores import label_weight, score_class
 from tickerloom.functions.text import scored_sentences
 from tickerloom.operators import timeseries as ts
+from tickerloom.session import spread
 
 c = F.col
 
@@ -24,7 +25,7 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 def article_sentences(news: DataFrame) -> DataFrame:
     """F-2: one row per scored sentence."""
-    return news.select("news_id", F.posexplode(scored_sentences(c("content"))).alias("pos", "sentence"))
+    return spread(news.select("news_id", "content")).select("news_id", F.posexplode(scored_sentences(c("content"))).alias("pos", "sentence"))
 
 
 def article_scores(scored: DataFrame) -> DataFrame:
