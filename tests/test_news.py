@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 from test_text import plain_jaro_winkler
 
-from tickerloom.operators import matching, sentiment, upsert
+from tickerloom.operators import matching, ranks, sentiment, upsert
 from tickerloom.plans import news as plan
 from tickerloom.sources import articles as store
 from tickerloom.sources import company as companies
@@ -122,7 +122,7 @@ def test_company_upsert_keeps_ids_and_is_idempotent(spark):
 
 def test_number_rows_is_dense_and_ordered(spark):
     rows = spark.range(0, 5000).select((c("id") * 7919 % 100003).alias("seq")).repartition(7)
-    got = upsert.number_rows(rows, "n", start=10, buckets=16).orderBy("seq").collect()
+    got = ranks.number_rows(rows, "n", start=10).orderBy("seq").collect()
     assert [r.n for r in got] == list(range(11, 5011))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.numeric import div
+from tickerloom.operators.ranks import running_before
 
 c = F.col
 
@@ -28,7 +29,10 @@ def standardize(df: DataFrame, columns: list[str], by: str = "symbol") -> DataFr
 def stratified_split(
     df: DataFrame, key: list[str], label: str = "target", by: str = "symbol", share: float = 0.1, seed: str = "42"
 ) -> DataFrame:
-    """M-2: marks ``share`` of each (group, label) as validation, in hash order."""
+    """M-2: marks ``share`` of each (group, label) as validation, in hash order.
+
+    A group is ranked in one task: use it for groups that the calendar bounds.
+    """
     order = F.md5(F.concat_ws("|", *[q(k).cast("string") for k in key], F.lit(seed)))
     w = Window.partitionBy(by, label).orderBy(order, *key)
     n = F.count(F.lit(1)).over(Window.partitionBy(by, label))
@@ -66,7 +70,7 @@ def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None)
         )
         ranked = at.withColumn("_below", below)
     else:
-        ranked = _running_below(at)
+        ranked = running_before(at, "_s", "_n")
     return (
         ranked.groupBy(*by)
         .agg(
@@ -79,19 +83,6 @@ def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None)
     )
 
 
-def _running_below(at: DataFrame, buckets: int = 64) -> DataFrame:
-    """Negatives below each score over all rows, in buckets cut at quantiles."""
-    bounds = at.approxQuantile("_s", [i / buckets for i in range(1, buckets)], 0.001)
-    cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
-    cut = at.withColumn("_bucket", F.size(F.filter(cuts, lambda b: b <= c("_s"))))
-    inside = Window.partitionBy("_bucket").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut.groupBy("_bucket").agg(F.sum("_n").alias("_sum"))
-    offsets = sums.select("_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
-    out = cut.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    return out.join(F.broadcast(offsets), "_bucket").withColumn("_below", c("_in") + c("_off"))
-
-
 def confusion(df: DataFrame, label: str, pred: str, by: list[str] | None = None) -> DataFrame:
     """M-9: rows per (label, prediction)."""
     return df.groupBy(*(by or []), q(label).alias("label"), q(pred).alias("pred")).agg(

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickerloom.operators.ranks import quantiles
+
 c = F.col
 
 
@@ -31,25 +33,23 @@ def with_calendar(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """A-5: one row per column. The quartiles are exact."""
-    aggs = []
+    out = None
     for n in columns:
         x = q(n)
-        aggs += [
-            F.struct(
-                F.lit(n).alias("column"),
-                F.count(x).alias("count"),
-                F.avg(x).alias("mean"),
-                F.stddev_samp(x).alias("std"),
-                F.min(x).alias("min"),
-                F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"),
-                F.max(x).alias("max"),
-            )
-        ]
-    row = df.agg(F.array(*aggs).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
-    return row.select(
-        "column", "count", "mean", "std", "min",
-        c("p")[0].alias("p25"), c("p")[1].alias("p50"), c("p")[2].alias("p75"), "max",
-    )
+        quartiles = quantiles(df, n, [0.25, 0.5, 0.75]).select(F.struct("q0", "q1", "q2")).scalar()
+        row = df.agg(
+            F.count(x).alias("count"),
+            F.avg(x).alias("mean"),
+            F.stddev_samp(x).alias("std"),
+            F.min(x).alias("min"),
+            F.max(x).alias("max"),
+        ).withColumn("_q", quartiles)
+        row = row.select(
+            F.lit(n).alias("column"), "count", "mean", "std", "min",
+            c("_q.q0").alias("p25"), c("_q.q1").alias("p50"), c("_q.q2").alias("p75"), "max",
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -74,7 +74,7 @@ def schema_of(df: DataFrame) -> DataFrame:
 def frequencies(df: DataFrame, by: str) -> DataFrame:
     """A-8: count and share per value, most frequent first."""
     counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy())
+    total = df.agg(F.count(F.lit(1))).scalar()
     return counts.withColumn("share", c("count") / total).orderBy(c("count").desc(), by)
 
 
@@ -97,7 +97,10 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
 
 
 def box_stats(df: DataFrame, by: str, column: str) -> DataFrame:
-    """A-13: quartiles and whiskers (1.5 interquartile ranges) of a column per group."""
+    """A-13: quartiles and whiskers (1.5 interquartile ranges) of a column per group.
+
+    The exact quartiles of a group are found in one task; a symbol's bars are few.
+    """
     x = q(column)
     quart = df.groupBy(by).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_p"))
     quart = quart.select(by, c("_p")[0].alias("p25"), c("_p")[1].alias("p50"), c("_p")[2].alias("p75"))

@@ -7,9 +7,10 @@ New ids continue after the greatest stored id, without collecting the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickerloom.operators.ranks import number_rows
 from tickerloom.session import broadcast_if_small
 
 c = F.col
@@ -25,28 +26,6 @@ def keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     )
 
 
-def number_rows(df: DataFrame, name: str, order: str = "seq", start: int = 0, buckets: int = 64) -> DataFrame:
-    """Consecutive numbers in the order of a unique numeric column, in parallel.
-
-    Rows are cut into buckets at quantiles of the column (literal bounds, so a
-    recomputed task cuts alike), numbered inside their bucket and shifted by the
-    sizes of the buckets before.
-    """
-    bounds = df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)
-    cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
-    cut = df.withColumn("_bucket", F.size(F.filter(cuts, lambda b: b <= c(order).cast("double"))))
-    numbered = cut.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(order)))
-    sizes = cut.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"))
-    # At most ``buckets`` rows are broadcast.
-    return (
-        numbered.join(F.broadcast(offsets), "_bucket")
-        .withColumn(name, (c("_rn") + c("_off") + start).cast("bigint"))
-        .drop("_bucket", "_rn", "_off")
-    )
-
-
 def _max_id(df: DataFrame, name: str) -> int:
     return df.agg(F.max(name)).first()[0] or 0
 
