@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import datasets as d
-from checks.market import TARGET, TECH, keyed, rounds
+from checks.market import TARGET, TECH, rounds
 from checks.news_sql import SCORED
 from checks.sqltools import BARS, W, ffill, lag, pct, roll, rounded, with_
 from tickerloom.operators import macro, sentiment
