@@ -28,8 +28,8 @@ HELD = 1_500_000
 KEY = 6
 #: Parts that the suffix filter cuts a set into.
 PARTS = 8
-#: While this many pairs a prefix row would meet, sets are first compared with one more central set of each bucket.
-PAIRS_A_ROW = 4
+#: While more pairs than this would meet on a shingle on average, sets are first compared with one more central set.
+PAIRS_A_TOKEN = 16
 CENTRES = 3
 
 
@@ -305,11 +305,12 @@ def _central_links(rows: DataFrame, sets: DataFrame, percent: int, folder: str):
 
     for turn in range(CENTRES):
         now = label(rows)
-        crowd = now.groupBy("token", "home").count().groupBy("token")
-        left = crowd.agg((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("pairs"))
-        left, total = left.agg(F.sum("pairs")).first()[0] or 0, rows.count()
-        if left <= 2 * PAIRS_A_ROW * total:
-            break
+        if turn:
+            crowd = now.groupBy("token", "home").count().groupBy("token")
+            left = crowd.agg((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("pairs"))
+            left, total = left.agg(F.sum("pairs"), F.count("*")).first()
+            if (left or 0) <= 2 * PAIRS_A_TOKEN * total:
+                break
         # The first centre has the fewest rare shingles; later ones come from other components.
         by = [F.col("at") / F.col("n"), "n", "set"] if turn == 0 else [F.xxhash64("home", F.lit(turn)), F.col("at") / F.col("n"), "set"]
         centre = now.groupBy("token").agg(F.min(F.struct(*[F.col(c).alias(f"k{i}") if isinstance(c, str) else c.alias(f"k{i}") for i, c in enumerate(by)], "n", "at", "parts", F.col("set").alias("who"), F.col("home").alias("of"))).alias("c"), F.count("*").alias("m"))

@@ -2,18 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .ngram_join import ngram_components
+from . import language, mixing, ngram_join, packing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(parts: int) -> Column:
+    """Remainder of the crc32 of the document's id as text."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(_fold(3) == 1, F.lit(False)))
+    return language.with_language(docs, docs.where("not held_out"), ["doc_id", "held_out"])
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity_scores(docs, _table(spark, sf_dir, "labels")).withColumn("held_out", F.coalesce(_fold(5) == 0, F.lit(False)))
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, score, predicted) learned from the labels of ``docs``: folds 1 to 3 of 5 are counted, fold 4 is fitted
+    on, fold 0 stays out."""
+    labels = labels.select("doc_id", "toxic")
+    counted = docs.where(_fold(5).isin(1, 2, 3)).join(labels.where(_fold(5).isin(1, 2, 3)), "doc_id").select("text", "toxic")
+    fitted = docs.where(_fold(5) == 4).join(toxicity.fit_labels(labels.where(_fold(5) == 4)), "doc_id").select("text", "toxic")
+    return toxicity.with_toxicity(docs, counted, fitted, ["doc_id"])
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ngram_join.ngram_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_source_mix": op3_source_mix,
+    "op5_toxicity": op5_toxicity,
+    "op8_packing": op8_packing,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+}
 ORACLES: dict[str, str] = {}
