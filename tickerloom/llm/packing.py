@@ -28,7 +28,7 @@ STEP = 8
 END = 1
 SPECIAL = {"<|endoftext|>": 50256}
 #: The program stops when its value is proven to be within this share of the best.
-GAP = 1e-5
+GAP = 1e-4
 #: Parts of a class, for ranking its pieces.
 PARTS = 1024
 
@@ -98,66 +98,97 @@ def _best_pattern(values: np.ndarray, widths: np.ndarray, room: int) -> tuple[fl
 
 
 def cutting_stock(demand: dict[int, int], room: int, gap: float = GAP, rounds: int = 20_000) -> list[tuple[dict[int, int], int]]:
-    """Patterns {width: pieces} and how often each is used, so that exactly ``demand`` {width: pieces} is placed."""
+    """Patterns {width: places} and how often each is used: the linear program's solution, rounded down.
+
+    A piece may take a wider place; as columns of their own these exchanges keep the prices in order, which is what makes
+    the column generation settle. It stops when its value is within ``gap`` of the proven bound.
+    """
     widths = np.array(sorted(w for w, n in demand.items() if n > 0), np.int64)
-    if not len(widths):
+    m = len(widths)
+    if not m:
         return []
     need = np.array([demand[int(w)] for w in widths], float)
-    m = len(widths)
-    columns = np.diag((room // widths).astype(float))
+    columns, cost = np.diag((room // widths).astype(float)), np.ones(m)
     inverse = np.linalg.inv(columns)
+    bound, steady = 0.0, widths / room  # the best bound yet, and its prices
     for turn in range(rounds):
         if turn % 64 == 63:
             inverse = np.linalg.inv(columns)
-        use = inverse @ need
-        prices = inverse.sum(axis=0)  # every pattern costs one sequence
-        value, pattern = _best_pattern(np.maximum(prices, 0), widths, room)
-        if value <= 1 + gap:
-            break
-        change = inverse @ pattern
+        use, prices = inverse @ need, cost @ inverse
+        steps = np.diff(prices, prepend=0)
+        k = int(steps.argmin())
+        if steps[k] < -1e-9:  # a place of this width is worth less than a narrower one: let it be exchanged
+            entering, price = np.zeros(m), 0.0
+            entering[k] = -1
+            if k:
+                entering[k - 1] = 1
+        else:
+            for weight in (0.8, 0.0):  # prices half-way to the steady ones first, which find better patterns
+                asked = weight * steady + (1 - weight) * prices
+                value, entering = _best_pattern(asked, widths, room)
+                if asked @ need / max(value, 1) > bound:
+                    bound, steady = asked @ need / max(value, 1), asked / max(value, 1)
+                if entering @ prices > 1 + 1e-9:
+                    break
+            price = 1.0
+            if cost @ use <= bound * (1 + gap) or entering @ prices <= 1 + 1e-9:
+                break
+        change = inverse @ entering
         able = np.flatnonzero(change > 1e-9)
-        if not len(able):
-            break
-        ratio = np.maximum(use[able], 0) / change[able]
-        out = able[int(ratio.argmin())]
-        columns[:, out] = pattern
+        out = able[int((np.maximum(use[able], 0) / change[able]).argmin())]
+        columns[:, out], cost[out] = entering, price
         inverse[out] /= change[out]
-        rest = np.arange(m) != out
-        inverse[rest] -= np.outer(change[rest], inverse[out])
-    use = np.floor(np.linalg.solve(columns, need) + 1e-7).clip(0)
-    left, plan = need.astype(np.int64), []
-    for k in np.flatnonzero(use):
-        pattern = columns[:, k].astype(np.int64)
-        inside = pattern > 0
-        times = int(min(use[k], (left[inside] // pattern[inside]).min()))
-        if times:
-            left -= times * pattern
-            plan.append(({int(widths[i]): int(pattern[i]) for i in np.flatnonzero(pattern)}, times))
-    while left.any():  # a few pieces: largest first into each sequence, alike sequences at once
-        free, pattern = room, {}
-        for i in range(m - 1, -1, -1):
-            n = int(min(left[i], free // widths[i]))
-            if n:
-                pattern[int(widths[i])], free = n, free - n * int(widths[i])
-        times = int(min(left[np.searchsorted(widths, w)] // n for w, n in pattern.items()))
-        for w, n in pattern.items():
-            left[np.searchsorted(widths, w)] -= n * times
-        plan.append((pattern, times))
-    return plan
-
-
-def _places(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
-    """For each class: rows (first rank, first sequence, place in the sequence), by rank."""
-    taken, base, out = {}, 0, {}
+        others = np.arange(m) != out
+        inverse[others] -= np.outer(change[others], inverse[out])
+    use = np.floor(np.linalg.solve(columns, need) + 1e-7)
+    return [
+        ({int(widths[i]): int(columns[i, k]) for i in np.flatnonzero(columns[:, k])}, int(use[k]))
+        for k in np.flatnonzero((use > 0) & (cost > 0))
+    ]
+
+
+def assigned_places(demand: dict[int, int], room: int) -> dict[int, np.ndarray]:
+    """For each width, rows (first rank, first sequence, place in the sequence) by rank: the patterns' places go to the
+    widest pieces first; pieces without a place are packed largest first, alike sequences at once."""
+    left, base, open_, out = dict(demand), 0, [], {w: [] for w in demand}
+    plan = cutting_stock(demand, room)
+    free: dict[int, list[list[int]]] = {}
     for pattern, times in plan:
         place = 0
         for width in sorted(pattern, reverse=True):
             for _ in range(pattern[width]):
-                out.setdefault(width, []).append((taken.get(width, 0), base, place))
-                taken[width] = taken.get(width, 0) + times
+                free.setdefault(width, []).append([base, times, place])
+                place += 1
+        base += times
+
+    def take(width: int, first: int, times: int, place: int) -> None:
+        out[width].append((demand[width] - left[width], first, place))
+        left[width] -= times
+
+    for width in sorted({*demand, *free}, reverse=True):
+        open_ += free.get(width, [])
+        while open_ and left.get(width):
+            first, times, place = open_.pop()
+            now = min(times, left[width])
+            take(width, first, now, place)
+            if now < times:
+                open_.append([first + now, times - now, place])
+    rest = sorted((w for w, n in left.items() if n), reverse=True)
+    while rest:
+        space, pattern = room, []
+        for w in rest:
+            n = min(left[w], space // w)
+            if n:
+                pattern.append((w, n))
+                space -= n * w
+        times, place = min(left[w] // n for w, n in pattern), 0
+        for w, n in pattern:
+            for _ in range(n):
+                take(w, base, times, place)
                 place += 1
         base += times
-    return {w: np.array(rows, np.int64) for w, rows in out.items()}
+        rest = [w for w in rest if left[w]]
+    return {w: np.array(rows, np.int64) for w, rows in out.items() if rows}
 
 
 def _placed(places: dict[int, np.ndarray]):
@@ -190,7 +221,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     pieces = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(PARTS)).cast("int"))
     parts = stored(pieces.groupBy("_class", "_part").agg(F.count("*").alias("n")), folder, "parts")
     demand = {r[0]: r[1] for r in parts.groupBy("_class").agg(F.sum("n")).collect()}  # size / step classes at most
-    places = _places(cutting_stock(demand, size // step))
+    places = assigned_places(demand, size // step)
     before = Window.partitionBy("_class").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("_class", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     along = Window.partitionBy("_class", "_part").orderBy("doc_id", "start", "ids_crc32")
