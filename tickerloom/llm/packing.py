@@ -107,7 +107,9 @@ def cutting_stock(demand: dict[int, int], room: int, gap: float = GAP, rounds: i
     m = len(widths)
     if not m:
         return []
-    need = np.array([demand[int(w)] for w in widths], float)
+    exact = np.array([demand[int(w)] for w in widths], float)
+    # A trifle more of each width, never alike, so that no step of the program stands still.
+    need = exact + 1e-6 * np.random.default_rng(m).uniform(1, 2, m)
     columns, cost = np.diag((room // widths).astype(float)), np.ones(m)
     inverse = np.linalg.inv(columns)
     bound, steady = 0.0, widths / room  # the best bound yet, and its prices
@@ -140,7 +142,7 @@ def cutting_stock(demand: dict[int, int], room: int, gap: float = GAP, rounds: i
         inverse[out] /= change[out]
         others = np.arange(m) != out
         inverse[others] -= np.outer(change[others], inverse[out])
-    use = np.floor(np.linalg.solve(columns, need) + 1e-7)
+    use = np.floor(np.linalg.solve(columns, exact) + 1e-7)
     return [
         ({int(widths[i]): int(columns[i, k]) for i in np.flatnonzero(columns[:, k])}, int(use[k]))
         for k in np.flatnonzero((use > 0) & (cost > 0))
