@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, mixing, ngram_join, packing, toxicity, urls, vantage, voronoi
+from . import chat, language, mixing, ngram_join, packing, private, toxicity, urls, vantage, voronoi
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,20 +39,21 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity_scores(docs, _table(spark, sf_dir, "labels")).withColumn("held_out", F.coalesce(_fold(5) == 0, F.lit(False)))
+    return toxicity_scores(docs, _table(spark, sf_dir, "labels"), ["doc_id"]).withColumn("held_out", F.coalesce(_fold(5) == 0, F.lit(False)))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged_urls(_table(spark, sf_dir, "pages"))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, score, predicted) learned from the labels of ``docs``: folds 1 to 3 of 5 are counted, fold 4 is fitted
-    on, fold 0 stays out."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every row with score and prediction, learned from the labels of ``docs``: folds 1 to 3 of
+    5 are counted, fold 4 is fitted on, fold 0 stays out."""
     labels = labels.select("doc_id", "toxic")
-    counted = docs.where(_fold(5).isin(1, 2, 3)).join(labels.where(_fold(5).isin(1, 2, 3)), "doc_id").select("text", "toxic")
-    fitted = docs.where(_fold(5) == 4).join(toxicity.fit_labels(labels.where(_fold(5) == 4)), "doc_id").select("text", "toxic")
-    return toxicity.with_toxicity(docs, counted, fitted, ["doc_id"])
+    texts = docs.select("doc_id", "text")
+    counted = texts.where(_fold(5).isin(1, 2, 3)).join(labels.where(_fold(5).isin(1, 2, 3)), "doc_id").select("text", "toxic")
+    fitted = texts.where(_fold(5) == 4).join(toxicity.fit_labels(labels.where(_fold(5) == 4)), "doc_id").select("text", "toxic")
+    return toxicity.with_toxicity(docs, counted, fitted, keep)
 
 
 def op7_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -76,6 +81,7 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_vantage_point_search": op7_vantage_point_search,
     "op8_packing": op8_packing,
+    "op9_personal_data": op9_personal_data,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
