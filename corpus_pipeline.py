@@ -1,13 +1,67 @@
-"""Stages that turn raw documents into packed training sequences."""
+"""From raw documents to packed training sequences: five stages, each over all that the one before kept.
+
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, and all but the last
+return the columns of ``docs``. Rows with a null id and repeated rows pass each stage as its docstring says.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickerloom.llm import mixing, ngram_join, packing, private, queries
+from tickerloom.llm.storage import shared_folder, stored
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score, learned from ``labels``, stays below a half. Rows without an id are judged too."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    names = docs.columns
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "text")
+    scored = queries.toxicity_scores(packed.select("doc_id", "text", "_row"), labels, ["_row"])
+    return scored.where("predicted = 0").select("_row.*")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group that 5-word shingles with a Jaccard similarity of 0.75 link.
+
+    Rows that repeat an id stay together, and rows without an id stay.
+    """
+    groups = ngram_join.ngram_components(docs.select("doc_id", "text"))
+    gone = groups.where("component_id < doc_id").select("doc_id")
+    return docs.join(stored(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their personal data replaced by its kind in brackets."""
+    return private.redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix takes them, the last one of a source in part."""
+    return mixing.mix_rows(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences of 2048 tokens; a document that is repeated is packed as often."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("PII", hide_personal_data),
+    ("mixing sources", mix_sources),
+    ("packing", pack),
+]
+
+#: Language-model scores, tokenizers and the cutting-stock program have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on ``documents``, each one's result written to the shared folder and read again."""
+    folder, docs = shared_folder(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stored(stage(spark, docs, sf_dir), folder, f"stage-{k}")
     return docs
