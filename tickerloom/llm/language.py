@@ -36,7 +36,7 @@ def _grams(codes: np.ndarray, buckets: int, longest: int) -> Iterator[np.ndarray
         if n > 2:
             inside[:m] |= gap[n - 2 : n - 2 + m]
         bucket = (words.mix(key) & np.uint64(buckets - 1)).astype(np.int64)
-        bucket[:m][inside[:m] | (gap[:m] & gap[n - 1 :])] = buckets
+        bucket[:m][inside[:m] if n > 2 else gap[:m] & gap[n - 1 :]] = buckets
         bucket[m:] = buckets
         yield bucket
 
