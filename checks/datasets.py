@@ -11,7 +11,6 @@ from tickerloom.functions.scores import signal
 from tickerloom.functions.text import words
 from tickerloom.operators.macro import to_wide, us_series
 from tickerloom.operators.sentiment import daily_sentiment, score_articles
-from tickerloom.session import spread
 from tickerloom.sources.bars import bars_from_ticks
 
 c = F.col
@@ -36,7 +35,7 @@ def line_order():
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity",
                "l_discount", "l_tax"]
-    li = spread(table(spark, sf_dir, "lineitem").select(*columns))
+    li = table(spark, sf_dir, "lineitem").select(*columns)
     price = c("l_extendedprice") / c("l_quantity")
     return li.select(
         c("l_suppkey").cast("string").alias("symbol"),
@@ -67,12 +66,11 @@ US = {"F": "Fed Faiz Oranı", "O": "10Y Tahvil Faizi", "P": "2Y Tahvil Faizi"}
 
 
 def macro_long(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
-    """Mean order value per day and class, on weekdays."""
+    """Mean order value per day and class."""
     orders = table(spark, sf_dir, "orders").select(
         c(by).alias("series"), c("o_orderdate").cast("date").alias("date"), "o_totalprice"
     )
-    weekday = ~F.dayofweek("date").isin(1, 7)
-    return orders.filter(weekday).groupBy("series", "date").agg(F.avg("o_totalprice").alias("value"))
+    return orders.groupBy("series", "date").agg(F.avg("o_totalprice").alias("value"))
 
 
 def fx(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,11 +111,11 @@ def company(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each article names two companies, of as many as there are."""
     ids = table(spark, sf_dir, "documents").select(c("doc_id").alias("news_id"))
-    links = ids.select(
-        "news_id", F.explode(F.array(c("news_id") % 100, (c("news_id") * 31 + 7) % 100)).alias("company_id")
-    ).distinct()
-    return links.join(company(spark, sf_dir).select("company_id"), "company_id", "left_semi").select(
+    n = company(spark, sf_dir).agg(F.count("*")).scalar()
+    links = ids.select("news_id", F.explode(F.array(c("news_id") % n, (c("news_id") * 31 + 7) % n)).alias("company_id"))
+    return links.distinct().join(company(spark, sf_dir).select("company_id"), "company_id", "left_semi").select(
         "news_id", "company_id"
     )
 

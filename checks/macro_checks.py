@@ -24,7 +24,7 @@ def add(name, query, sql=None):
 
 def long_sql(name, by):
     return f"""{name}_long AS (SELECT {by} AS series, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS value
-    FROM orders WHERE isodow(o_orderdate) < 6 GROUP BY 1, 2)"""
+    FROM orders GROUP BY 1, 2)"""
 
 
 def wide_sql(name, columns):

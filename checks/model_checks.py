@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks import datasets as d
 from checks.market import TARGET, keyed, rounds
-from checks.news_sql import COMPANY
+from checks.news_sql import ARTICLE, COMPANY, EXACT, FUZZY, LABELLED, LISTED, SENTENCES, upper
 from checks.sqltools import BARS, rounded, with_
 from tickerloom.functions import numeric, scores
 from tickerloom.operators import evaluation, explore, indicators, ledger, models, sentiment, upsert
@@ -225,7 +225,7 @@ add(
     "latest_prices",
     lambda s, p: ledger.latest_price(d.bars(s, p), DAY),
     with_(BARS, select=f"""SELECT symbol, arg_max(close, date) AS price FROM bars
-    WHERE date > {DAY_SQL} - 5 AND date <= {DAY_SQL} GROUP BY symbol"""),
+    WHERE date >= {DAY_SQL} - 5 AND date <= {DAY_SQL} GROUP BY symbol"""),
 )
 add(
     "trade_sizes",
@@ -262,7 +262,7 @@ add(
     lambda s, p: rounds(ledger.valuation(cash(s, p), holdings(s, p), ledger.latest_price(d.bars(s, p), DAY)), VAL),
     with_(
         BARS,
-        f"""pr AS (SELECT symbol, arg_max(close, date) AS price FROM bars WHERE date > {DAY_SQL} - 5 AND date <= {DAY_SQL} GROUP BY symbol),
+        f"""pr AS (SELECT symbol, arg_max(close, date) AS price FROM bars WHERE date >= {DAY_SQL} - 5 AND date <= {DAY_SQL} GROUP BY symbol),
         h AS (SELECT s_nationkey, sum((s_suppkey % 7 + 1) * price) AS v FROM supplier LEFT JOIN pr ON symbol = CAST(s_suppkey AS VARCHAR) GROUP BY 1),
         x AS (SELECT CAST(n_nationkey AS VARCHAR) AS wallet, 100000.0::DOUBLE AS money, coalesce(v, 0) AS portfolio_value,
         100000.0::DOUBLE + coalesce(v, 0) AS total FROM nation LEFT JOIN h ON s_nationkey = n_nationkey)""",
@@ -271,22 +271,6 @@ add(
 )
 
 
-def wallets(s, p):
-    return cash(s, p).withColumn("portfolio", F.create_map().cast("map<string,bigint>"))
-
-
-def replayed(s, p):
-    """Each nation's wallet trades the predictions of its suppliers."""
-    of = d.company(s, p).select("code", c("s_nationkey").cast("string").alias("wallet"))
-    mine = coded(s, p).join(of, "code")
-    intents = ledger.trade_intents(mine, keys=("wallet", "date"), suffix="")
-    return ledger.replay(intents, d.bars(s, p).select("symbol", "date", "close"), wallets(s, p))
-
-
-add("replayed_trades", replayed)
-add("cash_after_trades", lambda s, p: ledger.cash_after(wallets(s, p), replayed(s, p)))
-add("positions_after_trades", lambda s, p: ledger.positions(wallets(s, p), replayed(s, p)))
-
 # -- models -----------------------------------------------------------------------------------
 
 MIN_ROWS = 200
@@ -329,51 +313,91 @@ add(
 
 
 def model_features(s, p):
-    """Technical features of complete rows."""
-    x = indicators.add_technical(indicators.add_target(d.bars(s, p)))
-    return numeric.drop_incomplete(x)
-
-
-TECHNICAL = features.FEATURE_GROUPS["technical"]
+    """All feature groups of complete rows."""
+    return features.build_features(d.bars(s, p), d.fx(s, p), d.us(s, p), d.daily(s, p), min_rows=MIN_ROWS)
 
 
 def trained(s, p):
-    return models.train_models(model_features(s, p), TECHNICAL, F.lit(DAY))
+    return models.train_models(model_features(s, p), features.feature_columns(), F.lit(DAY))
 
 
 add("trained_models", lambda s, p: trained(s, p).select("symbol", "val_auc", "epochs_trained", "rows"))
+
+
+def given_models(s, p):
+    """Models whose weights follow from the suppliers: other columns and orders by symbol, one column that bars lack."""
+    sup = d.table(s, p, "supplier")
+    even = c("s_suppkey") % 2 == 0
+    return sup.select(
+        c("s_suppkey").cast("string").alias("symbol"),
+        F.when(even, F.array(F.lit("close"), F.lit("no such"), F.lit("volume")))
+        .otherwise(F.array(F.lit("volume"), F.lit("open"))).alias("feature_cols"),
+        F.when(even, F.array(F.lit(1000.0), F.lit(1.0), F.lit(25.0))).otherwise(F.array(F.lit(25.0), F.lit(1000.0))).alias("center"),
+        F.when(even, F.array(F.lit(500.0), F.lit(2.0), F.lit(10.0))).otherwise(F.array(F.lit(10.0), F.lit(500.0))).alias("scale"),
+        F.when(even, F.array(F.lit(0.5), F.lit(0.75), c("s_acctbal") / 10000))
+        .otherwise(F.array(c("s_acctbal") / 10000, F.lit(-0.5))).alias("weights"),
+        F.lit(0.125).alias("bias"),
+        (c("s_nationkey") / 25).alias("val_auc"),
+    )
+
+
 add(
     "scored_latest_rows",
-    lambda s, p: models.score_latest(model_features(s, p), trained(s, p), TECHNICAL, DAY),
+    lambda s, p: models.score_latest(d.bars(s, p), given_models(s, p), DAY),
+    with_(
+        BARS,
+        "last AS (SELECT symbol, arg_max(open, date) AS o, arg_max(close, date) AS c, arg_max(volume, date) AS v FROM bars GROUP BY 1)",
+        """z AS (SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 2 = 0
+        THEN (c - 1000) / 500 * 0.5::DOUBLE + (0 - 1) / 2.0::DOUBLE * 0.75::DOUBLE + (v - 25) / 10 * (s_acctbal / 10000)
+        ELSE (v - 25) / 10 * (s_acctbal / 10000) + (o - 1000) / 500 * -0.5::DOUBLE END + 0.125::DOUBLE AS z
+        FROM supplier JOIN last ON symbol = CAST(s_suppkey AS VARCHAR))""",
+        f"""pr AS (SELECT s_suppkey, s_nationkey / 25 AS model_auc, 1 / (1 + exp(-z)) AS probability FROM z),
+        sg AS (SELECT *, {SIGNAL} FROM pr)""",
+        select=f"""SELECT CAST(s_suppkey AS VARCHAR) AS code, {DAY_SQL} AS prediction_date, signal, round(probability, 4) AS probability,
+        model_auc FROM sg""",
+    ),
 )
-add("compared_models", lambda s, p: models.compare_models(model_features(s, p), TECHNICAL, rounds=5, iterations=10))
+add("compared_models", lambda s, p: models.compare_models(model_features(s, p), TECHNICAL))
 add(
     "feature_group_ablation",
     lambda s, p: models.run_ablation(
-        sentiment.add_sentiment(model_features(s, p), d.daily(s, p)), features.FEATURE_GROUPS, features.COMBINATIONS,
-        iterations=10,
+        model_features(s, p), features.FEATURE_GROUPS, features.COMBINATIONS | features.COMBINATIONS_EXTENDED
     ),
 )
 
 
-def daily_run(s, p):
-    """Train, predict and trade on the last day."""
+def training_run(s, p):
+    """Status of every symbol after a training whose histories are partly too short."""
     day = dt.date(2001, 6, 29)
-    known = d.bars(s, p).filter(c("date") <= F.lit(day))
-    table = numeric.drop_incomplete(indicators.add_technical(indicators.add_target(known)))
+    table = d.bars(s, p).withColumn("target", (c("close") > c("open")).cast("int"))
+    for k in range(models.MIN_FEATURES):
+        table = table.withColumn(f"x{k}", c("close") * (k + 1))
     company = d.company(s, p).select("company_id", "code", "name")
-    fitted, _ = trading.weekly_training(
-        table, company, s.createDataFrame([], "symbol string, trained_at timestamp"), day, groups=["technical"], min_rows=MIN_ROWS
-    )
-    empty = d.predictions(s, p).filter(F.lit(False))
-    predicted = trading.daily_predictions(table, fitted.persist(), company, empty, day, groups=["technical"])
-    wallet = d.table(s, p, "region").agg(F.lit("nn_trader").alias("wallet"), (F.count("*") * 20000.0).alias("money")).withColumn(
-        "portfolio", F.create_map().cast("map<string,bigint>")
-    )
-    return trading.daily_trades(predicted, company, known, wallet, day)
+    none = s.createDataFrame([], "symbol string, trained_at timestamp")
+    _, status = trading.weekly_training(table, company, none, day, min_rows=510, columns=[f"x{k}" for k in range(models.MIN_FEATURES)])
+    return status
 
 
-add("trading_day", daily_run)
+add(
+    "training_run",
+    training_run,
+    with_(BARS, COMPANY, "n AS (SELECT symbol, count(*) AS n FROM bars GROUP BY 1)",
+          select="""SELECT code AS symbol, CASE WHEN coalesce(n, 0) < 510 THEN 'skipped' ELSE 'trained' END AS status
+          FROM company LEFT JOIN n ON symbol = code"""),
+)
+add(
+    "trading_day",
+    lambda s, p: trading.daily_intents(d.predictions(s, p), d.company(s, p), d.bars(s, p), DAY).select("date", "seq", "symbol", "action", "price"),
+    with_(
+        BARS, PRED,
+        f"""pc AS (SELECT symbol || '.IS' AS symbol, arg_max(close, date) AS price FROM bars
+        WHERE date >= {DAY_SQL} - 5 AND date <= {DAY_SQL} GROUP BY 1)""",
+        select=f"""SELECT prediction_date AS date, CAST(row_number() OVER (ORDER BY signal > 0,
+        CASE WHEN signal > 0 THEN -signal ELSE signal END, probability DESC, CAST(company_id AS VARCHAR)) AS INTEGER) AS seq, pc.symbol,
+        CASE WHEN signal > 0 THEN 'buy' ELSE 'sell' END AS action, price FROM pred LEFT JOIN pc ON pc.symbol = company_id || '.IS'
+        WHERE prediction_date = {DAY_SQL} AND signal <> 0""",
+    ),
+)
 
 
 def polarity(s, p):
@@ -386,7 +410,7 @@ def polarity(s, p):
 
 add(
     "sentence_classifier",
-    lambda s, p: sentiment.model_scorer(sentiment.train_scorer(polarity(s, p), 4096, 10))(
+    lambda s, p: sentiment.model_scorer(sentiment.train_scorer(polarity(s, p)))(
         sentiment.article_sentences(d.news(s, p))
     )
     .groupBy("label")
@@ -394,28 +418,46 @@ add(
 )
 
 
+ART = {"code": None, "company_id": None, "articles": None, "score": 6}
+
+
 def article_run(s, p):
     """Match, score and store all articles as one batch."""
-    empty = news.Store(
-        s.createDataFrame([], "company_id bigint, code string, name string"),
-        s.createDataFrame([], "news_id bigint, url string, news_date date, news_type int, news_ratio double"),
-        s.createDataFrame([], "news_id bigint, company_id bigint"),
-    )
+    empty = news.Store(*[s.createDataFrame([], schema) for schema in (news.COMPANY, news.NEWS, news.LINKS)])
     batch = d.news(s, p).select(
         c("news_id").alias("seq"), "url", "news_date", "provider", F.upper("content").alias("content")
     )
     out = news.process_news(
-        batch, d.listed(s, p), d.hash_scorer, empty, dt.date(1995, 1, 1), F.lit("2002-01-01").cast("timestamp")
+        batch, d.listed(s, p), d.hash_scorer, empty, dt.date(1995, 1, 1), F.lit("2002-01-01").cast("timestamp"),
+        folder(s, "articles"),
     )
-    return (
+    return rounds(
         out.news.join(out.bridge, "news_id")
         .join(out.company, "company_id")
-        .groupBy("code")
-        .agg(F.count("*").alias("articles"), F.avg("news_ratio").alias("score"))
+        .groupBy("code", "company_id")
+        .agg(F.count("*").alias("articles"), F.avg("news_ratio").alias("score")),
+        ART,
     )
 
 
-add("article_pipeline", article_run)
+add(
+    "article_pipeline",
+    article_run,
+    with_(
+        LISTED,
+        f"raw AS (SELECT doc_id AS news_id, CAST(doc_id % 2500 AS INTEGER) AS day, source AS provider, {upper('text')} AS content FROM documents)",
+        """articles AS (SELECT * FROM raw a WHERE NOT EXISTS (SELECT 1 FROM raw b WHERE b.day = a.day AND b.provider = a.provider
+        AND b.news_id < a.news_id AND suffix(b.content, a.content)))""",
+        EXACT, FUZZY,
+        "m AS (SELECT news_id, code FROM exact UNION ALL SELECT news_id, code FROM fuzzy)",
+        "news AS (SELECT * FROM articles WHERE news_id IN (SELECT news_id FROM m))",
+        SENTENCES, LABELLED, ARTICLE,
+        "ids AS (SELECT code, row_number() OVER (ORDER BY min(news_id), code) AS company_id FROM m GROUP BY code)",
+        """x AS (SELECT code, company_id, count(*) AS articles, avg(news_ratio) AS score
+        FROM m JOIN ids USING (code) JOIN scored USING (news_id) GROUP BY 1, 2)""",
+        select=f"SELECT {rounded(ART)} FROM x",
+    ),
+)
 
 # -- streams ---------------------------------------------------------------------------------------
 
@@ -423,7 +465,7 @@ add("article_pipeline", article_run)
 def event_stream(s, p):
     source = s.readStream.schema(s.read.parquet(f"{p}/events.parquet").schema).parquet(f"{p}/events.parq*")
     return source.select(
-        (c("event_id") % 1000).cast("string").alias("url"),
+        F.floor(c("event_id") / 3).cast("string").alias("url"),
         c("ts").cast("timestamp").alias("published"),
         c("event_type").alias("symbol"),
         c("value").alias("score"),
@@ -453,7 +495,7 @@ add(
 add(
     "stream_distinct_articles",
     lambda s, p: drained(s, stream.deduplicated(event_stream(s, p), "40 days").select("url"), "dedup"),
-    "SELECT DISTINCT CAST(event_id % 1000 AS VARCHAR) AS url FROM events",
+    "SELECT DISTINCT CAST(event_id // 3 AS VARCHAR) AS url FROM events",
 )
 
 
@@ -464,7 +506,7 @@ def ingested(s, p):
 
     def write(batch, number):
         rows = batch.groupBy("url").agg(F.min(F.unix_micros("published")).alias("seq"))
-        new = upsert.insert_news(state["table"], rows.withColumn("seq", c("seq") * 1000 + c("url").cast("int") % 1000))
+        new = upsert.insert_news(state["table"], rows)
         new.write.mode("overwrite").parquet(f"{path}/v{number}")
         state["table"] = s.read.parquet(f"{path}/v{number}")
 
@@ -472,4 +514,4 @@ def ingested(s, p):
     return state["table"].select("url")
 
 
-add("stream_ingest", ingested, "SELECT DISTINCT CAST(event_id % 1000 AS VARCHAR) AS url FROM events")
+add("stream_ingest", ingested, "SELECT DISTINCT CAST(event_id // 3 AS VARCHAR) AS url FROM events")

@@ -388,14 +388,14 @@ add(
 
 add(
     "recent_news",
-    lambda s, p: plan.recent(d.news(s, p), dt.date(2000, 1, 1)).select("news_id", "news_date"),
-    with_(NEWS, select="SELECT news_id, news_date FROM news WHERE news_date >= DATE '1999-12-22'"),
+    lambda s, p: plan.recent(d.news(s, p), dt.date(1995, 5, 1)).select("news_id", "news_date"),
+    with_(NEWS, select="SELECT news_id, news_date FROM news WHERE news_date >= DATE '1995-04-21'"),
 )
 
 
 def incoming_companies(s, p):
     return d.table(s, p, "customer").select(
-        c("c_custkey").alias("seq"), ((c("c_custkey") * 7) % 300).cast("string").alias("code"), c("c_name").alias("name")
+        c("c_custkey").alias("seq"), F.floor(c("c_custkey") / 3).cast("string").alias("code"), c("c_name").alias("name")
     )
 
 
@@ -404,7 +404,7 @@ add(
     lambda s, p: upsert.upsert_company(d.company(s, p).select("company_id", "code", "name"), incoming_companies(s, p)),
     with_(
         COMPANY,
-        "inc AS (SELECT c_custkey AS seq, CAST(c_custkey * 7 % 300 AS VARCHAR) AS code, c_name AS name FROM customer)",
+        "inc AS (SELECT c_custkey AS seq, CAST(c_custkey // 3 AS VARCHAR) AS code, c_name AS name FROM customer)",
         "last AS (SELECT code, arg_max(name, seq) AS name, min(seq) AS seq FROM inc GROUP BY code)",
         select="""SELECT company_id, code, coalesce(l.name, c.name) AS name FROM company c LEFT JOIN last l USING (code)
         UNION ALL SELECT (SELECT max(company_id) FROM company) + row_number() OVER (ORDER BY seq), code, name FROM last
@@ -439,9 +439,9 @@ add(
     "link_articles",
     lambda s, p: upsert.link_news(
         d.bridge(s, p),
-        docs(s, p).select(c("doc_id").alias("news_id"), (c("doc_id") * 31 % 100).alias("company_id")),
+        docs(s, p).select(c("doc_id").alias("news_id"), (c("doc_id") * 31 % d.company(s, p).agg(F.count("*")).scalar()).alias("company_id")),
     ),
-    with_(BRIDGE, select="""SELECT news_id, company_id FROM bridge UNION SELECT doc_id, doc_id * 31 % 100 FROM documents"""),
+    with_(BRIDGE, select="""SELECT news_id, company_id FROM bridge UNION SELECT doc_id, doc_id * 31 % (SELECT count(*) FROM supplier) FROM documents"""),
 )
 add(
     "cascade_links",
@@ -560,7 +560,7 @@ def macro_cache(s, p):
 add(
     "macro_cache",
     macro_cache,
-    "SELECT DISTINCT o_orderstatus AS series, CAST(o_orderdate AS DATE) AS date FROM orders WHERE isodow(o_orderdate) < 6",
+    "SELECT DISTINCT o_orderstatus AS series, CAST(o_orderdate AS DATE) AS date FROM orders",
 )
 
 

@@ -15,8 +15,8 @@ COMPANY = """company AS (SELECT s_suppkey AS company_id, CAST(s_suppkey AS VARCH
   s_nationkey FROM supplier)"""
 
 BRIDGE = """bridge AS (SELECT DISTINCT news_id, company_id FROM (
-  SELECT doc_id AS news_id, doc_id % 100 AS company_id FROM documents
-  UNION ALL SELECT doc_id, (doc_id * 31 + 7) % 100 FROM documents)
+  SELECT doc_id AS news_id, doc_id % (SELECT count(*) FROM supplier) AS company_id FROM documents
+  UNION ALL SELECT doc_id, (doc_id * 31 + 7) % (SELECT count(*) FROM supplier) FROM documents)
   WHERE company_id IN (SELECT s_suppkey FROM supplier))"""
 
 

@@ -12,6 +12,7 @@ from tickerloom.plans import news as plan
 from tickerloom.sources import articles as store
 from tickerloom.sources import company as companies
 from tickerloom.sources import headlines, tables
+from tickerloom.streaming import news as stream
 
 c = F.col
 SUFFIXES = ["A\\.Ş\\.?", "A\\.S\\.?", "LTD\\.?", "ŞTİ\\.?", "TİC\\.?", "SAN\\.?", "VE", "İŞL\\.?", "PAZ\\.?"]
@@ -66,15 +67,6 @@ def test_matching_equals_brute_force(spark):
     assert len(got) == len({(r.news_id, r.code) for r in got})
 
 
-def test_several_passes_find_the_same(spark):
-    texts, listed = random_case(4)
-    articles = spark.createDataFrame(texts, "news_id long, content string")
-    listing = spark.createDataFrame(listed, "code string, name string")
-    one = matching.fuzzy_matches(articles, listing)
-    many = matching.fuzzy_matches(articles, listing, names_per_pass=4)
-    assert one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty() and not one.isEmpty()
-
-
 def test_bound_loses_no_pair(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("ABCDE ") for _ in range(rng.randint(3, 12)))
@@ -126,6 +118,86 @@ def test_number_rows_is_dense_and_ordered(spark):
     assert [r.n for r in got] == list(range(11, 5011))
 
 
+def test_ingest_stream_runs_the_article_pipeline(spark, tmp_path):
+    day = dt.date(2024, 1, 5)
+    schema = "seq int, url string, news_date date, provider string, content string"
+    line = "One long enough sentence about {} in the market."
+    files = [
+        [(1, "u1", day, "p", line.format("AAA")), (2, "u2", day, "p", line.format("nobody")), (3, "u1", day, "q", line.format("BBB"))],
+        [(4, "u4", day, "p", line.format("AAA")), (5, "u5", day, "p", line.format("BBB AAA")), (6, "u6", dt.date(2023, 1, 1), "p", line.format("CCC"))],
+        [(7, "u1", day, "r", line.format("CCC")), (8, None, day, "p", line.format("CCC AAA"))],
+    ]
+    companies_ = spark.createDataFrame([("BBB", "Bbb"), ("AAA", "Aaa"), ("CCC", "Ccc")], "code string, name string")
+    plain = lambda df: df.withColumns({"label": F.lit("LABEL_2"), "score": F.lit(0.5)})
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = stream.article_stream(spark, str(tmp_path / "in"), schema, 1)
+        write = plan.ingest(str(tmp_path / "out"), companies_, plain, dt.date(2024, 1, 10), F.lit("2024-01-10").cast("timestamp"))
+        stream.start_ingest(source, write, str(tmp_path / "state"), every=None).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out/news"))
+    # u2 matches nobody, u4's text is stored, u6 is too old, the second u1 and the third u1 are known urls.
+    assert {(r.news_id, r.url, r.news_ratio) for r in got.collect()} == {(1, "u1", 0.5), (2, "u5", 0.5), (3, "", 0.5)}
+    ids = {r.code: r.company_id for r in spark.read.parquet(str(tmp_path / "out/company")).filter("batch = 2").collect()}
+    assert ids == {"AAA": 1, "BBB": 2, "CCC": 3}
+    links = {(r.news_id, r.company_id) for r in spark.read.parquet(str(tmp_path / "out/links")).collect()}
+    assert links == {(1, 1), (2, 1), (2, 2), (3, 1), (3, 3)}
+    # A repeated batch replaces itself.
+    write(spark.createDataFrame(files[2], schema), 2)
+    assert spark.read.parquet(str(tmp_path / "out/news")).count() == 3
+
+
+def test_ids_do_not_depend_on_the_spread(spark):
+    rows = [(i // 7, f"C{i * 37 % 100:03d}", f"n{i}") for i in range(100)]
+    stored = spark.createDataFrame([(4, "C001", "old")], COMPANY)
+    incoming = spark.createDataFrame(rows, "seq int, code string, name string")
+    results = []
+    for parts in (3, 8, 13):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        results.append(sorted(map(tuple, upsert.upsert_company(stored, incoming.repartition(parts)).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert results[0] == results[1] == results[2]
+    order = [r[1] for r in results[0] if r[0] > 4]
+    first = {code: seq for seq, code, _ in rows}
+    assert order == sorted(order, key=lambda code: (first[code], code)) and [r[0] for r in results[0]] == list(range(4, 104))
+
+
+def test_buckets_keep_the_order(spark):
+    rng = random.Random(2)
+    values = [0.0, -0.0, 1.0, 2.0, -1.0, 1e-300, -1e300, 2.0**53] + [rng.uniform(-1, 1) * 10.0 ** rng.randint(-12, 12) for _ in range(3000)]
+    values += [float(v) for v in range(1, 3000)] + [2.0**k - d for k in range(1, 40) for d in (0, 2.0**-13, 1e-9)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = sorted((r.x, r.b) for r in df.select("x", ranks.bucket(c("x")).alias("b")).collect())
+    assert [b for _, b in got] == sorted(b for _, b in got)
+
+
+def test_a_batch_writes_its_own_rows_only(spark, tmp_path):
+    news = spark.createDataFrame([(5, "u1")], "news_id bigint, url string")
+    batch = spark.createDataFrame([(1, "u1"), (2, "u2"), (3, "u2")], "seq int, url string")
+    tables.append_rows(news, str(tmp_path / "news"))
+    fresh = upsert.new_news(spark.read.parquet(str(tmp_path / "news")), batch)
+    assert [tuple(r) for r in fresh.select("news_id", "url").collect()] == [(6, "u2")]
+    tables.append_rows(fresh.select("news_id", "url"), str(tmp_path / "news"))
+    assert spark.read.parquet(str(tmp_path / "news")).count() == 2
+    links = spark.createDataFrame([(1, 1)], "news_id bigint, company_id bigint")
+    more = spark.createDataFrame([(1, 1), (1, 2), (1, 2)], "news_id bigint, company_id bigint")
+    assert [tuple(r) for r in upsert.new_links(links, more).collect()] == [(1, 2)]
+    days = [dt.date(2024, 1, k) for k in (1, 2, 3)]
+    schema = "company_id bigint, signal int, probability double, model_version string, model_auc double, created_at timestamp, prediction_date date"
+    stored = spark.createDataFrame([(k, 0, 0.5, "v", None, dt.datetime(2024, 1, 1), day) for day in days for k in (1, 2)], schema)
+    path = str(tmp_path / "predictions")
+    stored.write.partitionBy("prediction_date").parquet(path)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "predictions").glob("*/part-*")}
+    incoming = spark.createDataFrame([(1, "A", days[1], 2, 0.7, "v", 0.6)], "seq int, code string, prediction_date date, signal int, probability double, model_version string, model_auc double")
+    company = spark.createDataFrame([(1, "A", "a")], COMPANY)
+    table = spark.read.parquet(path)
+    changed = upsert.changed_predictions(table, incoming, company, F.lit("2024-01-05").cast("timestamp"))
+    tables.replace_partitions(changed, path, "prediction_date")
+    got = {(r.company_id, r.prediction_date): r.signal for r in spark.read.parquet(path).collect()}
+    assert got == {(k, day): 2 if (k, day) == (1, days[1]) else 0 for day in days for k in (1, 2)}
+    kept = {f for f in before if f.exists() and f.stat().st_mtime_ns == before[f]}
+    assert kept == {f for f in before if "2024-01-02" not in str(f)}
+
+
 def test_duplicate_and_missing_urls(spark):
     stored = spark.createDataFrame([(5, "u1", "kept")], "news_id bigint, url string, content string")
     rows = [(1, "u1", "dup"), (2, "u2", "first"), (3, "u2", "second"), (4, None, "empty"), (5, "", "empty2")]
@@ -163,9 +235,7 @@ def test_stored_texts_like_a_growing_file(spark):
             files[p] += t + line
             kept.append(i)
     df = spark.createDataFrame(rows, "seq int, news_date string, provider string, content string").repartition(3)
-    got = sorted(r.seq for r in upsert.drop_stored_texts(df.filter(F.length("content") > 0)).collect())
-    # The empty text is left out: it ends every article.
-    assert got == [i for i in kept if rows[i][3]]
+    assert sorted(r.seq for r in upsert.drop_stored_texts(df).collect()) == kept
 
 
 def test_article_folders_and_text_files(spark, tmp_path):
@@ -216,7 +286,7 @@ def scorer(sentences):
     return sentences.withColumns({"label": F.when(good, "LABEL_2").otherwise("LABEL_0"), "score": F.lit(0.5)})
 
 
-def test_article_pipeline(spark):
+def test_article_pipeline(spark, tmp_path):
     day = dt.date(2024, 1, 20)
     rows = [
         (1, "u1", day, "p", "AAA has good news for all"),
@@ -232,7 +302,7 @@ def test_article_pipeline(spark):
         spark.createDataFrame([], "news_id bigint, url string, news_date date, news_type int, news_ratio double"),
         spark.createDataFrame([], "news_id bigint, company_id bigint"),
     )
-    out = plan.process_news(articles, listing, scorer, empty, day, F.lit("2024-01-20").cast("timestamp"))
+    out = plan.process_news(articles, listing, scorer, empty, day, F.lit("2024-01-20").cast("timestamp"), str(tmp_path))
     assert {(r.url, r.news_type, r.news_ratio) for r in out.news.collect()} == {("u1", 2, 0.5), ("u5", -2, -0.5)}
     linked = out.news.join(out.bridge, "news_id").join(out.company, "company_id")
     assert {(r.url, r.code) for r in linked.collect()} == {("u1", "AAA"), ("u5", "AAA"), ("u5", "CCC")}

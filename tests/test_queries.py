@@ -1,23 +1,17 @@
-"""Queries against their SQL. CHECK_ALL=1 runs all of them, otherwise some of each kind."""
+"""Queries against their SQL."""
 
 import os
 
 import pytest
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
-SOME = [
-    "bars_daily", "resample_last_q", "ewm_with_gaps", "indicator_adx", "indicator_tsi", "latest_indicators",
-    "correlation_matrix", "macro_json", "macro_join_asof", "fx_features", "daily_sentiment", "headline_rows",
-    "sector_replies", "page_links", "match_exact_codes", "upsert_companies", "insert_new_articles", "new_texts_only",
-    "stratified_split", "roc_auc_per_symbol", "upsert_predictions", "trade_intents", "stream_daily_sentiment",
-]
 
 
 def names():
-    import __spark_entry__ as entry
+    """The library's own queries; those of the corpus operators have tests of their own."""
+    from checks import macro_checks, market, model_checks, news_checks
 
-    sql = entry.oracle_sql()
-    return sorted(sql) if os.environ.get("CHECK_ALL") else [n for n in SOME if n in sql]
+    return sorted(n for g in (market, macro_checks, news_checks, model_checks) for n in g.ORACLES)
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +22,7 @@ def con():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
-@pytest.mark.parametrize("name", SOME if not os.environ.get("CHECK_ALL") else names())
+@pytest.mark.parametrize("name", names())
 def test_query(spark, con, name):
     import __spark_entry__ as entry
     from checks.compare import compare

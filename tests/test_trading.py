@@ -76,7 +76,7 @@ def test_models_learn_and_score(spark, split):
     columns = ["a", "b", "c", "d", "e", "absent"]
     fitted = models.train_models(df, columns, F.lit(D(2020, 9, 1)), split=split).persist()
     assert [r.val_auc > 0.85 for r in fitted.collect()] == [True, True]
-    scored = models.score_latest(df, fitted, columns, D(2020, 9, 1)).collect()
+    scored = models.score_latest(df, fitted, D(2020, 9, 1)).collect()
     assert {r.code for r in scored} == {"A", "B"} and all(0 <= r.probability <= 1 for r in scored)
     r = fitted.filter("symbol = 'A'").first()
     last = df.filter("symbol = 'A'").orderBy(c("date").desc()).first()
@@ -85,6 +85,37 @@ def test_models_learn_and_score(spark, split):
     fitted.unpersist()
 
 
+def test_a_row_is_scored_by_the_columns_of_its_model(spark):
+    df = learnable(spark)
+    rows = [("A", ["e", "gone", "a"], [0.1, 5.0, 0.2], [2.0, 2.0, 4.0], [1.5, 3.0, -2.0], 0.25, 0.6), ("B", ["b"], [0.0], [1.0], [1.0], 0.0, 0.7)]
+    fitted = spark.createDataFrame(
+        rows, "symbol string, feature_cols array<string>, center array<double>, scale array<double>, weights array<double>, bias double, val_auc double"
+    )
+    last = {s: df.filter(c("symbol") == s).orderBy(c("date").desc()).first() for s in "AB"}
+    z = {
+        "A": (last["A"].e - 0.1) / 2 * 1.5 + (0 - 5) / 2 * 3 + (last["A"].a - 0.2) / 4 * -2 + 0.25,
+        "B": last["B"].b,
+    }
+    for table in (df, df.withColumn("more", F.lit(9.0)), df.select("e", "d", "symbol", "date", "c", "b", "a", "target")):
+        got = {r.code: r.probability for r in models.score_latest(table, fitted, D(2020, 9, 1)).collect()}
+        assert got == {s: pytest.approx(1 / (1 + np.exp(-v)), abs=1e-4) for s, v in z.items()}
+    without = models.score_latest(df.drop("b"), fitted, D(2020, 9, 1)).collect()
+    assert {r.code: r.probability for r in without}["B"] == 0.5
+
+
+def test_short_histories_are_skipped(spark):
+    df = learnable(spark).filter((c("symbol") == "A") | (c("date") < D(2020, 3, 1)))
+    company = spark.createDataFrame([(1, "A", "a"), (2, "B", "b"), (3, "C", "c")], "company_id bigint, code string, name string")
+    none = spark.createDataFrame([], "symbol string, trained_at timestamp")
+    fitted, status = trading.weekly_training(df, company, none, D(2020, 9, 1), min_rows=100, columns=list("abcde"))
+    assert [r.symbol for r in fitted.collect()] == ["A"]
+    assert {r.symbol: r.status for r in status.collect()} == {"A": "trained", "B": "skipped", "C": "skipped"}
+    known = spark.createDataFrame([(s, ["a"], [0.0], [1.0], [1.0], 0.0, 0.5) for s in "AB"], "symbol string, feature_cols array<string>, center array<double>, scale array<double>, weights array<double>, bias double, val_auc double")
+    empty = spark.createDataFrame([], "company_id bigint, prediction_date date, signal int, probability double, model_version string, model_auc double, created_at timestamp")
+    got = trading.daily_predictions(df, known, company, empty, D(2020, 9, 1), min_rows=100).collect()
+    assert [r.company_id for r in got] == [1]
+
+
 def test_too_few_features_and_missing_models(spark):
     none = models.train_models(learnable(spark), ["a", "b"], F.lit(D(2020, 9, 1)))
     assert none.count() == 0
@@ -118,98 +149,19 @@ def test_pipeline_keeps_complete_long_histories(spark, make_bars):
 
 # -- ledger -----------------------------------------------------------------------------
 
-def replay(spark, orders, prices, wallets):
-    intents = spark.createDataFrame(orders, "wallet string, date date, seq int, symbol string, signal int")
-    quotes = spark.createDataFrame(prices, "symbol string, date date, close double")
-    purses = spark.createDataFrame(wallets, "wallet string, money double, portfolio map<string,bigint>")
-    out = ledger.replay(intents, quotes, purses).persist()
-    trades = [(r.wallet, r.symbol, r.action, r.units, r.cash) for r in out.orderBy("wallet", "date", "seq").collect()]
-    held = {(r.wallet, r.symbol): r.units for r in ledger.positions(purses, out).collect()}
-    money = {r.wallet: r.money for r in ledger.cash_after(purses, out).collect()}
-    return trades, held, money
-
-
-def test_order_of_trades(spark):
-    rows = [("A", 1, 0.6), ("B", -1, 0.4), ("C", 2, 0.7), ("D", -2, 0.2), ("E", 0, 0.5), ("F", 2, 0.8)]
-    df = spark.createDataFrame([(D(2024, 1, 2), *r) for r in rows], "date date, code string, signal int, probability double")
-    got = ledger.trade_intents(df).orderBy("seq").collect()
-    assert [r.code for r in got] == ["D", "B", "F", "C", "A"]
-    assert got[0].symbol == "D.IS"
-
-
-def test_sizes(spark):
-    row = spark.range(1).select(
-        ledger.units_by_budget(F.lit(25000.0), F.lit(3000.0)).alias("budget"),
-        ledger.units_by_count(F.lit(25000.0), F.lit(3000.0)).alias("count"),
-        ledger.units_by_count(F.lit(5.0), F.lit(3000.0)).alias("none"),
-    ).first()
-    assert tuple(row) == (3, 4, 0)
-
-
-def test_replay_by_hand(spark):
-    d1, d2 = D(2024, 1, 2), D(2024, 1, 3)
-    prices = [("X", d1, 3000.0), ("Y", d1, 100.0), ("X", d2, 2500.0), ("Y", d2, 5000.0), ("OLD", D(2023, 12, 1), 1.0)]
-    orders = [
-        ("w", d1, 1, "X", 1), ("w", d1, 2, "Y", 1), ("w", d2, 1, "Y", -1), ("w", d2, 2, "OLD", -1),
-        ("v", d1, 1, "X", 2), ("poor", d1, 1, "X", 1), ("unknown", d1, 1, "Y", 2),
-    ]
-    wallets = [("w", 25000.0, {"OLD": 7}), ("v", 100.0, {"Y": 200}), ("poor", 10.0, {})]
-    trades, held, money = replay(spark, orders, prices, wallets)
-    assert [t for t in trades if t[0] == "w"] == [
-        ("w", "X", "buy", 3, 16000.0), ("w", "Y", "buy", 100, 6000.0), ("w", "Y", "sell", 100, 506000.0),
-    ]
-    # A strong buy first sells the other positions when the cash is short.
-    assert [t[1:] for t in trades if t[0] == "v"] == [("Y", "sell", 200, 20100.0), ("X", "buy", 3, 11100.0)]
-    assert not [t for t in trades if t[0] in ("poor", "unknown")]
-    assert held == {("w", "X"): 3, ("w", "OLD"): 7, ("v", "X"): 3}
-    assert money == {"w": 506000.0, "v": 11100.0, "poor": 10.0}
-
-
-def test_replay_over_many_batches(spark):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        rng = np.random.default_rng(4)
-        days = [D(2024, 1, 1) + dt.timedelta(days=i) for i in range(40)]
-        prices = [(s, day, float(rng.integers(50, 9000))) for day in days for s in "XYZ"]
-        orders = [("w", day, i, s, int(rng.choice([-2, -1, 1, 2]))) for day in days for i, s in enumerate("XYZ", 1)]
-        trades, held, money = replay(spark, orders, prices, [("w", 50000.0, {})])
-        at, cash, units, want = {(s, day): p for s, day, p in prices}, 50000.0, {}, []
-        for _, day, _, s, sig in orders:
-            def sell(x):
-                nonlocal cash
-                if units.get(x):
-                    cash += units[x] * at[x, day]
-                    want.append(("w", x, "sell", units.pop(x), cash))
-
-            if sig < 0:
-                sell(s)
-                continue
-            p = at[s, day]
-            if sig == 2 and cash < 4 * p:
-                for other in [o for o in units if o != s]:
-                    sell(other)
-            n = min(int(10000 // p), int(cash // p))
-            if n > 0:
-                cash -= n * p
-                units[s] = units.get(s, 0) + n
-                want.append(("w", s, "buy", n, cash))
-        assert sorted(trades) == sorted(want) and len(trades) > 40
-        assert held == {("w", s): n for s, n in units.items()} and money["w"] == pytest.approx(cash, abs=1e-3)
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-
-
-def test_trading_day(spark, make_bars):
-    day = D(2020, 1, 3)
+
+def test_intents_of_a_day_with_prices(spark, make_bars):
+    day = D(2020, 1, 8)
     bars = make_bars({"A": [10, 20, 30], "B": [5, 5, 5]})
-    company = spark.createDataFrame([(1, "A", "a"), (2, "B", "b")], "company_id bigint, code string, name string")
+    company = spark.createDataFrame([(1, "A", "a"), (2, "B", "b"), (3, "C", "c")], "company_id bigint, code string, name string")
     prediction = spark.createDataFrame(
-        [(1, day, 1, 0.6, "nn_v1", None), (2, day, 2, 0.7, "nn_v1", None), (2, D(2020, 1, 2), -2, 0.1, "nn_v1", None)],
+        [(1, day, 1, 0.6, "nn_v1", None), (2, day, 2, 0.7, "nn_v1", None), (3, day, -1, 0.4, "nn_v1", None), (2, D(2020, 1, 2), -2, 0.1, "nn_v1", None)],
         "company_id bigint, prediction_date date, signal int, probability double, model_version string, model_auc double",
     )
-    wallets = spark.createDataFrame([("nn_trader", 12000.0, {})], "wallet string, money double, portfolio map<string,bigint>")
-    got = trading.daily_trades(prediction, company, bars, wallets, day).orderBy("seq").collect()
-    assert [(r.symbol, r.units, r.cash) for r in got] == [("B.IS", 2000, 2000.0), ("A.IS", 66, 20.0)]
+    got = trading.daily_intents(prediction, company, bars, day).orderBy("seq").collect()
+    # A price of five days ago still counts.
+    assert [(r.symbol, r.action, r.price) for r in got] == [("C.IS", "sell", None), ("B.IS", "buy", 5.0), ("A.IS", "buy", 30.0)]
+    assert all(r.price is None for r in trading.daily_intents(prediction.withColumn("prediction_date", F.lit(D(2020, 1, 9))), company, bars, D(2020, 1, 9)).collect())
 
 
 # -- streams --------------------------------------------------------------------------------

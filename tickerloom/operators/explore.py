@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.operators.ranks import quantiles
@@ -32,24 +32,20 @@ def with_calendar(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A-5: one row per column. The quartiles are exact."""
-    out = None
-    for n in columns:
-        x = q(n)
-        quartiles = quantiles(df, n, [0.25, 0.5, 0.75]).select(F.struct("q0", "q1", "q2")).scalar()
-        row = df.agg(
-            F.count(x).alias("count"),
-            F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"),
-            F.min(x).alias("min"),
-            F.max(x).alias("max"),
-        ).withColumn("_q", quartiles)
-        row = row.select(
-            F.lit(n).alias("column"), "count", "mean", "std", "min",
-            c("_q.q0").alias("p25"), c("_q.q1").alias("p50"), c("_q.q2").alias("p75"), "max",
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    """A-5: one row per column, all columns together. The quartiles are exact.
+
+    The cells become rows of (column, value); equal values are counted before they are ordered.
+    """
+    cells = F.array(*[F.struct(F.lit(n).alias("column"), q(n).cast("double").alias("_x")) for n in columns])
+    long = df.select(F.inline(cells))
+    counts = long.filter(c("_x").isNotNull()).groupBy("column", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    moments = long.groupBy("column").agg(
+        F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"),
+        F.min("_x").alias("min"), F.max("_x").alias("max"),
+    )
+    return moments.join(quantiles(counts, "column", [0.25, 0.5, 0.75]), "column", "left").select(
+        "column", "count", "mean", "std", "min", c("q0").alias("p25"), c("q1").alias("p50"), c("q2").alias("p75"), "max"
+    )
 
 
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -74,7 +70,7 @@ def schema_of(df: DataFrame) -> DataFrame:
 def frequencies(df: DataFrame, by: str) -> DataFrame:
     """A-8: count and share per value, most frequent first."""
     counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("count"))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = F.sum("count").over(Window.partitionBy())
     return counts.withColumn("share", c("count") / total).orderBy(c("count").desc(), by)
 
 

@@ -1,16 +1,12 @@
-"""From predictions to trades: intents, prices, sizes, replay, valuation."""
+"""From predictions to trades: intents, prices, sizes, valuation."""
 
 from __future__ import annotations
 
 import datetime as dt
-import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom import schemas
 from tickerloom.functions.scores import action
 from tickerloom.functions.text import ticker
 
@@ -58,7 +54,7 @@ def signal_counts(predictions: DataFrame, by=("date",)) -> DataFrame:
 def latest_price(bars: DataFrame, as_of: dt.date, days: int = PRICE_DAYS) -> DataFrame:
     """L-7: last close of the ``days`` up to ``as_of``; absent if there is none."""
     recent = bars.filter(
-        (c("date") > F.lit(as_of - dt.timedelta(days=days))) & (c("date") <= F.lit(as_of)) & c("close").isNotNull()
+        (c("date") >= F.lit(as_of - dt.timedelta(days=days))) & (c("date") <= F.lit(as_of)) & c("close").isNotNull()
     )
     return recent.groupBy("symbol").agg(F.max_by("close", "date").alias("price"))
 
@@ -79,123 +75,6 @@ def units_to_sell(held: Column, unit: Column | None = None) -> Column:
     return held if unit is None else F.least(unit, held)
 
 
-def replay(
-    intents: DataFrame,
-    prices: DataFrame,
-    wallets: DataFrame,
-    trade_unit: int = TRADE_UNIT,
-    budget: float = TRADE_BUDGET,
-    price_days: int = PRICE_DAYS,
-) -> DataFrame:
-    """L-5, L-6: replay intents in order against the cash of each wallet.
-
-    intents(wallet, date, seq, symbol, signal), prices(symbol, date, close) and
-    wallets(wallet, money, portfolio map<symbol, units>) give one row per trade.
-    What a trade may buy depends on the cash all earlier trades left, so a wallet
-    is replayed in sequence and wallets run in parallel. A wallet's events (its
-    intents and the prices of its symbols, both limited by the calendar and the
-    companies) arrive sorted and are streamed: a task holds one Arrow batch, the
-    positions and the last prices, never a whole wallet.
-    """
-    universe = intents.select("wallet", "symbol").union(
-        wallets.select("wallet", F.explode(F.map_keys("portfolio")).alias("symbol"))
-    ).distinct()
-    nothing = F.lit(None)
-    # The opening rows have no date and sort first.
-    start = wallets.select(
-        "wallet", nothing.cast("date").alias("date"), F.lit(0).alias("kind"), F.lit(0).alias("seq"),
-        nothing.cast("string").alias("symbol"), nothing.cast("int").alias("signal"), c("money").alias("value"),
-    )
-    held = wallets.select("wallet", F.explode("portfolio").alias("symbol", "_units")).select(
-        "wallet", nothing.cast("date").alias("date"), F.lit(1).alias("kind"), F.lit(0).alias("seq"),
-        "symbol", nothing.cast("int").alias("signal"), c("_units").cast("double").alias("value"),
-    )
-    quotes = universe.join(prices.filter(c("close").isNotNull()), "symbol").select(
-        "wallet", "date", F.lit(2).alias("kind"), F.lit(0).alias("seq"), "symbol",
-        nothing.cast("int").alias("signal"), c("close").alias("value"),
-    )
-    orders = intents.select(
-        "wallet", "date", F.lit(3).alias("kind"), "seq", "symbol", "signal", nothing.cast("double").alias("value")
-    )
-    events = start.unionByName(held).unionByName(quotes).unionByName(orders)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, cash, units, last = None, 0.0, {}, {}
-        for batch in batches:
-            out = []
-
-            def price_of(symbol, day):
-                value, seen = last.get(symbol, (None, None))
-                return value if value is not None and (day - seen).days < price_days else None
-
-            def sell(day, seq, symbol):
-                nonlocal cash
-                price = price_of(symbol, day)
-                if not units.get(symbol) or price is None:
-                    return
-                n = units.pop(symbol)
-                cash += n * price
-                out.append((name, day, seq, symbol, "sell", n, price, n * price, cash))
-
-            def buy(day, seq, symbol, unit):
-                nonlocal cash
-                price = price_of(symbol, day)
-                if price is None:
-                    return
-                # The unit only counts for a price of zero, else the budget does.
-                most = min(int(budget // price), math.floor(cash / price) + 1) if price > 0 else unit
-                for n in range(most, 0, -1):
-                    if cash >= price * n:
-                        cash -= price * n
-                        units[symbol] = units.get(symbol, 0) + n
-                        out.append((name, day, seq, symbol, "buy", n, price, -price * n, cash))
-                        return
-
-            for wallet, day, kind, seq, symbol, sig, value in batch.itertuples(index=False):
-                if wallet != name:
-                    name, cash, units, last = wallet, 0.0, {}, {}
-                if kind == 0:
-                    cash = value
-                elif kind == 1:
-                    units[symbol] = int(value)
-                elif kind == 2:
-                    last[symbol] = (value, day)
-                elif sig < 0:
-                    sell(day, seq, symbol)
-                elif sig > 0:
-                    price = price_of(symbol, day)
-                    if sig == 2 and price is not None and cash < price * trade_unit:
-                        for other in [s for s in units if s != symbol]:
-                            sell(day, seq, other)
-                    buy(day, seq, symbol, trade_unit if sig == 2 else max(1, trade_unit // 2))
-            yield pd.DataFrame(
-                out, columns=["wallet", "date", "seq", "symbol", "action", "units", "price", "amount", "cash"]
-            )
-
-    ordered = events.repartition("wallet").sortWithinPartitions("wallet", "date", "kind", "seq", "symbol")
-    return ordered.mapInPandas(run, schemas.LEDGER)
-
-
-def positions(wallets: DataFrame, trades: DataFrame) -> DataFrame:
-    """Units per wallet and symbol after the trades."""
-    start = wallets.select("wallet", F.explode("portfolio").alias("symbol", "units"))
-    moved = trades.select("wallet", "symbol", F.when(c("action") == "buy", c("units")).otherwise(-c("units")).alias("units"))
-    return (
-        start.select("wallet", "symbol", c("units").cast("bigint").alias("units"))
-        .unionByName(moved)
-        .groupBy("wallet", "symbol")
-        .agg(F.sum("units").alias("units"))
-        .filter(c("units") != 0)
-    )
-
-
-def cash_after(wallets: DataFrame, trades: DataFrame) -> DataFrame:
-    moved = trades.groupBy("wallet").agg(F.sum("amount").alias("_moved"))
-    return wallets.join(moved, "wallet", "left").select(
-        "wallet", F.round(c("money") + F.coalesce("_moved", F.lit(0.0)), 4).alias("money")
-    )
-
-
 def valuation(cash: DataFrame, held: DataFrame, prices: DataFrame) -> DataFrame:
     """A-15: cash, value of the priced positions, and their sum."""
     worth = (

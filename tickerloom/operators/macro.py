@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.numeric import div
 from tickerloom.operators import timeseries as ts
-from tickerloom.session import broadcast_if_small
 
 c = F.col
 
@@ -79,7 +78,7 @@ def join_macro(bars: DataFrame, wide: DataFrame, mode: str = "equi_ffill", backf
     side = wide.select("date", *[q(n).alias(f"_m_{i}") for i, n in enumerate(names)])
     if mode == "asof":
         return asof_join(bars, wide, names)
-    out = bars.join(broadcast_if_small(side), "date", "left")
+    out = bars.join(side, "date", "left")
     out = out.withColumns({n: ts.ffill(c(f"_m_{i}")) for i, n in enumerate(names)})
     if backfill:
         out = out.withColumns({n: ts.bfill(q(n)) for n in names})
@@ -102,7 +101,7 @@ def asof_join(bars: DataFrame, wide: DataFrame, names: list[str]) -> DataFrame:
         .withColumn("_day", F.explode(F.sequence("date", "_to")))
         .select(c("_day").alias("date"), *[q(n) for n in names])
     )
-    return bars.join(broadcast_if_small(days), "date", "left").select(
+    return bars.join(days, "date", "left").select(
         *[bars[f"`{n}`"] for n in bars.columns], *[q(n) for n in names]
     )
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.jaro import PREFIX, SCALE, jaro_winkler
 from tickerloom.functions.text import WORD, clean_company_name, strip, words
-from tickerloom.session import broadcast_if_small, spread
 
 c = F.col
 
-# Names matched in one broadcast pass; a longer list takes several passes.
-NAMES_PER_PASS = 20_000
+# Letters from rare to common, for the order in which characters are compared; others count as rarer.
+RARE_FIRST = "QXWJĞVÖFÇZPHÜCŞGBYOUSDMTKLİRNIEA "
 
 
 def exact_matches(articles: DataFrame, companies: DataFrame) -> DataFrame:
@@ -33,16 +34,11 @@ def exact_matches(articles: DataFrame, companies: DataFrame) -> DataFrame:
         "news_id",
         F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(f"({WORD}+)"), 1))).alias("_word"),
     )
-    hits = tokens.join(broadcast_if_small(keys.filter(c("_word") != "")), "_word")
+    hits = tokens.join(keys.filter(c("_word") != ""), "_word")
     single = hits.filter(c("_single")).select("news_id", "code", "name")
-    if keys.filter(~c("_single")).limit(1).count() == 0:
-        found = single
-    else:
-        inside = F.expr(r"rlike(content, concat('(?U)\\b\\Q', _code, '\\E\\b'))")
-        several = (
-            hits.filter(~c("_single")).join(articles, "news_id").filter(inside).select("news_id", "code", "name")
-        )
-        found = single.unionByName(several)
+    inside = F.expr(r"rlike(content, concat('(?U)\\b\\Q', _code, '\\E\\b'))")
+    several = hits.filter(~c("_single")).join(articles, "news_id").filter(inside).select("news_id", "code", "name")
+    found = single.unionByName(several)
     return found.select(
         "news_id",
         "code",
@@ -90,8 +86,7 @@ def possible(threshold: float) -> Column:
     least (t - 0.1p) / (1 - 0.1p), hence m/|a| + m/|b| >= 3J - 1 for m matched
     characters; characters found on one side only cannot be matched.
     """
-    def least_sum(p: int) -> float:
-        return 3 * max(0.0, (threshold - SCALE * p) / (1 - SCALE * p)) - 1
+    least_sum = partial(_least_sum, threshold)
 
     def differs(p: int) -> Column:
         return F.left("cleaned_name", F.lit(p)) != F.left("shingle", F.lit(p))
@@ -108,55 +103,71 @@ def possible(threshold: float) -> Column:
     return (total >= least_sum(PREFIX)) & (total >= needed)
 
 
+def _least_sum(threshold: float, prefix: int) -> float:
+    """What m/|a| + m/|b| must reach for m matched characters, with a common prefix of at most ``prefix``."""
+    return 3 * max(0.0, (threshold - SCALE * prefix) / (1 - SCALE * prefix)) - 1
+
+
+def rare_characters(text: Column) -> Column:
+    """The characters of a text, each with its number of occurrences so far, rare letters first."""
+
+    def numbered(chars: Column) -> Column:
+        def one(ch: Column, i: Column) -> Column:
+            so_far = F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == ch))
+            rank = F.lpad(F.instr(F.lit(RARE_FIRST), ch).cast("string"), 2, "0")
+            return F.concat(rank, ch, F.lpad(so_far.cast("string"), 4, "0"))
+
+        return F.array_sort(F.transform(chars, one))
+
+    return F.transform(F.array(F.filter(F.split(text, ""), lambda ch: ch != "")), numbered)[0]
+
+
+def keyed(df: DataFrame, text: str, threshold: float) -> DataFrame:
+    """Rows (_key, _at) under which a pair that reaches the threshold must meet.
+
+    It shares its first two characters; or the bound for a shorter common prefix
+    holds, and then the texts share one of their first rare characters, as many
+    as the bound lets differ and one more.
+    """
+    length = F.length(text)
+    needed = F.greatest(F.ceil((_least_sum(threshold, 1) - 1) * length - 1e-9), F.lit(1)).cast("int")
+    rare = F.slice(rare_characters(c(text)), 1, length - needed + 1)
+    keys = F.transform(rare, lambda x, i: F.struct(x.alias("_key"), i.alias("_at")))
+    start = F.struct(F.concat(F.lit("="), F.left(text, F.lit(2))).alias("_key"), F.lit(-1).alias("_at"))
+    return df.select("*", F.inline(F.concat(F.array(start), keys)))
+
+
 def fuzzy_matches(
     articles: DataFrame,
     companies: DataFrame,
     threshold: float = 0.88,
     exclude: DataFrame | None = None,
-    names_per_pass: int = NAMES_PER_PASS,
 ) -> DataFrame:
     """J-8: best Jaro-Winkler score of a company name over the word runs of an article.
 
-    Every run is joined to the names with as many words and a possible length,
-    an equi-join against a broadcast index of the names; a bound that no match
-    can violate then leaves few pairs for the exact score. The text is never
-    shuffled, only the pairs that reach the threshold are. A list longer than
-    ``names_per_pass`` is broadcast in several slices.
+    Equal runs are compared once. A run meets the names with as many words that
+    share its first two characters or one of its rarest ones; a bound that no
+    match can violate leaves few pairs for the exact score, and the runs that
+    reach the threshold are looked up in the articles again.
     """
     names = names_to_match(companies).select("code", "name", "cleaned_name", "_n")
-    # The passes and word counts are planned from a short summary of the names.
-    plan = names.groupBy("_n").count().collect()
-    total = sum(r["count"] for r in plan)
-    passes = max(1, -(-total // names_per_pass))
-    j = max(0.0, (threshold - SCALE * PREFIX) / (1 - SCALE * PREFIX))
-    shortest = max(3 * j - 2, 0.01)
-    index = names.withColumns(
-        {"_len": F.length("cleaned_name"), "_mask": letters(c("cleaned_name"))}
-    ).withColumn(
-        "_slen",
-        F.explode(
-            F.sequence(F.ceil(c("_len") * shortest).cast("int"), F.floor(c("_len") / shortest).cast("int"))
-        ),
-    )
-    counts = sorted(r["_n"] for r in plan)
-    runs = spread(articles.select("news_id", "content")).select(
-        "news_id",
-        F.explode(F.array(*[F.lit(n) for n in counts]) if counts else F.array().cast("array<int>")).alias("_n"),
-        "content",
-    )
+    index = names.withColumns({"_len": F.length("cleaned_name"), "_mask": letters(c("cleaned_name"))})
+    index = keyed(index, "cleaned_name", threshold).withColumnRenamed("_at", "_name_at")
+    # As many word counts as the longest name has words.
+    counts = F.coalesce(names.agg(F.collect_set("_n")).scalar(), F.array().cast("array<int>"))
+    runs = articles.select("news_id", F.explode(counts).alias("_n"), "content")
     runs = runs.select("news_id", "_n", F.explode(shingles(c("content"), c("_n"))).alias("shingle"))
-    runs = runs.withColumns({"_slen": F.length("shingle"), "_smask": letters(c("shingle"))})
-    parts = []
-    for k in range(passes):
-        slice_ = index if passes == 1 else index.filter(F.pmod(F.xxhash64("code"), F.lit(passes)) == k)
-        parts.append(runs.join(F.broadcast(slice_), ["_n", "_slen"]).filter(possible(threshold)))
-    pairs = parts[0]
-    for p in parts[1:]:
-        pairs = pairs.unionByName(p)
+    different = runs.select("_n", "shingle").distinct()
+    different = keyed(different.withColumns({"_slen": F.length("shingle"), "_smask": letters(c("shingle"))}), "shingle", threshold)
+    matched = _least_sum(threshold, 1) / (1 / c("_len") + 1 / c("_slen"))
+    place = F.least(c("_len") - c("_name_at"), c("_slen") - c("_at"))
+    pairs = different.join(index, ["_n", "_key"]).filter(((c("_at") < 0) | (place >= matched - 1e-9)) & possible(threshold))
+    pairs = pairs.select("_n", "shingle", "code", "name", "cleaned_name").distinct()
+    pairs = pairs.withColumn("score", jaro_winkler(c("cleaned_name"), c("shingle"))).filter(c("score") >= threshold)
+    found = runs.join(pairs, ["_n", "shingle"])
     if exclude is not None:
-        pairs = pairs.join(exclude.select("news_id", "code"), ["news_id", "code"], "left_anti")
-    scored = pairs.withColumn("score", jaro_winkler(c("cleaned_name"), c("shingle")))
-    best = scored.filter(c("score") >= threshold).groupBy("news_id", "code", "name", "cleaned_name")
+        found = found.join(exclude.select("news_id", "code"), ["news_id", "code"], "left_anti")
+    best = found.groupBy("news_id", "code", "name", "cleaned_name")
     return best.agg(F.round(F.max("score"), 4).alias("score")).select(
         "news_id", "code", "name", "cleaned_name", F.lit("fuzzy_name").alias("match_type"), "score"
     )

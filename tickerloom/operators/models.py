@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import PCA, PolynomialExpansion, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -186,11 +186,19 @@ def probability(features: Column) -> Column:
     return sigmoid(F.aggregate(scaled, F.lit(0.0), lambda a, v: a + v) + c("bias"))
 
 
-def score_latest(features: DataFrame, models: DataFrame, columns: list[str], as_of: dt.date) -> DataFrame:
-    """M-5: probability and signal of each symbol's last row, for symbols with a model."""
-    columns = [n for n in columns if n in features.columns]
-    last = last_per_symbol(features.select("symbol", "date", model_input(features, columns).alias("x")))
-    scored = last.join(models, "symbol").withColumn("_p", probability(c("x")))
+def score_latest(features: DataFrame, models: DataFrame, as_of: dt.date) -> DataFrame:
+    """M-5, P-2: probability and signal of each symbol's last row, for symbols with a model.
+
+    A row is scored by the columns that its own model was trained on, in the
+    model's order; columns that the features lack, and missing values, are 0.
+    """
+    numbers = ("double", "float", "int", "bigint", "smallint", "tinyint")
+    keys = ("symbol", "date", "target")
+    columns = [n for n, kind in features.dtypes if n not in keys and (kind in numbers or kind.startswith("decimal"))]
+    last = last_per_symbol(features.select("symbol", "date", model_input(features, columns).alias("_x")))
+    named = F.map_from_arrays(F.array(*[F.lit(n) for n in columns]).cast("array<string>"), "_x")
+    x = F.transform("feature_cols", lambda n: F.coalesce(F.try_element_at(c("_named"), n), F.lit(0.0)))
+    scored = last.join(models, "symbol").withColumn("_named", named).withColumn("_p", probability(x))
     return scored.select(
         c("symbol").alias("code"),
         F.lit(as_of).alias("prediction_date"),
@@ -202,7 +210,7 @@ def score_latest(features: DataFrame, models: DataFrame, columns: list[str], as_
 
 # -- pooled models ----------------------------------------------------------------------------
 
-def pooled_models(columns: list[str], rounds: int = 20, iterations: int = 50) -> dict[str, Pipeline]:
+def pooled_models(columns: list[str], rounds: int = 200, iterations: int = 100) -> dict[str, Pipeline]:
     """M-6: the compared families, each on standardized features of all symbols."""
 
     def pipeline(*stages):
@@ -215,13 +223,11 @@ def pooled_models(columns: list[str], rounds: int = 20, iterations: int = 50) ->
         )
 
     label = {"labelCol": "target"}
-    small = min(5, len(columns))
     return {
         "logistic": pipeline(LogisticRegression(maxIter=iterations, **label)),
-        # A polynomial kernel as explicit products of the main components.
+        # A polynomial kernel as explicit products of all columns.
         "poly_svm": pipeline(
-            PCA(k=small, inputCol="features", outputCol="pc"),
-            PolynomialExpansion(degree=3, inputCol="pc", outputCol="poly"),
+            PolynomialExpansion(degree=2, inputCol="features", outputCol="poly"),
             LinearSVC(featuresCol="poly", maxIter=iterations, **label),
         ),
         "boosted_trees": pipeline(
@@ -267,7 +273,7 @@ def both_probabilities(scored: DataFrame) -> DataFrame:
 
 def run_ablation(
     features: DataFrame, groups: dict[str, list[str]], combinations: dict[str, list[str]], split: str = "stratified",
-    iterations: int = 30,
+    iterations: int = 100,
 ) -> DataFrame:
     """M-7: one pooled logistic model per combination of feature groups, best first.
 

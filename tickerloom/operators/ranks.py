@@ -2,71 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 c = F.col
 
 
-def bucketed(df: DataFrame, order: str) -> DataFrame:
-    """Add ``_bucket``: ranges of a numeric column that hold about as many rows each.
+# Buckets of one power of two: numbers that differ by less than this share may meet in one.
+PARTS = 1 << 16
 
-    The bounds are quantiles put into the plan as literals, so a recomputed task
-    cuts alike. There are as many buckets as shuffle partitions, at most 512.
+
+def bucket(x: Column) -> Column:
+    """An order-preserving bucket of a number, from its power of two and a linear scale between two powers.
+
+    A column expression, so that a plan with it starts no job and a repeated task cuts alike.
     """
-    n = min(512, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    bounds = sorted(set(df.approxQuantile(order, [i / n for i in range(1, n)], 0.2 / n)))
-    cuts = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
-    return df.withColumn("_bucket", F.size(F.filter(cuts, lambda b: b <= c(order).cast("double"))))
+    size = F.abs(x.cast("double"))
+    power = F.floor(F.log2(size))
+    place = F.floor((power + 1100) * PARTS + (size / F.pow(F.lit(2.0), power) - 1) * PARTS)
+    return F.when(size == 0, F.lit(0)).otherwise(F.signum(x.cast("double")).cast("bigint") * place)
 
 
-def running_before(df: DataFrame, order: str, value: str) -> DataFrame:
-    """Add ``_below``: sum of ``value`` over the rows with a smaller (unique) ``order``.
+def running_before(df: DataFrame, order: str | list[str], value: str, by: list[str] | None = None) -> DataFrame:
+    """Add ``_below``: sum of ``value`` over the rows before, in a unique order that begins with a number.
 
-    Sums run inside each bucket and are shifted by the totals of the buckets
-    before; the totals, one row per bucket, are broadcast.
+    Sums run inside each bucket (of each group ``by``) and are shifted by the
+    totals of the buckets before, one row per bucket.
     """
-    cut = bucketed(df, order)
-    inside = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy("_bucket").agg(F.sum(value).alias("_sum"))
-    offsets = totals.select("_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
+    order, by = [order] if isinstance(order, str) else order, by or []
+    cut = df.withColumn("_bucket", bucket(c(order[0])))
+    keys = [*by, "_bucket"]
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*keys).agg(F.sum(value).alias("_sum"))
+    offsets = totals.select(*keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
     summed = cut.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return (
-        summed.join(F.broadcast(offsets), "_bucket")
+        summed.join(offsets, keys)
         .withColumn("_below", c("_in") + c("_off"))
         .drop("_bucket", "_in", "_off")
     )
 
 
-def number_rows(df: DataFrame, name: str, order: str = "seq", start: int = 0) -> DataFrame:
-    """Consecutive numbers after ``start`` in the order of a unique numeric column."""
+def number_rows(df: DataFrame, name: str, order: str | list[str] = "seq", start: int | Column = 0) -> DataFrame:
+    """Consecutive numbers after ``start``, in a unique order that begins with a number."""
     ones = running_before(df.withColumn("_one", F.lit(1).cast("bigint")), order, "_one")
     return ones.withColumn(name, (c("_below") + 1 + start).cast("bigint")).drop("_one", "_below")
 
 
-def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """One row with the exact quantiles q0, q1, ... (linear between neighbours).
-
-    Values are counted first, so the work after the shuffle is on distinct values.
-    """
-    x = c(f"`{column}`")
-    counts = df.filter(x.isNotNull()).groupBy(x.alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    ranked = running_before(counts, "_x", "_n")
+def quantiles(counts: DataFrame, by: str, shares: list[float]) -> DataFrame:
+    """The exact quantiles q0, q1, ... of each group (linear between neighbours), from rows (by, _x, _n) of each
+    value and its number."""
+    ranked = running_before(counts, "_x", "_n", [by])
+    ranked = ranked.join(counts.groupBy(by).agg(F.sum("_n").alias("_total")), by)
 
     def at(position):
         return F.max(F.when(c("_below") <= position, c("_x")))
 
     ends = []
     for i, share in enumerate(shares):
-        place = (total - 1) * share
+        place = (c("_total") - 1) * share
         ends += [
             at(F.floor(place)).alias(f"_lo{i}"),
             at(F.ceil(place)).alias(f"_hi{i}"),
             F.max(place - F.floor(place)).alias(f"_w{i}"),
         ]
-    row = ranked.agg(*ends)
+    row = ranked.groupBy(by).agg(*ends)
     return row.select(
-        *[(c(f"_lo{i}") + (c(f"_hi{i}") - c(f"_lo{i}")) * c(f"_w{i}")).alias(f"q{i}") for i in range(len(shares))]
+        by, *[(c(f"_lo{i}") + (c(f"_hi{i}") - c(f"_lo{i}")) * c(f"_w{i}")).alias(f"q{i}") for i in range(len(shares))]
     )

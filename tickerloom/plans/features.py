@@ -100,9 +100,10 @@ def build_features(
     Symbols with too short a history before or after are left out (P-5). Write
     the result once and read it for both training and scoring.
     """
-    df = add_all_technical(add_target(with_min_history(bars, min_rows)))
-    df = add_sentiment(add_us_macro(add_macro(df, fx), us), daily)
-    return with_min_history(drop_incomplete(df), min_rows)
+    df = add_target(with_min_history(bars, min_rows))
+    # The joins come while the rows are narrow; then one exchange by symbol serves all windows.
+    df = add_us_macro(add_macro(add_sentiment(df, daily), fx), us)
+    return with_min_history(drop_incomplete(add_all_technical(df)), min_rows)
 
 
 def build_features_macro_first(

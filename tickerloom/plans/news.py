@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions import html, text
 from tickerloom.operators import matching, sentiment, upsert
+from tickerloom.sources.tables import read_cache
 
 c = F.col
 
@@ -52,39 +53,105 @@ def with_matches(articles: DataFrame, matches: DataFrame) -> DataFrame:
 
 @dataclass
 class Store:
-    """The news tables."""
+    """The news tables; ``new_news`` and ``new_links`` are the rows that a batch adds to them."""
 
     company: DataFrame
     news: DataFrame
     bridge: DataFrame
+    new_news: DataFrame | None = None
+    new_links: DataFrame | None = None
+
+
+# Stored rows come before the rows of a batch.
+_BEFORE = 1 << 40
+
+
+def unstored_articles(articles: DataFrame, news: DataFrame) -> DataFrame:
+    """F-25: articles whose text the stored files of their day and provider do not hold yet."""
+    text = ["news_date", "provider", "content"]
+    if not set(text) <= set(news.columns):
+        return upsert.drop_stored_texts(articles)
+    days = articles.select("news_date").distinct()
+    stored = news.join(days, "news_date", "left_semi").select((c("news_id") - _BEFORE).alias("seq"), *text)
+    new = upsert.drop_stored_texts(stored.unionByName(articles.select(c("seq").cast("bigint").alias("seq"), *text)))
+    return articles.join(new.select("seq"), "seq", "left_semi")
 
 
 def process_news(
-    articles: DataFrame, companies: DataFrame, scorer: sentiment.Scorer, store: Store, as_of: dt.date, now: Column
+    articles: DataFrame, companies: DataFrame, scorer: sentiment.Scorer, store: Store, as_of: dt.date, now: Column,
+    folder: str,
 ) -> Store:
     """M-12: match, score and store a batch of articles(seq, url, news_date, provider, content).
 
-    Old and unmatched articles are dropped before scoring. The links of an
-    article whose url is already stored are dropped with it. The caller writes
-    the returned tables.
+    Old articles, texts that are stored already and unmatched articles are
+    dropped before scoring. The links of an article whose url is already stored
+    are dropped with it. Matches, scores and the tables are written once to
+    ``folder``, a folder that all executors share, and read from there; the
+    caller appends ``new_news`` and ``new_links`` and keeps the new ``company``.
     """
-    fresh = recent(articles, as_of).withColumn("url", F.coalesce("url", F.lit("")))
-    keyed = fresh.withColumn("news_id", c("seq"))
-    matches = matching.match_articles(keyed, companies)
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        path = f"{folder}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    fresh = unstored_articles(recent(articles, as_of), store.news).withColumn("url", F.coalesce("url", F.lit("")))
+    keyed = staged(fresh.withColumn("news_id", c("seq")), "articles")
+    exact = staged(matching.exact_matches(keyed, companies), "exact")
+    matches = exact.unionByName(staged(matching.fuzzy_matches(keyed, companies, exclude=exact), "fuzzy"))
     scored = sentiment.score_articles(with_matches(keyed, matches), scorer)
-    names = matches.select(c("news_id").alias("seq"), "code", F.coalesce("name", "code").alias("name"))
-    company = upsert.upsert_company(store.company, names)
-    rows = scored.select(
-        "seq", "url", "news_date", F.lit("tradingview").alias("website"), "provider", "content",
-        "news_type", "news_ratio", now.alias("created_at"),
+    rows = staged(
+        scored.select(
+            "seq", "url", "news_date", F.lit("tradingview").alias("website"), "provider", "content",
+            "news_type", "news_ratio", now.alias("created_at"),
+        ),
+        "scored",
     )
-    news = upsert.insert_news(store.news, rows)
+    names = matches.select(c("news_id").alias("seq"), "code", F.coalesce("name", "code").alias("name"))
+    company = staged(upsert.upsert_company(store.company, names), "company")
+    new = staged(upsert.new_news(store.news, rows), "news")
     # Only the article that was inserted for a url passes its links on.
     first = upsert.keep_one(rows.select("url", "seq"), ["url"], [c("seq")])
-    inserted = first.join(store.news.select("url"), "url", "left_anti").join(news.select("url", "news_id"), "url")
+    inserted = first.join(new.select("url", "news_id"), "url")
     links = (
         names.join(inserted.select("seq", "news_id"), "seq")
         .join(company.select("code", "company_id"), "code")
         .select("news_id", "company_id")
     )
-    return Store(company, news, upsert.link_news(store.bridge, links))
+    links = staged(upsert.new_links(store.bridge, links), "links")
+    return Store(
+        company, store.news.unionByName(new, allowMissingColumns=True), store.bridge.unionByName(links), new, links
+    )
+
+
+COMPANY = "company_id bigint, code string, name string"
+NEWS = (
+    "news_id bigint, url string, news_date date, website string, provider string, content string, "
+    "news_type int, news_ratio double, created_at timestamp"
+)
+LINKS = "news_id bigint, company_id bigint"
+
+
+def ingest(folder: str, companies: DataFrame, scorer: sentiment.Scorer, as_of: dt.date, now: Column):
+    """ST-1: what the ingest stream does with a batch: run the article pipeline and add its rows to the tables.
+
+    Each batch has its own folder in each table, so a repeated batch replaces
+    its first attempt and reads only the batches before.
+    """
+
+    def before(spark, name: str, schema: str, number: int) -> DataFrame:
+        rows = read_cache(spark, f"{folder}/{name}")
+        if rows is None:
+            return spark.createDataFrame([], f"{schema}, batch int")
+        return rows.filter(c("batch") < number)
+
+    def write_batch(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        company = before(spark, "company", COMPANY, number)
+        company = company.filter(c("batch") == company.agg(F.max("batch")).scalar()).drop("batch")
+        news, links = (before(spark, n, s, number).drop("batch") for n, s in (("news", NEWS), ("links", LINKS)))
+        out = process_news(batch, companies, scorer, Store(company, news, links), as_of, now, f"{folder}/work-{number}")
+        for name, rows in (("company", out.company), ("news", out.new_news), ("links", out.new_links)):
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+
+    return write_batch

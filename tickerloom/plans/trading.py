@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.operators import ledger, models, upsert
 from tickerloom.plans.features import MIN_ROWS, feature_columns
+from tickerloom.sources.bars import with_min_history
 
 c = F.col
 
@@ -16,33 +17,32 @@ c = F.col
 def weekly_training(
     features: DataFrame, company: DataFrame, stored: DataFrame, as_of: dt.date,
     force: bool = True, groups: list[str] | None = None, min_rows: int = MIN_ROWS,
+    columns: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """M-3, M-4: new models of the due symbols and the status of every symbol."""
     policy = models.retrain_status(company, stored, as_of, force)
     due = features.join(policy.filter(c("status") == "train").select("symbol"), "symbol", "left_semi")
-    trained = models.train_models(due, feature_columns(groups), F.lit(as_of))
+    due = with_min_history(due, min_rows)
+    trained = models.train_models(due, columns or feature_columns(groups), F.lit(as_of))
     return trained, models.training_status(policy, features, trained, min_rows)
 
 
 def daily_predictions(
     features: DataFrame, stored: DataFrame, company: DataFrame, prediction: DataFrame, as_of: dt.date,
-    groups: list[str] | None = None, version: str = "nn_v1",
+    version: str = "nn_v1", min_rows: int = MIN_ROWS,
 ) -> DataFrame:
-    """M-5, U-4: the prediction table after scoring every symbol that has a model."""
+    """M-5, U-4: the prediction table after scoring every symbol that has a model and a long enough history."""
     models.require_models(stored)
-    scored = models.score_latest(features, stored, feature_columns(groups), as_of).withColumns(
+    scored = models.score_latest(with_min_history(features, min_rows), stored, as_of).withColumns(
         {"model_version": F.lit(version), "seq": F.lit(0)}
     )
     return upsert.upsert_prediction(prediction, scored, company, F.lit(as_of).cast("timestamp"))
 
 
-def daily_trades(
-    prediction: DataFrame, company: DataFrame, bars: DataFrame, wallets: DataFrame, as_of: dt.date,
-    wallet: str = "nn_trader", suffix: str = ".IS",
+def daily_intents(
+    prediction: DataFrame, company: DataFrame, bars: DataFrame, as_of: dt.date, suffix: str = ".IS"
 ) -> DataFrame:
-    """L-1, L-6: trades of the wallet that follows the day's predictions."""
+    """L-1, L-7: the day's ordered intents with the latest price of each symbol."""
     today = ledger.predictions_on(prediction, company, as_of).withColumn("date", F.lit(as_of))
-    intents = ledger.trade_intents(today, suffix=suffix).withColumn("wallet", F.lit(wallet))
-    recent = bars.filter(c("date").between(F.lit(as_of - dt.timedelta(days=ledger.PRICE_DAYS)), F.lit(as_of)))
-    prices = recent.withColumn("symbol", F.concat("symbol", F.lit(suffix))).select("symbol", "date", "close")
-    return ledger.replay(intents, prices, wallets.filter(c("wallet") == wallet))
+    prices = ledger.latest_price(bars, as_of).withColumn("symbol", F.concat("symbol", F.lit(suffix)))
+    return ledger.trade_intents(today, suffix=suffix).join(prices, "symbol", "left")

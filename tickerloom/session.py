@@ -4,11 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows of a dimension that may be sent whole to every executor.
-BROADCAST_ROWS = 200_000
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "tickerloom", shuffle: int = 8) -> SparkSession:
@@ -37,23 +33,3 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", folder)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows. A larger side is returned
-    without a hint, and Spark joins it by shuffling (AQE splits hot keys).
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly work on an input of few partitions.
-
-    An input with at least one partition per core is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -27,6 +27,22 @@ def query(spark: SparkSession, sql: str, views: dict[str, DataFrame], args: dict
     return spark.sql(sql, args=args or {})
 
 
+def append_rows(df: DataFrame, path: str) -> None:
+    """Add the rows of a batch to a stored table; what is stored is not written again."""
+    df.write.mode("append").parquet(path)
+
+
+def replace_partitions(df: DataFrame, path: str, by: str) -> None:
+    """Write ``df`` over those partitions of a stored table that it has rows of.
+
+    ``df`` may be made from the stored table, so it is written beside it first.
+    """
+    spark, staged = df.sparkSession, f"{path}.next"
+    df.write.mode("overwrite").parquet(staged)
+    rows = spark.read.schema(df.schema).parquet(staged)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
 def replace_table(df: DataFrame, path: str, version: str) -> str:
     """Write the new state of a table beside the old one and return its path.
 
@@ -47,5 +63,7 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame | None:
     """S-8: the cached table, or None if there is none."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
