@@ -1,7 +1,8 @@
 """Jaccard join on word shingles: rare-first prefixes, then length, position and suffix filters, then one check a pair.
 
 1. Every text becomes its set of 5-word shingles (64-bit hashes). Texts with equal sets are one *set* from here on.
-2. The hashes are dealt to buckets, packed, and each bucket counts in how many sets a shingle is.
+2. The hashes are dealt to buckets, packed, and each bucket counts in how many sets a shingle is. Frequent ones are
+   known as such in the map tasks already and mostly do not go there.
 3. Only shingles in two sets or more go back to their sets. Ordered from rare to frequent, a set's prefix is all that a
    similar set must share a shingle with; shingles of one set come first, so most prefixes hold no shared one at all.
 4. Sets meet on prefix shingles. First each meets only the most central set of a bucket (few rare shingles before the
@@ -22,6 +23,8 @@ from . import words
 from .components import connected_components
 from .storage import shared_folder, shuffle_partitions, stored
 
+#: A shingle in so many sets is common; more frequent ones are ordered by hash alone.
+MANY = 64
 #: Shingles that a map task holds before it sends them to the buckets.
 HELD = 1_500_000
 #: Bytes of a shingle's hash that are sent, after the bits that name its bucket.
@@ -33,23 +36,25 @@ PAIRS_A_TOKEN = 16
 CENTRES = 3
 
 
-def _pack(key: np.ndarray, counts: np.ndarray, owners: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Owners with a run of items each, as bytes: how many of both, owners, run lengths, then the item columns."""
-    head = np.array([len(owners), len(key)], np.int64).tobytes()
+def _pack(owner: np.ndarray, size: np.ndarray, key: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Items sorted by their set, as bytes: how many sets and items, each set's name, size and number of items, then the
+    items' keys and further columns."""
+    first, n = _runs(owner)
+    head = np.array([len(first), len(key)], np.int64).tobytes()
     low = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY]
-    return head + owners.tobytes() + counts.astype(np.uint32).tobytes() + low.tobytes() + b"".join(c.tobytes() for c in columns)
+    parts = [owner[first].tobytes(), size[first].astype("<u4").tobytes(), n.astype("<u4").tobytes(), low.tobytes()]
+    return head + b"".join(parts) + b"".join(c.tobytes() for c in columns)
 
 
 def _unpack(blob: bytes, extra: type | None = None):
+    """Owner, size of the owner, key and, if asked, one more column of each item."""
     m, n = np.frombuffer(blob, np.int64, 2)
-    at = 16
-    owners = np.frombuffer(blob, np.uint64, m, at)
-    counts = np.frombuffer(blob, np.uint32, m, at + 8 * m)
-    at += 12 * m
+    owners, sizes, counts = np.frombuffer(blob, np.uint64, m, 16), np.frombuffer(blob, "<u4", m, 16 + 8 * m), np.frombuffer(blob, "<u4", m, 16 + 12 * m)
+    at = 16 + 16 * m
     wide = np.zeros((n, 8), np.uint8)
     wide[:, :KEY] = np.frombuffer(blob, np.uint8, n * KEY, at).reshape(-1, KEY)
     rest = np.frombuffer(blob, extra, n, at + n * KEY) if extra else None
-    return np.repeat(owners, counts), wide.view("<u8").ravel().astype(np.uint64), rest
+    return np.repeat(owners, counts), np.repeat(sizes, counts), wide.view("<u8").ravel().astype(np.uint64), rest
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,122 +69,145 @@ def _split(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return x >> (np.uint64(64) - bits), (x << bits) >> np.uint64(64 - 8 * KEY)
 
 
-_DEALT = pa.schema([("bucket", pa.int32()), ("items", pa.binary()), ("rows", pa.binary())])
+_DEALT = pa.schema([("bucket", pa.int32()), ("items", pa.binary()), ("common", pa.binary()), ("rows", pa.binary())])
 _ROW = np.dtype([("id", "<i8"), ("known", "?"), ("set", "<u8"), ("n", "<i4")])
+_COMMON = np.dtype([("set", "<u8"), ("n", "<u4"), ("key", "<u8")])
 
 
-def _deal(bits: int, size: int):
-    """Texts to packed shingles and rows, one output row a bucket for every ``HELD`` shingles."""
-
-    def flush(sets, hashes, rows) -> pa.RecordBatch:
-        owner, key = np.concatenate(sets), np.concatenate(hashes)
-        rows = np.concatenate(rows)
-        bucket, low = _split(key, bits)
-        order = np.lexsort((key, owner, bucket))
-        owner, low, bucket = owner[order], low[order], bucket[order]
-        fresh = np.ones(len(owner), bool)
-        fresh[1:] = (owner[1:] != owner[:-1]) | (low[1:] != low[:-1]) | (bucket[1:] != bucket[:-1])
-        owner, low, bucket = owner[fresh], low[fresh], bucket[fresh]
-        home = _split(rows["set"], bits)[0]
+class _Dealer:
+    """Packs the texts of one task: one output row a bucket for every ``HELD`` shingles.
+
+    A shingle that ``MANY`` sets of a task hold is common whatever the other tasks have. Its first sets still go to its
+    bucket, so that the bucket knows; all others go straight to the buckets of their sets. So no bucket gets more than a
+    few items of a shingle from a task, however many texts hold it. Rows go to the buckets in turn.
+    """
+
+    def __init__(self, bits: int, size: int):
+        self.bits, self.size = bits, size
+        self.common, self.dealt = np.zeros(0, np.uint64), 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.sets, self.sizes, self.keys, self.rows, self.held = [], [], [], [], 0
+
+    def add(self, ids: pa.Array, texts: pa.Array) -> None:
+        key, at = words.shingle_sets(texts, self.size)
+        n = np.diff(at)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mix(key + np.uint64(77)))])
+        name = words.mix((total[at[1:]] - total[at[:-1]]) + n.astype(np.uint64))
+        row = np.zeros(len(n), _ROW)
+        row["known"] = ~np.asarray(ids.is_null().to_numpy(zero_copy_only=False))
+        row["id"] = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        row["set"], row["n"] = name, n
+        self.sets.append(np.repeat(name, n)), self.sizes.append(np.repeat(n, n)), self.keys.append(key), self.rows.append(row)
+        self.held += len(key) + len(n)
+
+    def flush(self) -> pa.RecordBatch:
+        owner, size, key, rows = (np.concatenate(x) for x in (self.sets, self.sizes, self.keys, self.rows))
+        self.clear()
+        order = np.lexsort((owner, key))
+        owner, size, key = owner[order], size[order], key[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
+        owner, size, key = owner[fresh], size[fresh], key[fresh]
+        first, n = _runs(key)
+        rank = np.arange(len(key)) - np.repeat(first, n)
+        straight = np.isin(key, self.common) | (rank >= MANY)
+        self.common = np.union1d(self.common, key[first][n >= MANY])
+        common = np.zeros(int(straight.sum()), _COMMON)
+        common["set"], common["n"], common["key"] = owner[straight], size[straight], key[straight]
+        owner, size, key = owner[~straight], size[~straight], key[~straight]
+        bucket, low = _split(key, self.bits)
+        order = np.lexsort((low, owner, bucket))
+        owner, size, low, bucket = owner[order], size[order], low[order], bucket[order]
+        home = _split(common["set"], self.bits)[0]
         order = np.argsort(home, kind="stable")
-        rows, home = rows[order], home[order]
+        common, home = common[order], home[order]
+        turn = ((np.arange(len(rows)) + self.dealt) % (1 << self.bits)).astype(np.uint64)
+        self.dealt += len(rows)
+        order = np.argsort(turn, kind="stable")
+        rows, turn = rows[order], turn[order]
         out = []
-        for b in np.union1d(bucket, home):
-            lo, hi = np.searchsorted(bucket, [b, b + np.uint64(1)])
-            first, n = _runs(owner[lo:hi])
-            a, z = np.searchsorted(home, [b, b + np.uint64(1)])
-            out.append((int(b), _pack(low[lo:hi], n, owner[lo:hi][first]), rows[a:z].tobytes()))
+        for b in np.unique(np.concatenate([bucket, home, turn])):
+            (lo, hi), (c, d), (e, f) = (np.searchsorted(x, [b, b + np.uint64(1)]) for x in (bucket, home, turn))
+            out.append((int(b), _pack(owner[lo:hi], size[lo:hi], low[lo:hi]), common[c:d].tobytes(), rows[e:f].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _DEALT)], schema=_DEALT)
 
+
+def _deal(bits: int, size: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, hashes, rows, held = [], [], [], 0
+        dealer = _Dealer(bits, size)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for a, z in words.text_slices(texts):
-                key, at = words.shingle_sets(texts.slice(a, z - a), size)
-                n = np.diff(at)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mix(key + np.uint64(77)))])
-                name = words.mix((total[at[1:]] - total[at[:-1]]) + n.astype(np.uint64))
-                row = np.zeros(z - a, _ROW)
-                part = ids.slice(a, z - a)
-                row["known"] = ~np.asarray(part.is_null().to_numpy(zero_copy_only=False))
-                row["id"] = part.fill_null(0).to_numpy(zero_copy_only=False)
-                row["set"], row["n"] = name, n
-                sets.append(np.repeat(name, n)), hashes.append(key), rows.append(row)
-                held += len(key) + z - a
-                if held >= HELD:
-                    yield flush(sets, hashes, rows)
-                    sets, hashes, rows, held = [], [], [], 0
-        if rows:
-            yield flush(sets, hashes, rows)
+            for a, z in words.text_slices(batch.column(1)):
+                dealer.add(batch.column(0).slice(a, z - a), batch.column(1).slice(a, z - a))
+                if dealer.held >= HELD:
+                    yield dealer.flush()
+        if dealer.rows:
+            yield dealer.flush()
 
     return deal
 
 
+_COUNTED = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("items", pa.binary()), ("common", pa.binary()), ("rows", pa.binary())])
+
+
 def _count(bits: int):
-    """One bucket of shingles: those in two sets or more, with that number, packed for the buckets of their sets."""
+    """One bucket of shingles: those in two sets or more, with that number (``MANY`` at most), packed for the buckets
+    of their sets; what is in the bucket for its own sets and rows goes on."""
 
     def count(table: pa.Table) -> pa.Table:
         b = table.column("bucket")[0].as_py()
-        owner, low = (np.concatenate(c) for c in zip(*(_unpack(x.as_py())[:2] for x in table.column("items"))))
-        rows = b"".join(x.as_py() for x in table.column("rows"))
+        owner, size, low = (np.concatenate(c) for c in list(zip(*(_unpack(x.as_py()) for x in table.column("items"))))[:3])
         order = np.lexsort((owner, low))
-        owner, low = owner[order], low[order]
+        owner, size, low = owner[order], size[order], low[order]
         fresh = np.ones(len(low), bool)
         fresh[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
-        owner, low = owner[fresh], low[fresh]
-        _, n = _runs(low)
-        sets = np.repeat(n, n)
-        owner, low, sets = owner[sets > 1], low[sets > 1], np.minimum(sets[sets > 1], 65535).astype(np.uint16)
+        owner, size, low = owner[fresh], size[fresh], low[fresh]
+        n = np.repeat(*[_runs(low)[1]] * 2)
+        shared = n > 1
+        owner, size, low, n = owner[shared], size[shared], low[shared], np.minimum(n[shared], MANY).astype("<u2")
         home = _split(owner, bits)[0]
         order = np.lexsort((owner, home))
-        owner, low, sets, home = owner[order], low[order], sets[order], home[order]
-        out = [(b, None, b, rows)] if rows else []
+        owner, size, low, n, home = owner[order], size[order], low[order], n[order], home[order]
+        out = [(b, b, None, common, rows) for common, rows in zip(table.column("common").to_pylist(), table.column("rows").to_pylist())]
         for h in np.unique(home):
             lo, hi = np.searchsorted(home, [h, h + np.uint64(1)])
-            first, n = _runs(owner[lo:hi])
-            out.append((int(h), _pack(low[lo:hi], n, owner[lo:hi][first], sets[lo:hi]), b, None))
-        cols = list(zip(*out)) if out else [[], [], [], []]
-        return pa.table([pa.array(c, t.type) for c, t in zip(cols, _COUNTED)], schema=_COUNTED)
+            out.append((int(h), b, _pack(owner[lo:hi], size[lo:hi], low[lo:hi], n[lo:hi]), None, None))
+        return pa.table([pa.array(c, t.type) for c, t in zip(zip(*out), _COUNTED)], schema=_COUNTED)
 
     return count
 
 
-_COUNTED = pa.schema([("home", pa.int32()), ("items", pa.binary()), ("bucket", pa.int32()), ("rows", pa.binary())])
 _SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set", pa.int64()), ("shared", pa.binary())])
 
 
 def _gather(bits: int, percent: int):
-    """The rows of one home bucket; the first row of a set whose prefix holds a shared shingle also gets, rare first,
-    its shared shingles."""
+    """The rows of one bucket, and its sets whose prefix holds a shared shingle, with their shared shingles, rare first."""
 
     def gather(table: pa.Table) -> pa.Table:
         rows = np.frombuffer(b"".join(x.as_py() or b"" for x in table.column("rows")), _ROW)
-        rows = rows[np.lexsort((rows["id"], ~rows["known"], rows["set"]))]
-        first, n = _runs(rows["set"])
-        names, size = rows["set"][first], rows["n"][first].astype(np.int64)
-        parts = []
+        common = np.frombuffer(b"".join(x.as_py() or b"" for x in table.column("common")), _COMMON)
+        parts = [(common["set"], common["n"], common["key"] >> np.uint64(64 - bits - 8 * KEY), np.full(len(common), MANY, "<u2"))]
         for x, b in zip(table.column("items"), table.column("bucket")):
             if x.as_py() is not None:
-                owner, low, sets = _unpack(x.as_py(), np.uint16)
-                parts.append((owner, low | np.uint64(b.as_py() << 8 * KEY), sets))
-        shared = [None] * len(rows)
-        if parts:
-            owner, key, sets = (np.concatenate(c) for c in zip(*parts))
-            order = np.lexsort((key, sets, owner))
-            owner, key = owner[order], key[order]
-            begin, count = _runs(owner)
-            at = np.searchsorted(names, owner[begin])
-            alone = size[at] - count
-            reach = size[at] + (-percent * size[at]) // 100 + 1  # n - ceil(percent n / 100) + 1
-            for k in np.flatnonzero(alone < reach):
-                shared[first[at[k]]] = key[begin[k] : begin[k] + count[k]].tobytes()
+                owner, size, low, n = _unpack(x.as_py(), np.dtype("<u2"))
+                parts.append((owner, size, low | np.uint64(b.as_py() << 8 * KEY), n))
+        owner, size, key, n = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((key, n, owner))
+        owner, size, key = owner[order], size[order].astype(np.int64), key[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
+        owner, size, key = owner[fresh], size[fresh], key[fresh]
+        first, count = _runs(owner)
+        size = size[first]
+        able = np.flatnonzero(size - count < size + (-percent * size) // 100 + 1)  # n - ceil(percent n / 100) + 1
+        shared = [key[first[k] : first[k] + count[k]].tobytes() for k in able]
         return pa.table(
             [
-                pa.array(rows["id"], mask=~rows["known"]),
-                pa.array(rows["n"].astype(np.int64)),
-                pa.array(rows["set"].view(np.int64)),
-                pa.array(shared, pa.binary()),
+                pa.concat_arrays([pa.array(rows["id"], pa.int64(), mask=~rows["known"]), pa.nulls(len(able), pa.int64())]),
+                pa.array(np.concatenate([rows["n"].astype(np.int64), size[able]])),
+                pa.array(np.concatenate([rows["set"], owner[first[able]]]).view(np.int64)),
+                pa.array([None] * len(rows) + shared, pa.binary()),
             ],
             schema=_SETS,
         )
@@ -225,15 +253,15 @@ def _similar(percent: int):
 
 
 def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, buckets: int | None = None) -> DataFrame:
-    """(id, n, set, shared) of every row: number of shingles, name of the set, and the set's shared shingles, rare
-    first, on one row of each set whose prefix holds one (else null).
+    """Two kinds of rows (id, n, set, shared). With a null ``shared``: every row of ``docs``, the size and the name of
+    its set. Others: the sets whose prefix holds a shared shingle, with all their shared shingles, rare first.
 
     ``buckets`` (by default the shuffle partitions) is rounded up to a power of two; a task works on one at a time, so
-    choose it by the input: some 20 MB of packed shingles (7 to 18 bytes each) a bucket.
+    choose it by the input: some 20 MB of packed shingles (7 to 22 bytes each) a bucket.
     """
     bits = max(1, ((buckets or shuffle_partitions(docs.sparkSession)) - 1).bit_length())
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_deal(bits, size), "bucket int, items binary, rows binary")
-    counted = dealt.groupBy("bucket").applyInArrow(_count(bits), "home int, items binary, bucket int, rows binary")
+    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_deal(bits, size), "bucket int, items binary, common binary, rows binary")
+    counted = dealt.groupBy("bucket").applyInArrow(_count(bits), "home int, bucket int, items binary, common binary, rows binary")
     return counted.groupBy("home").applyInArrow(_gather(bits, percent), "id long, n long, set long, shared binary")
 
 
@@ -274,7 +302,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rest = rest.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct()
     links = [*links, stored(_check(rest, sets, percent), folder, "links")]
     of_set = connected_components(_union(links)).select(F.col("node").alias("set"), "component")
-    named = table.join(of_set, "set", "left").select("id", "n", F.coalesce("component", "set").alias("component"))
+    named = table.where("shared is null").join(of_set, "set", "left").select("id", "n", F.coalesce("component", "set").alias("component"))
     named = stored(named, folder, "named")
     lowest = named.where("n > 0").groupBy("component").agg(F.min("id").alias("low"))
     # Texts without words share an empty set, and a group of one has no name but its own id.
