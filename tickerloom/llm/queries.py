@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, mixing, ngram_join, packing, private, toxicity, urls, vantage, voronoi
+from . import chat, language, mixing, ngram_join, oracles, packing, private, toxicity, urls, vantage, voronoi
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,4 +84,4 @@ QUERIES = {
     "op9_personal_data": op9_personal_data,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
