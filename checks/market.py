@@ -524,6 +524,16 @@ add(
     lambda s, p: rounds(explore.correlations(d.bars(s, p), OHLCV, above=0.9), CORR),
     with_(BARS, _corr, select=f"SELECT {rounded(CORR)} FROM x WHERE corr > 0.9"),
 )
+add(
+    "feature_correlations",
+    lambda s, p: rounds(
+        explore.correlations(
+            indicators.add_all_technical(indicators.add_target(d.bars(s, p))),
+            features.feature_columns(["technical", "technical_extra"]),
+        ),
+        CORR,
+    ),
+)
 add(
     "histogram_volume",
     lambda s, p: explore.histogram(d.bars(s, p), "volume", 0, 100, 20),

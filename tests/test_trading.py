@@ -3,10 +3,11 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickerloom.operators import evaluation, explore, ledger, macro, models
+from tickerloom.operators import evaluation, explore, macro, matching, models, upsert
 from tickerloom.plans import features, trading
 from tickerloom.sources import bars as src
 from tickerloom.streaming import news as stream
@@ -184,6 +185,50 @@ def test_stream_equals_batch_and_drops_late_articles(spark, tmp_path):
     assert sorted(seen) == ["", "u1", "u2"]
 
 
+def test_correlations_of_many_columns(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 40)) @ rng.normal(size=(40, 90)) + 1e6
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7] = 3.0
+    frame = pd.DataFrame(x, columns=[f"f{i}" for i in range(90)])
+    want = frame.corr()
+    got = explore.correlations(spark.createDataFrame(frame).repartition(5), list(frame.columns)).collect()
+    assert len(got) == 90 * 89 / 2
+    for r in got:
+        w = want.loc[r.a, r.b]
+        assert (r["corr"] is None and np.isnan(w)) or r["corr"] == pytest.approx(w, abs=1e-6)
+
+
+def test_plans_start_no_job(spark, tmp_path, make_bars):
+    make_bars({"A": list(range(1, 60)), "B": list(range(2, 61))}).write.parquet(str(tmp_path / "bars"))
+    bars = spark.read.parquet(str(tmp_path / "bars"))
+    articles = spark.createDataFrame([(1, 1, D(2020, 1, 1), "p", "AAA text")], "seq int, news_id int, news_date date, provider string, content string")
+    listing = spark.createDataFrame([("AAA", "Aaa Bbb")], "code string, name string")
+    company = spark.createDataFrame([(1, "A", "a")], "company_id bigint, code string, name string")
+    incoming = spark.createDataFrame([(1, "N", "n")], "seq int, code string, name string")
+    spark.sparkContext.setJobGroup("plans", "building only")
+    try:
+        explore.describe(bars, ["close", "volume"])
+        explore.correlations(bars, ["close", "volume"])
+        evaluation.roc_auc(bars.withColumn("y", F.lit(1)), "y", "close")
+        features.build_features(bars, min_rows=1)
+        matching.match_articles(articles, listing)
+        upsert.upsert_company(company, incoming)
+        upsert.drop_stored_texts(articles)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plans")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_both_probabilities(spark):
+    df = learnable(spark)
+    columns = list("abcde")
+    rows = models._pooled_rows(evaluation.time_split(df), columns)
+    scored = models.pooled_models(columns)["logistic"].fit(rows).transform(rows)
+    got = models.both_probabilities(scored).select("p_down", "p_up", "prediction").collect()
+    assert all(abs(r.p_down + r.p_up - 1) < 1e-9 and (r.p_up > 0.5) == (r.prediction == 1) for r in got) and len(got) == 400
+
+
 def test_summaries(spark, make_bars):
     bars = make_bars([1, 2, 3, 4])
     row = {r["column"]: r for r in explore.describe(bars, ["close"]).collect()}["close"]

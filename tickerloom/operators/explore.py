@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickerloom.functions.numeric import div, finite
 from tickerloom.operators.ranks import quantiles
 
 c = F.col
@@ -74,15 +77,41 @@ def frequencies(df: DataFrame, by: str) -> DataFrame:
     return counts.withColumn("share", c("count") / total).orderBy(c("count").desc(), by)
 
 
+def _products(n: int):
+    """Sums and sums of products of each pair of columns over one task's rows, for the rows that have both."""
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((4, n, n))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float)
+            have = np.isfinite(x).astype(float)
+            x = np.where(have > 0, x, 0.0)
+            total += np.stack([have.T @ have, x.T @ have, (x * x).T @ have, x.T @ x])
+        i, j = np.triu_indices(n, 1)
+        both, own, square, product = total
+        yield pd.DataFrame(
+            {"i": i, "j": j, "n": both[i, j], "x": own[i, j], "y": own[j, i], "xx": square[i, j], "yy": square[j, i], "xy": product[i, j]}
+        )
+
+    return products
+
+
 def correlations(df: DataFrame, columns: list[str], above: float | None = None) -> DataFrame:
-    """A-9: correlation of each pair of columns, from one aggregate."""
-    pairs = F.array(
-        *[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(q(a), q(b)).alias("corr"))
-            for a, b in combinations(columns, 2)
-        ]
+    """A-9: correlation of each pair of columns, over the rows where both are present.
+
+    A task multiplies its rows as matrices, so hundreds of columns need no more
+    plan than two; the columns are centred first, which keeps the sums exact.
+    """
+    centre = df.agg(F.struct(*[F.avg(finite(q(n))).alias(f"m{i}") for i, n in enumerate(columns)])).scalar()
+    rows = df.withColumn("_c", centre).select(*[(finite(q(n)) - c(f"_c.m{i}")).alias(f"c{i}") for i, n in enumerate(columns)])
+    parts = rows.mapInPandas(_products(len(columns)), "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+    t = parts.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in ("n", "x", "y", "xx", "yy", "xy")])
+    spread = F.sqrt((c("n") * c("xx") - c("x") * c("x")) * (c("n") * c("yy") - c("y") * c("y")))
+    names = F.array(*[F.lit(n) for n in columns])
+    out = t.select(
+        F.get(names, c("i")).alias("a"), F.get(names, c("j")).alias("b"),
+        div(c("n") * c("xy") - c("x") * c("y"), spread).alias("corr"),
     )
-    out = df.agg(pairs.alias("rows")).select(F.inline("rows"))
     return out if above is None else out.filter(c("corr") > above)
 
 
