@@ -26,7 +26,7 @@ from .storage import shared_folder, shuffle_partitions, stored
 #: A shingle in so many sets is common; more frequent ones are ordered by hash alone.
 MANY = 64
 #: Shingles that a map task holds before it sends them to the buckets.
-HELD = 1_500_000
+HELD = 1_000_000
 #: Bytes of a shingle's hash that are sent, after the bits that name its bucket.
 KEY = 6
 #: Parts that the suffix filter cuts a set into.
@@ -99,7 +99,7 @@ class _Dealer:
         row["known"] = ~np.asarray(ids.is_null().to_numpy(zero_copy_only=False))
         row["id"] = ids.fill_null(0).to_numpy(zero_copy_only=False)
         row["set"], row["n"] = name, n
-        self.sets.append(np.repeat(name, n)), self.sizes.append(np.repeat(n, n)), self.keys.append(key), self.rows.append(row)
+        self.sets.append(np.repeat(name, n)), self.sizes.append(np.repeat(n.astype(np.uint32), n)), self.keys.append(key), self.rows.append(row)
         self.held += len(key) + len(n)
 
     def flush(self) -> pa.RecordBatch:

@@ -76,36 +76,43 @@ def _add(table: pa.Table) -> pa.Table:
 
 
 def _backoff(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Kneser-Ney probabilities from counts (contexts x symbols) and the lower order's (its last contexts x symbols)."""
+    """Kneser-Ney probabilities of rows of counts, one row a context, over the lower order's rows for the same contexts."""
     total = counts.sum(axis=1, keepdims=True, dtype=np.float32)
     kinds = (counts > 0).sum(axis=1, keepdims=True, dtype=np.float32)
     share = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1).astype(np.float32)
     out = np.maximum(counts - np.float32(DISCOUNT), 0, dtype=np.float32)
     out /= np.maximum(total, 1)
-    below = np.broadcast_to(lower, (SYMBOLS, *lower.shape)).reshape(counts.shape) if len(counts) > len(lower) else lower
-    return out + share * below
+    return out + share * lower
+
+
+def _continued(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """``_backoff`` for a whole table; a context's lower order is that without its first symbol."""
+    if counts.size == SYMBOLS:  # the empty context
+        return _backoff(counts.reshape(1, SYMBOLS), lower)
+    return np.concatenate([_backoff(part, lower) for part in counts.reshape(SYMBOLS, -1, SYMBOLS)])
 
 
 def log_ratios(counts: list[np.ndarray]) -> np.ndarray:
     """Log of the toxic model's probability of the fifth symbol after four over the ordinary model's, for all five.
 
-    ``counts`` holds the ordinary and the toxic counts, tables of SYMBOLS ** 5 entries.
+    ``counts`` holds the ordinary and the toxic counts, tables of SYMBOLS ** 5 entries. Works on one first symbol at a
+    time, so that little more than the two tables is held.
     """
-    seen = [(c.reshape(SYMBOLS, -1) > 0).sum(axis=0, dtype=np.float32) for c in counts]  # before how many symbols' ends
-    shared = seen[0] + seen[1]
-    lower = np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32)
-    tables = [shared]
-    for _ in range(ORDER - 2):  # continuation counts of four, three, two, one symbols
-        tables.append((tables[-1].reshape(SYMBOLS, -1) > 0).sum(axis=0, dtype=np.float32))
-    for table in reversed(tables[1:]):
-        lower = _backoff(table.reshape(-1, SYMBOLS), lower)
-    out = None
-    for own, c in zip(seen, counts):
-        four = _backoff(own.reshape(-1, SYMBOLS), lower)
-        model = _backoff(c.reshape(-1, SYMBOLS), four)
-        np.log(model, out=model)
-        out = model.ravel() if out is None else np.subtract(model.ravel(), out)
-    return out
+    tables = [np.zeros(SYMBOLS**4, np.float32) for _ in (0, 1)]
+    for seen, c in zip(tables, counts):  # after how many symbols each four come
+        for part in c.reshape(SYMBOLS, -1):
+            seen += part > 0
+    shared, lower = [tables[0] + tables[1]], np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32)
+    for _ in range(ORDER - 2):  # continuation counts of four, three, two symbols and one
+        shared.append((shared[-1].reshape(SYMBOLS, -1) > 0).sum(axis=0, dtype=np.float32))
+    for table in reversed(shared[1:]):
+        lower = _continued(table, lower)
+    four = [_continued(seen, lower) for seen in tables]
+    out = np.zeros((SYMBOLS, SYMBOLS**4), np.float16)
+    for s in range(SYMBOLS):
+        ordinary, toxic = (np.log(_backoff(c.reshape(SYMBOLS, -1, SYMBOLS)[s], f)).ravel() for c, f in zip(counts, four))
+        out[s] = toxic - ordinary
+    return out.ravel()
 
 
 def toxic_model(train: DataFrame) -> np.ndarray:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at a time; a longer text makes a slice of its own.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
