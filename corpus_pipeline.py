@@ -17,8 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score, learned from ``labels``, stays below a half. Rows without an id are judged too."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "text")
-    scored = queries.toxicity_scores(packed.select("doc_id", "text", "_row"), labels, ["_row"])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id")
+    scored = queries.toxicity_scores(packed, labels, ["_row"], "_row.text")
     return scored.where("predicted = 0").select("_row.*")
 
 

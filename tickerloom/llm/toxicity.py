@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,27 +42,35 @@ def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return index, places, symbols
 
 
+def _summed(places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order, each once, with the sum of its counts."""
+    order = np.argsort(places, kind="stable")
+    places, counts = places[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]])) if len(places) else np.zeros(0, np.int64)
+    return places[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of one task's texts by class, as packed pieces of the table."""
-    total = np.zeros((2, SYMBOLS**ORDER), np.int32)
+    """Counts of one task's texts by class, as packed pieces of the table; only places that occur are held."""
+    total = [(np.zeros(0, np.int32), np.zeros(0, np.int64)) for _ in (0, 1)]
     for batch in batches:
         kinds, texts = batch.column("toxic").to_numpy(), batch.column("text")
-        for a, z in words.text_slices(texts, 1 << 21):
+        for a, z in words.text_slices(texts):
             for kind in (0, 1):
                 mine = np.flatnonzero(kinds[a:z] == kind) + a
                 if len(mine):
                     index = _grams(texts.take(pa.array(mine)).to_pylist())[0]
-                    index.sort()
-                    first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-                    total[kind][index[first]] += np.diff(np.append(first, len(index))).astype(np.int32)
+                    index, n = np.unique(index, return_counts=True)
+                    places, counts = total[kind]
+                    total[kind] = _summed(np.concatenate([places, index]), np.concatenate([counts, n]))
     edges = np.linspace(0, SYMBOLS**ORDER, PIECES + 1).astype(np.int64)
-    for kind in (0, 1):
+    for kind, (places, counts) in enumerate(total):
         for p in range(PIECES):
-            part = total[kind][edges[p] : edges[p + 1]]
-            at = np.flatnonzero(part)
-            if len(at):
+            lo, hi = np.searchsorted(places, edges[p : p + 2])
+            if lo < hi:
+                at = (places[lo:hi] - edges[p]).astype("<i4")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind], pa.int32()), pa.array([p], pa.int32()), pa.array([at.astype("<i4").tobytes()]), pa.array([part[at].astype("<i8").tobytes()])],
+                    [pa.array([kind], pa.int32()), pa.array([p], pa.int32()), pa.array([at.tobytes()]), pa.array([counts[lo:hi].astype("<i8").tobytes()])],
                     names=["kind", "piece", "places", "counts"],
                 )
 
@@ -163,15 +172,19 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.append(w[:-1] / spread, w[-1] - (w[:-1] * centre / spread).sum())
 
 
-def _score(shared, weights: np.ndarray | None, base: float):
+def _score(shared, weights: np.ndarray | None, base: float, text: list[str], kept: list[str]):
+    """Adds the score; ``text`` is the path to the text's column, ``kept`` are the columns to give back."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, out = batch.column("text"), [np.zeros(0)]
-            for a, z in words.text_slices(texts, 1 << 20):
+            texts, out = batch.column(text[0]), [np.zeros(0)]
+            for field in text[1:]:
+                texts = pc.struct_field(texts, field)
+            for a, z in words.text_slices(texts):
                 x, letters = _features(shared.value, texts.slice(a, z - a).to_pylist())
                 p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))) if weights is not None else np.full(len(x), base)
                 out.append(np.where(letters, p, base))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(out))], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.concatenate(out))], names=[*kept, "score"])
 
     return score
 
@@ -180,7 +193,7 @@ def _as_features(shared):
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            for a, z in words.text_slices(texts, 1 << 20):
+            for a, z in words.text_slices(texts):
                 x, letters = _features(shared.value, texts.slice(a, z - a).to_pylist())
                 y = batch.column("toxic").slice(a, z - a)
                 yield pa.RecordBatch.from_arrays([pa.array(x[letters].tolist(), pa.list_(pa.float64())), y.filter(pa.array(letters))], names=["x", "toxic"])
@@ -194,7 +207,8 @@ def fit_labels(labels: DataFrame, id_col: str = "doc_id", rows: int = FIT_ROWS)
 
 
 def with_toxicity(docs: DataFrame, counted: DataFrame, fitted: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """``id_cols`` of every row of ``docs`` with its score (0 to 1) and ``predicted`` (1 from 0.5).
+    """``id_cols`` of every row of ``docs`` with its score (0 to 1) and ``predicted`` (1 from 0.5). ``text_col`` names
+    a string column, or a string field of a structure in ``id_cols``, which is then not sent twice.
 
     ``counted`` and ``fitted`` are (text, toxic) rows for the models and for the logistic function; ``fitted`` is the
     smaller, see ``fit_labels``. Rows with a null text or label teach nothing. Null and empty texts and texts
@@ -207,7 +221,9 @@ def with_toxicity(docs: DataFrame, counted: DataFrame, fitted: DataFrame, id_col
     y = rows.column("toxic").to_numpy().astype(float)
     base = min(float(y.mean()), 0.49) if len(y) else 0.0
     weights = _fit(np.array(rows.column("x").to_pylist()), y) if 0 < y.sum() < len(y) else None
-    texts = docs.select(*id_cols, F.col(text_col).cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
-    out = texts.mapInArrow(_score(shared, weights, base), f"{schema}, score double")
+    path = text_col.split(".")
+    rows = docs.select(*dict.fromkeys([*id_cols, path[0]]))
+    kept = rows.select(*id_cols).schema
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields)
+    out = rows.mapInArrow(_score(shared, weights, base, path, kept.names), f"{schema}, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
