@@ -13,8 +13,21 @@ from tickerloom.llm import mixing, ngram_join, packing, private, queries
 from tickerloom.llm.storage import shared_folder, stored
 
 
+#: Rows of an Arrow batch: whole texts are sent to the Python workers, so fewer than Spark's default at a time.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of rows in an Arrow batch, which bounds what executors and workers hold at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score, learned from ``labels``, stays below a half. Rows without an id are judged too."""
+    bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id")
@@ -27,6 +40,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Rows that repeat an id stay together, and rows without an id stay.
     """
+    bounded_batches(spark)
     groups = ngram_join.ngram_components(docs.select("doc_id", "text"))
     gone = groups.where("component_id < doc_id").select("doc_id")
     return docs.join(stored(gone), "doc_id", "left_anti").select(*docs.columns)
@@ -39,11 +53,13 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them, the last one of a source in part."""
+    bounded_batches(spark)
     return mixing.mix_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences of 2048 tokens; a document that is repeated is packed as often."""
+    bounded_batches(spark)
     return packing.packed(docs)
 
 
