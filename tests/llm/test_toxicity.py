@@ -1,7 +1,9 @@
+import collections
 import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tickerloom.llm import toxicity
 from tickerloom.llm.characters import SYMBOLS, fold
@@ -66,3 +68,43 @@ def test_without_labels(spark):
         rows = toxicity_scores(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), ["doc_id"]).collect()
         assert len(rows) == 3 and all(r["predicted"] == 0 and not math.isnan(r["score"]) for r in rows)
     assert toxicity_scores(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int"), ["doc_id"]).count() == 0
+
+
+def test_exact_words_and_sequences(spark):
+    """Spellings that fold to the same symbols, and words that are toxic only together."""
+    from tickerloom.llm.queries import toxicity_scores
+
+    docs, labels = corpus(spark, 500, 8)
+    docs = [(i, t.replace("moron", "k1ll").replace("scum", "k1ll").replace("clown", "k1ll") + ("" if toxic else " k!ll you, again k!ll")) for (i, t), (_, toxic) in zip(docs, labels)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = toxicity_scores(table, spark.createDataFrame(labels[:400], "doc_id long, toxic int"), ["doc_id"]).collect()
+    got = {r["doc_id"]: r["predicted"] for r in rows}
+    assert sum(got[i] == t for i, t in labels[400:]) >= 95
+
+
+def test_grams_are_exact():
+    def keys(text):
+        return set(toxicity.gram_keys(pa.array([text], pa.string()))[0].tolist())
+
+    for a, b in (("k1ll", "k!ll"), ("а", "g"), ("中", "丽"), ("a b", "b a"), ("ab c", "a bc"), ("42", "43")):
+        assert keys(a) != keys(b)
+    assert len(keys("one two three four")) == 4 + 3 + 2 and len(keys("中文字")) == 3 + 2 + 1
+    assert keys("You, “Fool”!") >= keys("you") | keys("fool") and keys("") == keys(None) == set()
+    both, owners = toxicity.gram_keys(pa.array(["a b", None, "a c"]))
+    assert set(both[owners == 0].tolist()) == keys("a b") and set(both[owners == 2].tolist()) == keys("a c")
+
+
+def test_evidence_equals_counts_by_hand(spark):
+    """Mean and peak over the distinct sequences, from counts of all sequences, however the texts are dealt out."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    counted = [(t, rng.randrange(2)) for t in texts[:40]]
+    grams = lambda t: [tuple(t.split()[i : i + n]) for n in (1, 2, 3) for i in range(len(t.split()) - n + 1)]
+    seen = [collections.Counter(g for t, y in counted if y == kind for g in grams(t)) for kind in (0, 1)]
+    symbols = np.array([300.0, 200.0])
+    share = 201 / 301
+    table = spark.createDataFrame([(t,) for t in [*texts, texts[0]]], "text string").repartition(3)
+    got = {r["text_id"]: r for r in toxicity.gram_evidence(table, spark.createDataFrame(counted, "text string, toxic int"), symbols).collect()}
+    for text, name in zip(texts, toxicity.text_ids(pa.array(texts)).tolist()):
+        values = [math.log((seen[1][g] + 0.5 * share) / (seen[0][g] + 0.5) / share) if g in seen[0] or g in seen[1] else 0.0 for g in set(grams(text))]
+        assert abs(got[name]["mean"] - sum(values) / len(values)) < 1e-9 and abs(got[name]["peak"] - max(0.0, *values, 0.0)) < 1e-9
