@@ -79,3 +79,26 @@ def test_given_pages(sample):
         name, verdict = rule(host, path)
         assert (r["host"], r["path"], r["rule"]) == (host, path, name) and r["verdict"] == (verdict or r["verdict"])
         assert r["host_words"].replace(" ", "") == "".join(c for c in host if c.isalnum())
+
+
+def test_words_are_counted_exactly(spark):
+    """A frequent word in the hash bucket of a host does not make the host a word."""
+    bucket = urls._bucket("cheappills", urls.WORD_BUCKETS)
+    alike = next(w for w in (f"q{i}" for i in itertools.count()) if urls._bucket(w, urls.WORD_BUCKETS) == bucket)
+    text = "<p>cheap pills here " + f"{alike} " * 500 + "</p>"
+    pages = spark.createDataFrame([(1, "http://cheappills.net/x", text), (2, "http://pillscheapzz.net/x", None)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["host_words"] for r in urls.judged_urls(pages).collect()}
+    assert got == {1: "cheap pills net", 2: "pills cheap zz net"}
+
+
+def test_scores_equal_naive_bayes_by_hand(spark):
+    paths = [("b.com", "/de/a/a"), ("b.com", "/de/a/b"), ("b.com", "/fr/b/c"), ("b.net", "/a/c/new"), ("b.net", "/"), ("b.com", "/de/a/b")]
+    pages = spark.createDataFrame([(i, f"http://{h}{p}", None) for i, (h, p) in enumerate(paths)], "page_id long, url string, html string")
+    rows = {r["page_id"]: r for r in urls.judged_urls(pages).collect()}
+    tokens = [[f"h:{w}" for w in rows[i]["host_words"].split()] + [f"p:{w}" for w in p.split("/") if w] for i, (_, p) in enumerate(paths)]
+    counts = {v: [t for i, ts in enumerate(tokens) if rows[i]["rule"] and rows[i]["verdict"] == v for t in ts] for v in urls.VERDICTS}
+    known = set(counts["allow"] + counts["block"])
+    share = lambda t, v: (counts[v].count(t) + 0.5) / (len(counts[v]) + 0.5 * len(known))
+    for i, ts in enumerate(tokens):
+        value = math.log(4 / 2) + sum(math.log(share(t, "block") / share(t, "allow")) for t in ts if t in known)
+        assert abs(rows[i]["block_score"] - 1 / (1 + math.exp(-value))) < 1e-9

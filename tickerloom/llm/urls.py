@@ -2,7 +2,7 @@
 
 Word frequencies come from the pages' urls and texts. A host label is cut into the words that are likeliest together.
 The classes are learned from the urls that a rule decides, by multinomial naive Bayes over the words of host and path.
-Both tables are of a fixed number of hash buckets.
+Both are counted by the exact word in written tables, which grow with the input, and joined to what the urls need.
 """
 
 from __future__ import annotations
@@ -10,13 +10,15 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .storage import stored
 
 #: (verdict, host, path) of the rules.
 RULES = (
@@ -27,9 +29,10 @@ RULES = (
     ("block", "com", "/de/"),
 )
 VERDICTS = ("allow", "block")
-#: Hash buckets of word frequencies and of naive Bayes.
+#: Entries of the hashed table that ``segment`` reads; the query counts exact words.
 WORD_BUCKETS = 1 << 20
-TOKEN_BUCKETS = 1 << 16
+#: Different words that a task counts before it gives its counts out.
+HELD_WORDS = 1 << 18
 SMOOTHING = 0.5
 #: Longest word that the search considers.
 LONGEST = 20
@@ -61,43 +64,46 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashed counts of the words in one task's urls and texts; host labels count whole only where they stand alone."""
-    counts: dict[int, int] = {}
+    """Counts of the words in one task's urls and texts; host labels count whole only where they stand alone."""
+    counts: dict[str, int] = {}
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
     for batch in batches:
         for path, html in zip(batch.column("path").to_pylist(), batch.column("html").to_pylist()):
             text = re.sub(r"<(script|style)\b.*?</\1\s*>|<[^>]*>|&#?\w+;", " ", html or "", flags=re.S | re.I)
             for word in _WORD.findall(f"{path} {text}".lower()):
                 if len(word) <= LONGEST and not word.isdigit():
-                    b = _bucket(word, WORD_BUCKETS)
-                    counts[b] = counts.get(b, 0) + 1
-    at = np.array(sorted(counts), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.array([counts[b] for b in at.tolist()], np.int64))], names=["bucket", "n"])
+                    counts[word] = counts.get(word, 0) + 1
+            if len(counts) >= HELD_WORDS:
+                yield rows()
+                counts.clear()
+    yield rows()
 
 
-def word_table(pages: DataFrame) -> np.ndarray:
-    """Log probability of the words of each hash bucket, and last the log of one count."""
-    counts = pages.mapInArrow(_count_words, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(WORD_BUCKETS + 1)
-    table[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
-    total = max(table.sum(), 1)
-    seen = table > 0
-    out = np.full(len(table), -np.inf, np.float32)
-    out[seen] = np.log(table[seen] / total)
-    out[-1] = -math.log(total)
-    return out
+def word_counts(pages: DataFrame) -> DataFrame:
+    """(word, n) of the words in paths and texts, each word once."""
+    return pages.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def segment(label: str, table: np.ndarray) -> list[str]:
-    """The likeliest cut of ``label`` into words; an unknown word counts as one occurrence, less for each letter."""
-    best, cut = [0.0] + [-math.inf] * len(label), [0] * (len(label) + 1)
+def best_cut(label: str, known: dict[str, float], one: float) -> list[str]:
+    """The likeliest cut of ``label`` into words by their log probabilities; a word that is not ``known`` counts as one
+    occurrence, whose log probability is ``one``, less for each letter."""
+    lengths = sorted({len(w) for w in known})
+    best, cut, start = [0.0], [0], 0  # ``start`` is where the best unknown word would begin
     for end in range(1, len(label) + 1):
-        for start in range(max(0, end - LONGEST), end):
-            word = label[start:end]
-            p = float(table[_bucket(word, WORD_BUCKETS)])
-            if p == -math.inf:
-                p = float(table[-1]) - 2.5 * len(word)
-            if best[start] + p > best[end]:
-                best[end], cut[end] = best[start] + p, start
+        value, at = best[start] + one - 2.5 * (end - start), start
+        for n in lengths:
+            if n > end:
+                break
+            p = known.get(label[end - n : end])
+            if p is not None and best[end - n] + p > value:
+                value, at = best[end - n] + p, end - n
+        best.append(value)
+        cut.append(at)
+        if value + 2.5 * end > best[start] + 2.5 * start:
+            start = end
     words, end = [], len(label)
     while end:
         words.append(label[cut[end] : end])
@@ -105,50 +111,46 @@ def segment(label: str, table: np.ndarray) -> list[str]:
     return words[::-1]
 
 
-def _tokens(host: str, path: str, cut) -> list[str]:
-    words = [w for part in _WORD.findall(host) for w in cut(part)]
-    return [f"h:{w}" for w in words] + [f"p:{w}" for w in _WORD.findall(path.lower())]
+def segment(label: str, table: np.ndarray) -> list[str]:
+    """``best_cut`` by a table of the log probabilities of hashed words, and last the log of one count."""
+    known = {label[a:z]: float(table[_bucket(label[a:z], WORD_BUCKETS)]) for z in range(len(label) + 1) for a in range(z)}
+    return best_cut(label, {w: p for w, p in known.items() if p > -math.inf}, float(table[-1]))
+
+
+def _substrings(lengths: list[int]):
+    def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The different pieces of the parts of each host, of the lengths that words have."""
+        for batch in batches:
+            for host in batch.column("host").to_pylist():
+                for n in lengths:
+                    pieces = list({part[a : a + n] for part in _WORD.findall(host) for a in range(len(part) - n + 1)})
+                    if pieces:
+                        yield pa.RecordBatch.from_arrays([pa.array([host] * len(pieces)), pa.array(pieces)], names=["host", "word"])
 
+    return substrings
 
-def _cutter(shared):
-    """Cuts host parts; those of one task are remembered while they are few."""
-    return lru_cache(1 << 16)(lambda part: tuple(segment(part, shared.value)))
 
+def host_words(hosts: DataFrame, words: DataFrame) -> DataFrame:
+    """(host, words) of different hosts, from the (word, n) of ``word_counts``."""
+    total = max(words.agg(F.sum("n")).first()[0] or 0, 1)
+    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def cut(hosts: pa.Array, known: pa.Array) -> pa.Array:
+        out = []
+        for host, pairs in zip(hosts.to_pylist(), known.to_pylist()):
+            costs = {p["word"]: math.log(p["n"] / total) for p in pairs or ()}
+            out.append([w for part in _WORD.findall(host) for w in best_cut(part, costs, -math.log(total))])
+        return pa.array(out, pa.list_(pa.string()))
+
+    found = hosts.mapInArrow(_substrings(lengths), "host string, word string").join(words, "word")
+    found = found.groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return hosts.join(found, "host", "left").select("host", cut("host", "known").alias("words"))
 
-def _count_tokens(shared):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, total = _cutter(shared), np.zeros((len(VERDICTS), TOKEN_BUCKETS), np.int64)
-        urls = np.zeros(len(VERDICTS), np.int64)
-        for batch in batches:
-            for host, path, verdict in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "ruled"))):
-                k = VERDICTS.index(verdict)
-                urls[k] += 1
-                np.add.at(total[k], [_bucket(t, TOKEN_BUCKETS) for t in _tokens(host, path, cut)], 1)
-        for k in range(len(VERDICTS)):
-            at = np.flatnonzero(total[k])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at) + 1, k, np.int64)), pa.array(np.append(at, -1)), pa.array(np.append(total[k][at], urls[k]))], names=["verdict", "bucket", "n"]
-            )
-
-    return count
-
-
-def _judge(shared, odds: np.ndarray, prior: float):
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = _cutter(shared)
-        for batch in batches:
-            found, words, score = [], [], []
-            for host, path, ruled in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "ruled"))):
-                tokens = _tokens(host, path, cut)
-                value = prior + float(odds[[_bucket(t, TOKEN_BUCKETS) for t in tokens]].sum()) if tokens else prior
-                found.append(ruled or VERDICTS[int(value > 0)])
-                words.append(" ".join(t[2:] for t in tokens if t[0] == "h"))
-                score.append(1 / (1 + math.exp(-max(-700.0, min(700.0, value)))))
-            cols = [c for c, n in zip(batch.columns, batch.schema.names) if n != "ruled"]
-            names = [n for n in batch.schema.names if n != "ruled"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(found, pa.string()), pa.array(words, pa.string()), pa.array(score, pa.float64())], names=[*names, "verdict", "host_words", "block_score"])
 
-    return judge
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def path_words(paths: pa.Array) -> pa.Array:
+    return pa.array([_WORD.findall(p.lower()) for p in paths.to_pylist()], pa.list_(pa.string()))
 
 
 def judged_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES) -> DataFrame:
@@ -161,19 +163,24 @@ def judged_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     host, path = url_parts(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "ruled": verdict})
-    context = pages.sparkSession.sparkContext
-    shared = context.broadcast(word_table(pages.select(path.alias("path"), F.col(html_col).cast("string").alias("html"))))
-    sums = rows.where("ruled is not null").select("host", "path", "ruled").mapInArrow(_count_tokens(shared), "verdict long, bucket long, n long")
-    sums = sums.groupBy("verdict", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most two rows a bucket
-    counts, urls = np.zeros((len(VERDICTS), TOKEN_BUCKETS)), np.zeros(len(VERDICTS))
-    kind, at, n = (sums.column(c).to_numpy() for c in ("verdict", "bucket", "n"))
-    counts[kind[at >= 0], at[at >= 0]] = n[at >= 0]
-    urls[kind[at < 0]] = n[at < 0]
-    known = counts.sum(axis=0) > 0  # a word that no ruled url has says nothing
-    logs = np.log((counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * max(1, known.sum())))
-    odds = np.where(known, logs[1] - logs[0], 0.0)
-    prior = float(np.log((urls[1] + 1) / (urls[0] + 1))) if urls.sum() else 0.0
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    out = rows.mapInArrow(_judge(shared, odds, prior), f"{schema}, verdict string, host_words string, block_score double")
-    return out.withColumnRenamed("_id", id_col)
+    rows = stored(rows.withColumns({"rule": rule, "ruled": verdict}))
+    words = stored(word_counts(pages.select(path.alias("path"), F.col(html_col).cast("string").alias("html"))))
+    cuts = stored(host_words(rows.select("host").distinct(), words))
+    allowed, blocked = (F.sum(F.when(F.col("ruled") == v, 1).otherwise(0)).alias(v) for v in VERDICTS)
+    urls = rows.groupBy("host", "path").agg(allowed, blocked).join(cuts, "host")
+    tokens = F.concat(F.transform("words", lambda w: F.concat(F.lit("h:"), w)), F.transform("_path", lambda w: F.concat(F.lit("p:"), w)))
+    urls = stored(urls.withColumn("_path", path_words("path")).withColumn("tokens", tokens).drop("_path"))
+    said = urls.where("allow + block > 0").select(F.explode("tokens").alias("token"), *VERDICTS)
+    said = stored(said.groupBy("token").agg(*(F.sum(v).alias(v) for v in VERDICTS)))  # others say nothing
+    ruled = urls.agg(*(F.sum(v) for v in VERDICTS)).first()
+    *sums, known = said.agg(*(F.sum(v) for v in VERDICTS), F.count("*")).first()
+    allowed, blocked = (F.log((F.col(v) + SMOOTHING) / ((n or 0) + SMOOTHING * max(1, known))) for v, n in zip(VERDICTS, sums))
+    prior = math.log(((ruled[1] or 0) + 1) / ((ruled[0] or 0) + 1))
+    odds = urls.select("host", "path", F.explode("tokens").alias("token")).join(said.select("token", (blocked - allowed).alias("odds")), "token")
+    odds = odds.groupBy("host", "path").agg(F.sort_array(F.collect_list("odds")).alias("odds"))  # summed in one order
+    value = F.lit(prior) + F.coalesce(F.aggregate("odds", F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+    judged = urls.join(odds, ["host", "path"], "left").select("host", "path", F.concat_ws(" ", "words").alias("host_words"), value.alias("_value"))
+    verdict = F.coalesce("ruled", F.when(F.col("_value") > 0, VERDICTS[1]).otherwise(VERDICTS[0]))
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("_value")))))
+    out = rows.join(judged, ["host", "path"])
+    return out.select(F.col("_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "host_words", score.alias("block_score"))
