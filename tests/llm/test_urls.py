@@ -102,3 +102,10 @@ def test_scores_equal_naive_bayes_by_hand(spark):
     for i, ts in enumerate(tokens):
         value = math.log(4 / 2) + sum(math.log(share(t, "block") / share(t, "allow")) for t in ts if t in known)
         assert abs(rows[i]["block_score"] - 1 / (1 + math.exp(-value))) < 1e-9
+
+
+def test_long_words_are_found(spark):
+    long = "donaudampfschifffahrtsgesellschaft"
+    pages = spark.createDataFrame([(1, f"http://neue{long}.de/", f"<p>neue {long} {long}</p>"), (2, "http://" + "q" * 30 + ".de/", None)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["host_words"] for r in urls.judged_urls(pages).collect()}
+    assert got[1] == f"neue {long} de" and got[2] == "q" * 30 + " de"

@@ -34,8 +34,6 @@ WORD_BUCKETS = 1 << 20
 #: Different words that a task counts before it gives its counts out.
 HELD_WORDS = 1 << 18
 SMOOTHING = 0.5
-#: Longest word that the search considers.
-LONGEST = 20
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -74,7 +72,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, html in zip(batch.column("path").to_pylist(), batch.column("html").to_pylist()):
             text = re.sub(r"<(script|style)\b.*?</\1\s*>|<[^>]*>|&#?\w+;", " ", html or "", flags=re.S | re.I)
             for word in _WORD.findall(f"{path} {text}".lower()):
-                if len(word) <= LONGEST and not word.isdigit():
+                if not word.isdigit():
                     counts[word] = counts.get(word, 0) + 1
             if len(counts) >= HELD_WORDS:
                 yield rows()
