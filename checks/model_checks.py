@@ -357,7 +357,7 @@ add(
         model_auc FROM sg""",
     ),
 )
-add("compared_models", lambda s, p: models.compare_models(model_features(s, p), TECHNICAL))
+add("compared_models", lambda s, p: models.compare_models(model_features(s, p), indicators.TECHNICAL))
 add(
     "feature_group_ablation",
     lambda s, p: models.run_ablation(

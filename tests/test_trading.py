@@ -235,3 +235,12 @@ def test_summaries(spark, make_bars):
     assert (row["count"], row["mean"], row["p25"], row["max"]) == (4, 2.5, 1.75, 4.0)
     kept = explore.keep_last(spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "k int, seq int, v string"), ["k"], "seq")
     assert kept.first().v == "b"
+
+
+def test_polynomial_model_has_cubic_terms(spark):
+    """A target that only a product of three columns tells."""
+    signs = [(x, y, z) for x in (-1.0, 1.0) for y in (-1.0, 1.0) for z in (-1.0, 1.0)]
+    rows = [(f"{i}", None, float(x * y * z > 0), False, x, y, z) for i, (x, y, z) in enumerate(signs * 20)]
+    rows += [(f"v{i}", None, float(x * y * z > 0), True, x, y, z) for i, (x, y, z) in enumerate(signs * 5)]
+    table = spark.createDataFrame(rows, "symbol string, date date, target double, is_valid boolean, f0 double, f1 double, f2 double")
+    assert min(models.fit_and_score(models.pooled_models(["a", "b", "c"])["poly_svm"], table)) > 0.99

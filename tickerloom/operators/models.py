@@ -225,9 +225,9 @@ def pooled_models(columns: list[str], rounds: int = 200, iterations: int = 100)
     label = {"labelCol": "target"}
     return {
         "logistic": pipeline(LogisticRegression(maxIter=iterations, **label)),
-        # A polynomial kernel as explicit products of all columns.
+        # A polynomial kernel of the third degree as explicit products of all columns.
         "poly_svm": pipeline(
-            PolynomialExpansion(degree=2, inputCol="features", outputCol="poly"),
+            PolynomialExpansion(degree=3, inputCol="features", outputCol="poly"),
             LinearSVC(featuresCol="poly", maxIter=iterations, **label),
         ),
         "boosted_trees": pipeline(
