@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences: five stages, each over all that the one before kept.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, and all but the last
-return the columns of ``docs``. Rows with a null id and repeated rows pass each stage as its docstring says.
+return the columns of ``docs``. Rows with a null id and repeated ids pass each stage as its docstring says.
 """
 
 from __future__ import annotations
@@ -36,14 +36,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that 5-word shingles with a Jaccard similarity of 0.75 link.
+    """One document of each group that 5-word shingles with a Jaccard similarity of 0.75 link: that with the smallest id.
 
-    Rows that repeat an id stay together, and rows without an id stay.
+    Each row is judged by its own text, also if ids repeat. Of equal ids the smallest row by hash stays, rows without an
+    id come last. Rows without words are linked with nothing and stay.
     """
     bounded_batches(spark)
-    groups = ngram_join.ngram_components(docs.select("doc_id", "text"))
-    gone = groups.where("component_id < doc_id").select("doc_id")
-    return docs.join(stored(gone), "doc_id", "left_anti").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(row).alias("name"), F.hash(row).alias("other"))
+    # A row is told by its hash: equal rows have one, and one of them stays if they have words.
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.withColumn("_name", F.xxhash64(row))
+    groups = stored(ngram_join.ngram_components(keyed.select("_name", "text"), "_name")).where("n_shingles > 0")
+    ranked = keyed.select("_name", first.alias("_first")).distinct().join(groups.select("_name", "component_id").distinct(), "_name")
+    ranked = stored(ranked.select("component_id", "_first"))
+    best = ranked.groupBy("component_id").agg(F.min("_first").alias("_best"))
+    gone = ranked.join(best, "component_id").where("_first != _best").select(F.col("_first.name").alias("_name"))
+    kept = keyed.join(stored(gone), "_name", "left_anti")
+    kept = kept.withColumn("_copy", F.when(words, 0).otherwise(F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["_name", "_copy"]).select(*docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,12 @@ def test_run_on_given_documents_and_on_none(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_one_of_each_group_with_equal_and_null_ids(spark, tmp_path):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(30)) for w in "abc")
+    rows = [(1, one), (5, one), (5, two), (7, three), (7, three), (None, three), (None, "x y z u v w"), (None, "x y z u v w"), (None, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path)).collect()
+    want = [(1, one), (5, two), (7, three), (None, "x y z u v w"), (None, None), (8, ""), (8, "")]
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept) == collections.Counter(want)
