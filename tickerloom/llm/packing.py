@@ -97,6 +97,29 @@ def _best_pattern(values: np.ndarray, widths: np.ndarray, room: int) -> tuple[fl
     return best[room], pattern
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrix times vector, or vector times matrix, by plain loops (see ``solved``)."""
+    return np.einsum("ij,j->i", a, b) if a.ndim == 2 else np.einsum("i,ij->j", a, b)
+
+
+def solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x with a x = b for a vector or matrix b, by elimination in vector steps.
+
+    The driver has started the JVM as a child process by now, after which the threads of a linear algebra library may
+    wait for ever; a program of a few hundred classes needs none of them.
+    """
+    m, both = len(a), np.column_stack([a, b]).astype(float)
+    for k in range(m):
+        p = k + int(np.abs(both[k:, k]).argmax())
+        if not both[p, k]:
+            raise ValueError("the matrix is singular")
+        both[[k, p]] = both[[p, k]]
+        both[k] /= both[k, k]
+        rest = np.arange(m) != k
+        both[rest, k:] -= both[rest, k, None] * both[k, k:]
+    return both[:, m] if np.ndim(b) == 1 else both[:, m:]
+
+
 def cutting_stock(demand: dict[int, int], room: int, gap: float = GAP, rounds: int = 20_000) -> list[tuple[dict[int, int], int]]:
     """Patterns {width: places} and how often each is used: the linear program's solution, rounded down.
 
@@ -111,12 +134,12 @@ def cutting_stock(demand: dict[int, int], room: int, gap: float = GAP, rounds: i
     # A trifle more of each width, never alike, so that no step of the program stands still.
     need = exact + 1e-6 * np.random.default_rng(m).uniform(1, 2, m)
     columns, cost = np.diag((room // widths).astype(float)), np.ones(m)
-    inverse = np.linalg.inv(columns)
+    inverse = np.diag(1 / (room // widths))
     bound, steady = 0.0, widths / room  # the best bound yet, and its prices
     for turn in range(rounds):
         if turn % 64 == 63:
-            inverse = np.linalg.inv(columns)
-        use, prices = inverse @ need, cost @ inverse
+            inverse = solved(columns, np.eye(m))
+        use, prices = _times(inverse, need), _times(cost, inverse)
         steps = np.diff(prices, prepend=0)
         k = int(steps.argmin())
         if steps[k] < -1e-9:  # a place of this width is worth less than a narrower one: let it be exchanged
@@ -128,21 +151,21 @@ def cutting_stock(demand: dict[int, int], room: int, gap: float = GAP, rounds: i
             for weight in (0.8, 0.0):  # prices half-way to the steady ones first, which find better patterns
                 asked = weight * steady + (1 - weight) * prices
                 value, entering = _best_pattern(asked, widths, room)
-                if asked @ need / max(value, 1) > bound:
-                    bound, steady = asked @ need / max(value, 1), asked / max(value, 1)
-                if entering @ prices > 1 + 1e-9:
+                if (asked * need).sum() / max(value, 1) > bound:
+                    bound, steady = (asked * need).sum() / max(value, 1), asked / max(value, 1)
+                if (entering * prices).sum() > 1 + 1e-9:
                     break
             price = 1.0
-            if cost @ use <= bound * (1 + gap) or entering @ prices <= 1 + 1e-9:
+            if (cost * use).sum() <= bound * (1 + gap) or (entering * prices).sum() <= 1 + 1e-9:
                 break
-        change = inverse @ entering
+        change = _times(inverse, entering)
         able = np.flatnonzero(change > 1e-9)
         out = able[int((np.maximum(use[able], 0) / change[able]).argmin())]
         columns[:, out], cost[out] = entering, price
         inverse[out] /= change[out]
         others = np.arange(m) != out
-        inverse[others] -= np.outer(change[others], inverse[out])
-    use = np.floor(np.linalg.solve(columns, exact) + 1e-7)
+        inverse[others] -= change[others, None] * inverse[out]
+    use = np.floor(solved(columns, exact) + 1e-7)
     return [
         ({int(widths[i]): int(columns[i, k]) for i in np.flatnonzero(columns[:, k])}, int(use[k]))
         for k in np.flatnonzero((use > 0) & (cost > 0))

@@ -73,7 +73,8 @@ def _nearest(k: int):
 def _plan(pivots: np.ndarray, near: dict[int, list[float]], data: dict[int, int], asked: dict[int, tuple[int, float]], k: int, slack: float):
     """Groups of query cells with, for each data cell, the least and the greatest distance to its pivot of rows that
     may be needed: (cells, splits by queries, data blocks, lower bounds, upper bounds)."""
-    between = _distances(pivots, pivots)
+    # By rows and without linear algebra, whose threads may wait for ever on the driver.
+    between = np.array([np.sqrt(((pivots - p) ** 2).sum(axis=1)) for p in pivots]).reshape(len(pivots), len(pivots))
     ring = {}
     for i, (_, radius) in asked.items():
         reach = sorted(radius + between[i, j] + d for j, ds in near.items() for d in ds)
