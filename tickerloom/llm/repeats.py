@@ -12,8 +12,9 @@ offset. Each length reuses the identifiers of the one before, up to 400.
    and last string, which cover all of it. A run that is there twice is repeated whole; a bucket of one is done.
 3. **Further refinements.** What is left are buckets with a run that is there once, as at both ends of a repeated
    passage. Such runs, and one of each repeated run of the bucket, are cut at fixed distances from the anchor into blocks
-   of 64, then 8 strings, then single ones; the distance refines the bucket. At each size the same steps settle blocks
-   that are there twice and buckets of one, and only the rest is cut again.
+   of 64, then 8 strings, then single ones. The bytes that all strings of a whole block have in common (337, 393, 400)
+   refine the bucket. At each size the same steps settle blocks that are there twice and buckets of one, and only the
+   rest is cut again.
 
 Counts are partial sums before every shuffle and the joins may be split, so a passage that a third of all texts hold does
 not meet in one task. Long texts are worked on in pieces of a mebibyte that overlap by one string.
@@ -205,7 +206,7 @@ def _blocks(length: int, size: int):
             for a, z in words.text_slices(batch.column("string"), PIECE):
                 data = np.frombuffer(b"".join(strings[a:z]), np.uint8)
                 offsets = np.cumsum([0, *map(len, strings[a:z])])
-                ids = identifiers(data, length, length)[1]
+                core, ids = identifiers(data, length, length - size + 1)
                 pieces = batch.column("pieces").slice(a, z - a)
                 owner = np.repeat(np.arange(z - a), np.diff(pieces.offsets.to_numpy()))
                 flat = pieces.flatten()
@@ -213,12 +214,15 @@ def _blocks(length: int, size: int):
                 opened = flat.field("open").to_numpy(zero_copy_only=False)
                 piece, at = np.repeat(np.arange(len(n)), n), words.ragged(n)
                 place = lo[piece] + at
-                block = (batch.column("at").to_numpy()[a:z][owner[piece]] - place) // size
+                anchor = batch.column("at").to_numpy().astype(np.int64)[a:z][owner[piece]]
+                block = (anchor - place) // size
                 first = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (block[1:] != block[:-1])]))
                 last = np.append(first[1:], len(piece)) - 1
                 of, begin = piece[first], offsets[owner[piece]] + place
                 count = last - first + 1
-                bucket = words.mix(q[of].view(np.uint64) * np.uint64(5) + block[first].astype(np.uint64) * np.uint64(1024) + np.uint64(size))
+                # The last start of the whole block; the strings of the run are only a part of it at the run's ends.
+                inner = core[offsets[owner[of]] + anchor[first] - block[first] * size]
+                bucket = words.mix(q[of].view(np.uint64) * np.uint64(5) + inner * np.uint64(9) + block[first].astype(np.uint64))
                 name = _name(ids[begin[first]], ids[begin[last]], count)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -258,7 +262,7 @@ def repeated_places(docs: DataFrame, text_col: str = "text", length: int = LENGT
     strings = strings.mapInArrow(_cut(length), f"{_KEYS}, start long, at int, n int, q long, open boolean, string binary")
     strings = stored(strings.withColumn("run", F.monotonically_increasing_id()), folder, "strings")
     pieces = strings.select("run", F.array(F.struct("q", "open", F.lit(0).alias("lo"), "n")).alias("pieces"))
-    for turn, size in enumerate(BLOCKS, 1):
+    for turn, size in enumerate((min(s, length - max(1, length // QUARTER) + 1) for s in BLOCKS), 1):
         rows = strings.select("run", "at", "string").join(pieces, "run").mapInArrow(_blocks(length, size), _BLOCK)
         found, left = _refined(rows.withColumn("reps", F.lit(1)), folder, turn)
         found = found.join(strings.select("run", "a", "b", "start"), "run")
