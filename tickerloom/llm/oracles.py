@@ -55,9 +55,50 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, links.b F
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, r.b AS component_id FROM w LEFT JOIN n USING (doc_id)
 JOIN (SELECT a, min(b) AS b FROM reach GROUP BY 1) r ON r.a = w.doc_id"""
 
+# The checksum byte by byte over the table of its remainders; hex digits give the bytes of a text.
+IMPORTANCE_RESAMPLING = r"""WITH RECURSIVE step(b, k, v) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM step WHERE k < 8),
+tab AS (SELECT list(v ORDER BY b) AS t FROM step WHERE k = 8),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+f AS (SELECT row, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM d),
+g AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM b),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM f UNION SELECT f FROM g)),
+y AS (SELECT f, [4294967295::BIGINT] || list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS y FROM h),
+c AS (SELECT f, xor(list_reduce(y, lambda s, v: xor(s >> 8, t[(xor(s, v) & 255) + 1])), 4294967295) % 10000 AS bucket FROM y, tab),
+s AS (SELECT bucket, count(*) AS n FROM f JOIN c USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM g JOIN c USING (f) GROUP BY bucket),
+e AS (SELECT c.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM s), 0) + 10000)::DOUBLE
+    / ((coalesce(s.n, 0) + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT DISTINCT bucket FROM c) c LEFT JOIN s ON s.bucket = c.bucket LEFT JOIN t ON t.bucket = c.bucket),
+m AS (SELECT row, count(*) AS n, sum(gain) AS gain FROM f JOIN c USING (f) JOIN e USING (bucket) GROUP BY row),
+r AS (SELECT row, doc_id, len(w) AS words, coalesce(m.n, 0) AS n_features, CASE WHEN m.n IS NULL THEN 0
+    ELSE CAST(m.gain // m.n - CASE WHEN m.gain < 0 AND m.gain % m.n <> 0 THEN 1 ELSE 0 END AS BIGINT) END AS weight,
+  ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (row)),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM r),
+q AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY words >= 20) AS able FROM z)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CASE WHEN words >= 20 AND place <= 25 * able // 100 THEN CAST(place AS BIGINT) END AS rank FROM q"""
+
+# Two hex digits a byte; a byte goes if one of the 400 strings that cover it starts twice.
+SUFFIX_DEDUP = """WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT row, i, md5(substr(x, 2 * i + 1, 800)) AS m FROM (SELECT row, x, unnest(range(0, len(x) // 2 - 399)) AS i FROM d WHERE len(x) >= 800)),
+g AS (SELECT m FROM s GROUP BY m HAVING count(*) > 1),
+p AS (SELECT row, i, lag(i) OVER (PARTITION BY row ORDER BY i) AS before FROM s JOIN g USING (m)),
+n AS (SELECT row, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY row ORDER BY i) AS span FROM p),
+r AS (SELECT row, span, min(i) AS a, max(i) + 400 AS z FROM n GROUP BY row, span),
+k AS (SELECT row, a, z, lag(z) OVER (PARTITION BY row ORDER BY a) AS upto, row_number() OVER (PARTITION BY row ORDER BY a DESC) AS back FROM r),
+t AS (SELECT d.row, string_agg(substr(x, 2 * coalesce(upto, 0) + 1, 2 * (a - coalesce(upto, 0))), '' ORDER BY a)
+    || substr(any_value(x), 2 * max(z) + 1) AS kept, sum(z - a) AS removed, count(*) AS spans FROM k JOIN d USING (row) GROUP BY d.row)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN t USING (row)"""
+
 ORACLES = {
     "op2_exact_top_k": EXACT_TOP_K,
     "op3_source_mix": SOURCE_MIX,
     "op4_chat_format": CHAT_FORMAT,
     "op10_ngram_jaccard_join": NGRAM_JOIN,
+    "op12_importance_resampling": IMPORTANCE_RESAMPLING,
+    "op13_suffix_dedup": SUFFIX_DEDUP,
 }

@@ -51,9 +51,10 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return space, lower, np.random.default_rng(2024).integers(1, 2**63, 256, dtype=np.uint64)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the number of words before each text (n + 1 of them)."""
-    inside = ~_tables()[0][data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the number of words before each text (n + 1 of them). ``inside`` marks the
+    bytes of words, if they are other ones than all but white space."""
+    inside = ~_tables()[0][data] if inside is None else inside
     if not len(inside):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     first = inside.copy()
