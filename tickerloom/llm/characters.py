@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-from functools import lru_cache
-
 import numpy as np
 
-#: Symbols of ``fold``: a to z, and one for all that is not a letter.
-SYMBOLS = 27
-
 
 def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the lower-cased texts, each after one zero and with one zero at the end; the n + 1 places of
@@ -21,23 +15,5 @@ def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return data, places
 
 
-@lru_cache(1)
-def _folded() -> np.ndarray:
-    """Of every character of the basic plane: its letter without accents, or a number from its code if it is a letter
-    of another script, or the last symbol."""
-    table = np.full(65537, SYMBOLS - 1, np.uint8)
-    for code in range(65536):
-        c = chr(code)
-        if c.isalpha():
-            base = unicodedata.normalize("NFKD", c)[0].lower()
-            table[code] = ord(base) - 97 if "a" <= base <= "z" else code % (SYMBOLS - 1)
-    return table
-
-
-def fold(codes: np.ndarray) -> np.ndarray:
-    """Symbols 0 to 26 of code points; the zero between texts is no letter."""
-    return _folded()[np.minimum(codes, 65536)]
-
-
 def has_letter(texts: list[str | None]) -> np.ndarray:
     return np.array([any(c.isalpha() for c in t) if t else False for t in texts], bool)

@@ -49,11 +49,8 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of every row with score and prediction, learned from the labels of ``docs``: folds 1 to 3 of
     5 are counted, fold 4 is fitted on, fold 0 stays out."""
-    labels = labels.select("doc_id", "toxic").hint("merge")  # labels grow with the documents
-    texts = docs.select(F.col("doc_id"), F.col(text_col).alias("text"))
-    counted = texts.where(_fold(5).isin(1, 2, 3)).join(labels.where(_fold(5).isin(1, 2, 3)), "doc_id").select("text", "toxic")
-    fitted = texts.where(_fold(5) == 4).join(toxicity.fit_labels(labels.where(_fold(5) == 4)), "doc_id").select("text", "toxic")
-    return toxicity.with_toxicity(docs, counted, fitted, keep, text_col)
+    labels = labels.select("doc_id", "toxic")
+    return toxicity.with_toxicity(docs, labels.where(_fold(5).isin(1, 2, 3)), toxicity.fit_labels(labels.where(_fold(5) == 4)), keep, text_col)
 
 
 def op7_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:

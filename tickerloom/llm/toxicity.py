@@ -1,153 +1,51 @@
-"""Toxicity: Kneser-Ney models of folded characters and exact counts of word sequences, of toxic and of ordinary texts.
-
-For spellings, characters are folded to 27 symbols. Each class has its own counts of five symbols and its own
-continuation counts of four; shorter contexts fall back on continuation counts that both classes share, so an expression
-that neither has seen says nothing. A text is judged by the difference of the two log-likelihoods divided by length: of
-the whole text, and the highest over all runs of a few characters, as a long text may hold one toxic expression.
-
-For words, every sequence of one to three words of the counted texts is counted by class, see ``gram_keys``. The counts
-grow with the corpus; they and the sequences of the texts to judge are dealt out by key, and a task holds the counts of
-one bucket at a time. A text gets the mean and the highest log ratio of its distinct sequences.
-
-A logistic function, fitted on labelled rows that were not counted, turns all of these into a score.
+"""Toxicity: class-conditional Kneser-Ney models of word pairs, one of toxic and one of ordinary texts.
+
+Each class has its own counts of pairs (a word after the one before it) and its own continuation counts (in how many
+pairs a word is the second one), with a discount off each. Below them are continuation counts that both classes share,
+so an expression that neither has seen says little. A text is judged by the difference of its two log-likelihoods,
+divided by its length; as a long text may hold one toxic expression, also by the highest difference of its words, pairs
+and runs of words, sorted by how often such an expression was counted. A logistic function, fitted on labelled rows that
+were not counted, turns these into a score.
+
+Words are exact, and what is counted grows with the corpus, so nothing of it is sent to all tasks. The texts stay where
+they are, in *slices* of some megabytes. A slice asks for its distinct pairs and words once: sorted keys, dealt by their
+first bits to buckets, each of which holds the counts of its own keys and answers row by row. Answers go back to their
+slice, and the texts are read again.
+
+- The first question adds up pairs. Its answer also says which counted pairs a slice is the first to have, so each
+  distinct pair is taken once for the continuation counts, which go with the second question.
+- The second question adds up words and gets their counts as second words and as contexts.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
+from pyspark import RDD, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .characters import SYMBOLS, code_points, fold
-from .storage import shuffle_partitions, stored
+from .storage import shared_folder, stored
 
-ORDER = 5
 DISCOUNT = 0.75
-#: Lengths of the runs of characters that are judged besides the whole text.
-RUNS = (6, 12, 24)
-CHARACTER_FEATURES = ["whole", *(f"run_{n}" for n in RUNS), "length"]
+#: Words of the runs that are judged besides the whole text.
+RUN = 8
+#: Highest numbers of times that the rare and the known expressions were counted; all others are frequent.
+TIERS = (2, 8)
+FEATURES = ["whole", "run", "word_rare", "word_known", "word_frequent", "pair_rare", "pair_known", "pair_frequent", "unknown", "length"]
 #: Labelled rows that the logistic function is fitted on, at most.
 FIT_ROWS = 20_000
-#: Counts are sent in this many pieces of the table.
-PIECES = 64
-#: Words of the longest sequences that are counted.
-GRAM = 3
-#: Added to the counts of a sequence, for the toxic class times its share of characters over that of the ordinary class.
-SMOOTHING = 0.5
-#: Characters of counted texts for each bucket of sequences; a bucket's counts are held by one task.
-BUCKET_CHARACTERS = 1 << 21
-GRAM_SCHEMA = "bucket int, kind int, keys binary, counts binary, owners binary, ids binary"
-
-
-def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index of the five symbols that end at each place, the places of the zeros between texts, and the symbols."""
-    codes, places = code_points(texts)
-    symbols = fold(codes)
-    padded = np.concatenate([np.full(ORDER - 1, SYMBOLS - 1, np.uint8), symbols]).astype(np.int32)
-    index = np.zeros(len(symbols), np.int32)
-    for k in range(ORDER):
-        index = index * SYMBOLS + padded[k : k + len(symbols)]
-    return index, places, symbols
-
-
-def _summed(places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in order, each once, with the sum of its counts."""
-    order = np.argsort(places, kind="stable")
-    places, counts = places[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]])) if len(places) else np.zeros(0, np.int64)
-    return places[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of one task's texts by class, as packed pieces of the table; only places that occur are held."""
-    total = [(np.zeros(0, np.int32), np.zeros(0, np.int64)) for _ in (0, 1)]
-    for batch in batches:
-        kinds, texts = batch.column("toxic").to_numpy(), batch.column("text")
-        for a, z in words.text_slices(texts):
-            for kind in (0, 1):
-                mine = np.flatnonzero(kinds[a:z] == kind) + a
-                if len(mine):
-                    index = _grams(texts.take(pa.array(mine)).to_pylist())[0]
-                    index, n = np.unique(index, return_counts=True)
-                    places, counts = total[kind]
-                    total[kind] = _summed(np.concatenate([places, index]), np.concatenate([counts, n]))
-    edges = np.linspace(0, SYMBOLS**ORDER, PIECES + 1).astype(np.int64)
-    for kind, (places, counts) in enumerate(total):
-        for p in range(PIECES):
-            lo, hi = np.searchsorted(places, edges[p : p + 2])
-            if lo < hi:
-                at = (places[lo:hi] - edges[p]).astype("<i4")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind], pa.int32()), pa.array([p], pa.int32()), pa.array([at.tobytes()]), pa.array([counts[lo:hi].astype("<i8").tobytes()])],
-                    names=["kind", "piece", "places", "counts"],
-                )
-
-
-def _add(table: pa.Table) -> pa.Table:
-    """Sums the counts of one piece of one class."""
-    at = np.concatenate([np.frombuffer(x.as_py(), "<i4") for x in table.column("places")])
-    n = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in table.column("counts")])
-    places, inverse = np.unique(at, return_inverse=True)
-    sums = np.bincount(inverse, weights=n).astype("<i8")
-    return pa.table({"kind": table.column("kind")[:1], "piece": table.column("piece")[:1], "places": [places.astype("<i4").tobytes()], "counts": [sums.tobytes()]})
-
-
-def _backoff(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Kneser-Ney probabilities of rows of counts, one row a context, over the lower order's rows for the same contexts."""
-    total = counts.sum(axis=1, keepdims=True, dtype=np.float32)
-    kinds = (counts > 0).sum(axis=1, keepdims=True, dtype=np.float32)
-    share = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1).astype(np.float32)
-    out = np.maximum(counts - np.float32(DISCOUNT), 0, dtype=np.float32)
-    out /= np.maximum(total, 1)
-    return out + share * lower
-
-
-def _continued(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """``_backoff`` for a whole table; a context's lower order is that without its first symbol."""
-    if counts.size == SYMBOLS:  # the empty context
-        return _backoff(counts.reshape(1, SYMBOLS), lower)
-    return np.concatenate([_backoff(part, lower) for part in counts.reshape(SYMBOLS, -1, SYMBOLS)])
-
-
-def log_ratios(counts: list[np.ndarray]) -> np.ndarray:
-    """Log of the toxic model's probability of the fifth symbol after four over the ordinary model's, for all five.
-
-    ``counts`` holds the ordinary and the toxic counts, tables of SYMBOLS ** 5 entries. Works on one first symbol at a
-    time, so that little more than the two tables is held.
-    """
-    tables = [np.zeros(SYMBOLS**4, np.float32) for _ in (0, 1)]
-    for seen, c in zip(tables, counts):  # after how many symbols each four come
-        for part in c.reshape(SYMBOLS, -1):
-            seen += part > 0
-    shared, lower = [tables[0] + tables[1]], np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32)
-    for _ in range(ORDER - 2):  # continuation counts of four, three, two symbols and one
-        shared.append((shared[-1].reshape(SYMBOLS, -1) > 0).sum(axis=0, dtype=np.float32))
-    for table in reversed(shared[1:]):
-        lower = _continued(table, lower)
-    four = [_continued(seen, lower) for seen in tables]
-    out = np.zeros((SYMBOLS, SYMBOLS**4), np.float16)
-    for s in range(SYMBOLS):
-        ordinary, toxic = (np.log(_backoff(c.reshape(SYMBOLS, -1, SYMBOLS)[s], f)).ravel() for c, f in zip(counts, four))
-        out[s] = toxic - ordinary
-    return out.ravel()
-
-
-def toxic_model(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Log ratios of all five symbols from (text, toxic) rows, and the number of symbols by class; every row is counted."""
-    sums = train.mapInArrow(_count, "kind int, piece int, places binary, counts binary").groupBy("kind", "piece").applyInArrow(_add, "kind int, piece int, places binary, counts binary")
-    counts, symbols = [np.zeros(SYMBOLS**ORDER, np.float32) for _ in (0, 1)], np.zeros(2)
-    edges = np.linspace(0, SYMBOLS**ORDER, PIECES + 1).astype(np.int64)
-    for r in sums.toLocalIterator():  # the table's size at most, a piece at a time
-        n = np.frombuffer(r["counts"], "<i8")
-        counts[r["kind"]][edges[r["piece"]] + np.frombuffer(r["places"], "<i4")] = n
-        symbols[r["kind"]] += n.sum()
-    return log_ratios(counts), symbols
+#: Bytes of text of a slice; a longer text makes a slice of its own.
+SLICE = 8 << 20
+#: Bytes of text for each bucket of keys, and bounds of the number of buckets as powers of two.
+BUCKET_BYTES, BUCKET_BITS = 2 << 20, (6, 16)
+#: What comes before the first word of a text.
+START = np.uint64(0x5BD1E995A7C1F3B1)
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,222 +76,436 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.where(some, after, starts), np.where(some, before, ends), np.searchsorted(offsets, starts, side="right") - 1
 
 
-def gram_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit keys of all sequences of one to GRAM lower-cased words of the texts, in order, and their texts; the texts of
-    equal keys are in order."""
-    data, offsets = words.text_bytes(pc.utf8_lower(texts))
-    starts, ends, owner = _tokens(data, offsets)
-    hashes = words.word_hashes(data, starts, ends, lower=False)
-    keys, owners, longer = [hashes], [owner], hashes
-    for n in range(1, GRAM):
-        longer = words.mix(longer[:-1] * np.uint64(2 * n + 1) + hashes[n:])
-        same = owner[: len(longer)] == owner[n:]
-        keys.append(longer[same])
-        owners.append(owner[n:][same])
-    keys, owners = np.concatenate(keys), np.concatenate(owners)
-    order = np.argsort(keys, kind="stable")
-    return keys[order], owners[order]
+class Pairs:
+    """The words of some texts: ``word`` and ``pair`` hold the distinct keys in order, ``word_of`` and ``pair_of`` the
+    place of each token's, ``text`` its text; ``left`` and ``right`` are the words of each distinct pair."""
+
+    def __init__(self, texts: pa.Array):
+        data, offsets = words.text_bytes(pc.utf8_lower(texts))
+        starts, ends, self.text = _tokens(data, offsets)
+        tokens = words.word_hashes(data, starts, ends, lower=False)
+        new = np.ones(len(tokens), bool)
+        new[1:] = self.text[1:] != self.text[:-1]
+        before = np.append(START, tokens[:-1])[: len(tokens)]
+        before[new] = START
+        self.word, self.word_of = np.unique(np.append(tokens, START), return_inverse=True)
+        start, self.word_of = self.word_of[-1], self.word_of[:-1]
+        context = np.append(start, self.word_of[:-1])[: len(tokens)]
+        context[new] = start
+        self.pair, first, self.pair_of = np.unique(words.mix(before * np.uint64(3) + tokens), return_index=True, return_inverse=True)
+        self.left, self.right = context[first], self.word_of[first]
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Whole numbers as bytes: one byte each, and those from 255 with their places at the end; nothing if all are 0."""
+    if not counts.any():
+        return b""
+    large = np.flatnonzero(counts >= 255)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + large.astype("<u4").tobytes() + counts[large].astype("<i8").tobytes()
+
+
+def unpacked_counts(blob: bytes, n: int) -> np.ndarray:
+    if not blob:
+        return np.zeros(n, np.int64)
+    out = np.frombuffer(blob, np.uint8, n).astype(np.int64)
+    large = (len(blob) - n) // 12
+    out[np.frombuffer(blob, "<u4", large, n)] = np.frombuffer(blob, "<i8", large, n + 4 * large)
+    return out
+
+
+class Keys:
+    """How keys are dealt: the first ``bits`` name the bucket, the next ``width`` bytes are sent. A bucket's keys are told
+    apart by so many bytes that a question meets another key's count at odds of less than 1 to 4,096 even if every fourth
+    byte of the texts began a new counted key (in texts as they are, about 1 to 100,000)."""
+
+    def __init__(self, text_bytes: int):
+        low, high = BUCKET_BITS
+        size = max(1, text_bytes).bit_length()
+        self.bits = min(high, max(low, size - BUCKET_BYTES.bit_length() + 1))
+        self.width = min(8, -(-(size - 2 + 12 - self.bits) // 8))
+
+    def parts(self, keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(bucket, start, stop) of the ordered keys of each bucket."""
+        bucket = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        yield from zip(bucket[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)])
+
+    def sent(self, keys: np.ndarray) -> bytes:
+        rest = (keys << np.uint64(self.bits)).astype(">u8").view(np.uint8).reshape(-1, 8)
+        return rest[:, : self.width].tobytes()
+
+    def received(self, blob: bytes) -> np.ndarray:
+        n = len(blob) // self.width
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, : self.width] = np.frombuffer(blob, np.uint8).reshape(n, self.width)
+        return wide.view(">u8").ravel().astype(np.uint64)
+
+
+_ASKED = "bucket int, part int, slice int, keys binary, counts array<binary>"
+_ANSWER = "part int, slice int, bucket int, counts array<binary>, totals array<bigint>"
+
+
+def _questions(keys: Keys, asked: np.ndarray, counts: list[np.ndarray], part: int, number: int) -> Iterator[tuple]:
+    """The questions of one slice, one at least."""
+    some = False
+    for bucket, a, z in keys.parts(asked):
+        some = True
+        yield bucket, part, number, keys.sent(asked[a:z]), [packed_counts(c[a:z]) for c in counts]
+    if not some:
+        yield 0, part, number, b"", [b""] * len(counts)
+
+
+def _answers(keys: Keys, kinds: int, first: bool):
+    """The sums of one bucket's counts for each question. If asked, after the ``kinds`` counts comes for each whether this
+    slice is the first one to count the key. ``totals`` are the bucket's sums and numbers of keys by kind, and the number
+    of keys with one of the first two."""
+
+    def answers(table: pa.Table) -> pa.Table:
+        parts, slices = table.column("part").to_numpy(), table.column("slice").to_numpy()
+        order = np.lexsort((slices, parts))
+        asked = {i: keys.received(table.column("keys")[i].as_py()) for i in order.tolist()}
+        own = {i: [unpacked_counts(b, len(asked[i])) for b in table.column("counts")[i].as_py()] for i in order.tolist()}
+        some = {i: np.flatnonzero(sum(own[i]) > 0) for i in order.tolist()}
+        known, at = np.unique(np.concatenate([asked[i][some[i]] for i in order.tolist()]), return_inverse=True)
+        sums = [np.zeros(len(known), np.int64) for _ in range(kinds)]
+        seen = np.zeros((kinds, len(known)), bool)
+        rows, done = [], 0
+        for i in order.tolist():
+            mine = at[done : done + len(some[i])]
+            done += len(some[i])
+            new = [np.zeros(len(asked[i]), np.int64) for _ in range(kinds)]
+            for k in range(kinds):
+                np.add.at(sums[k], mine, own[i][k][some[i]])
+                fresh = (own[i][k][some[i]] > 0) & ~seen[k, mine]
+                new[k][some[i][fresh]] = 1
+                seen[k, mine[fresh]] = True
+            own[i] = new
+        for i in order.tolist():
+            place = np.minimum(np.searchsorted(known, asked[i]), max(0, len(known) - 1))
+            hit = known[place] == asked[i] if len(known) else np.zeros(len(asked[i]), bool)
+            counts = [np.where(hit, s[place], 0) if len(known) else np.zeros(len(hit), np.int64) for s in sums]
+            rows.append((int(parts[i]), int(slices[i]), table.column("bucket")[i].as_py(), [packed_counts(c) for c in [*counts, *(own[i] if first else [])]], None))
+        rows.append((-1, 0, 0, None, [*(int(s.sum()) for s in sums), *(int((s > 0).sum()) for s in sums), int((sums[0] + sums[1] > 0).sum())]))
+        types = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["part", "slice", "bucket", "counts", "totals"])
+
+    return answers
+
+
+def _sliced(text: list[str], id_col: str | None):
+    """Rows as slices: (part, slice, ids, bytes and checksum of the texts, rows in Arrow's format)."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            texts = _texts(batch, text)
+            ids = batch.column(id_col).cast(pa.int64()) if id_col else pa.nulls(batch.num_rows, pa.int64())
+            for a, z in words.text_slices(texts, SLICE):
+                own = batch.slice(a, z - a)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema) as writer:
+                    writer.write_batch(own)
+                data = words.text_bytes(texts.slice(a, z - a))[0]
+                whole = [pa.array([x], t) for x, t in ((part, pa.int32()), (number, pa.int32()), (len(data), pa.int64()), (zlib.crc32(data), pa.int64()))]
+                lists = [pa.array([ids.slice(a, z - a).to_pylist()], pa.list_(pa.int64())), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*whole, *lists], names=["part", "slice", "size", "mark", "ids", "rows"])
+                number += 1
 
+    return sliced
 
-def _parts(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
-    """(bucket, start, stop) of the ordered keys of each bucket."""
-    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    yield from zip(bucket[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)])
 
+def _texts(batch: pa.RecordBatch, path: list[str]) -> pa.Array:
+    texts = batch.column(path[0])
+    for field in path[1:]:
+        texts = pc.struct_field(texts, field)
+    return texts
 
-def _gram_rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows))
-    types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["bucket", "kind", "keys", "counts", "owners", "ids"])
 
+def _read(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob).read_next_batch()
 
-def _count_grams(buckets: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sequences of a slice of texts with their counts, by class and bucket."""
-        for batch in batches:
-            kinds, texts = batch.column("toxic").to_numpy(), batch.column("text")
-            for a, z in words.text_slices(texts):
-                for kind in (0, 1):
-                    keys, counts = np.unique(gram_keys(texts.take(pa.array(np.flatnonzero(kinds[a:z] == kind) + a)))[0], return_counts=True)
-                    rows = [(b, kind, keys[i:j].tobytes(), counts[i:j].astype("<u4").tobytes(), None, None) for b, i, j in _parts(keys, buckets)]
-                    if rows:
-                        yield _gram_rows(rows)
 
-    return count
+def _checked(blob: bytes, text: list[str], mark: int) -> tuple[pa.RecordBatch, pa.Array]:
+    """The rows of a slice and their texts."""
+    batch = _read(blob)
+    texts = _texts(batch, text)
+    if zlib.crc32(words.text_bytes(texts)[0]) != mark:
+        raise RuntimeError("the rows came in another order than before: write the table first")
+    return batch, texts
 
 
-def text_ids(texts: pa.Array) -> np.ndarray:
-    """64-bit names of texts; equal texts have the same."""
-    return np.array([xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts.to_pylist()], np.uint64).view(np.int64)
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, slice, bucket, counts) in order of slice and bucket as one row a slice."""
 
+    def row(key: tuple, lists: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([lists], pa.list_(pa.list_(pa.binary())))], names=["part", "slice", "counts"]
+        )
+
+    key, lists = None, []
+    for batch in batches:
+        for part, number, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "slice", "counts"))):
+            if key != (part, number):
+                if key is not None:
+                    yield row(key, lists)
+                key, lists = (part, number), []
+            lists.append(counts)
+    if key is not None:
+        yield row(key, lists)
+
+
+class Slices:
+    """The slices of ``docs``, and tables of one row a slice that are laid beside them, partition by partition.
+
+    ``docs`` must give the same rows in the same order whenever it is read, as a scan with filters and columns does; the
+    texts of a slice are checked to be those that the table beside it was made from.
+    """
+
+    def __init__(self, docs: DataFrame, text: list[str], id_col: str | None):
+        self.table = docs.mapInArrow(_sliced(text, id_col), "part int, slice int, size long, mark long, ids array<bigint>, rows binary")
+        self.rdd = self.table.select("part", "slice", "rows").rdd.map(tuple)
+
+    def beside(self, table: DataFrame) -> RDD:
+        """The rows (part, slice, value) of ``table`` in the order of the slices."""
+        n = max(1, self.rdd.getNumPartitions())
+        return table.repartitionById(n, F.col("part")).sortWithinPartitions("slice").rdd.map(tuple)
+
+    def answers(self, table: DataFrame) -> RDD:
+        n = max(1, self.rdd.getNumPartitions())
+        rows = table.where("part >= 0").repartitionById(n, F.col("part")).sortWithinPartitions("slice", "bucket")
+        return rows.mapInArrow(_gathered, "part int, slice int, counts array<array<binary>>").rdd.map(tuple)
+
+    def with_(self, *sides: RDD) -> RDD:
+        """(part, slice, rows, value of each side)."""
+
+        def joined(pair: tuple) -> tuple:
+            mine, other = pair
+            if mine[:2] != other[:2]:
+                raise RuntimeError(f"slice {mine[:2]} was read in another order: {other[:2]}")
+            return (*mine, other[2])
+
+        out = self.rdd
+        for side in sides:
+            out = out.zip(side).map(joined)
+        return out
 
-def _ask_grams(buckets: int):
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct sequences of each text of a slice, by bucket: keys, how many texts have each, and which."""
-        for batch in batches:
-            for a, z in words.text_slices(batch.column("text")):
-                texts = batch.column("text").slice(a, z - a)
-                names, (keys, owners) = text_ids(texts), gram_keys(texts)
-                new = np.ones(len(keys), bool)
-                new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
-                keys, owners, rows = keys[new], owners[new], []
-                for b, i, j in _parts(keys, buckets):
-                    first = np.flatnonzero(np.concatenate([[True], keys[i + 1 : j] != keys[i : j - 1]]))
-                    who, at = np.unique(owners[i:j], return_inverse=True)
-                    counts = np.diff(np.append(first, j - i))
-                    rows.append((b, 2, keys[i:j][first].tobytes(), counts.astype("<u4").tobytes(), at.astype("<u4").tobytes(), names[who].tobytes()))
-                if rows:
-                    yield _gram_rows(rows)
+
+def _kinds(marks: list, n: int) -> np.ndarray:
+    """The class of each row, -1 if it is not counted, from (row, toxic, fitted)."""
+    kind = np.full(n, -1)
+    for row, toxic, fitted in marks:
+        if not fitted:
+            kind[row] = toxic
+    return kind
+
+
+def _ask_pairs(keys: Keys, text: list[str]):
+    def ask(row: tuple) -> Iterator[tuple]:
+        part, number, blob, (mark, marks) = row
+        batch, texts = _checked(blob, text, mark)
+        pairs, kind = Pairs(texts), _kinds(marks, batch.num_rows)
+        of = kind[pairs.text]
+        yield from _questions(keys, pairs.pair, [np.bincount(pairs.pair_of[of == k], minlength=len(pairs.pair)) for k in (0, 1)], part, number)
 
     return ask
 
 
-def _answer_grams(share: float):
-    """Of rows in order of bucket and kind: for each text of kind 2 the number of its sequences, the sum of the log ratios
-    of those that were counted, and the highest, 0 at least."""
+def _joined_counts(lists: list, blocks: list[int]) -> list[np.ndarray]:
+    """The counts of all buckets' answers on end; ``blocks`` are the numbers of keys that were asked for in each."""
+    if not blocks:
+        return [np.zeros(0, np.int64) for _ in lists[0]]
+    return [np.concatenate([unpacked_counts(counts[k], n) for counts, n in zip(lists, blocks)]) for k in range(len(lists[0]))]
 
-    def table(counted: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        if not counted:
-            return np.zeros(0, np.uint64), np.zeros(0)
-        keys, at = np.unique(np.concatenate([k for _, k, _ in counted]), return_inverse=True)
-        counts, kinds = np.concatenate([c for _, _, c in counted]), np.repeat([kind for kind, _, _ in counted], [len(k) for _, k, _ in counted])
-        ordinary, toxic = (np.bincount(at, weights=counts * (kinds == kind), minlength=len(keys)) for kind in (0, 1))
-        return keys, np.log((toxic + SMOOTHING * share) / (ordinary + SMOOTHING) / share)
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, counted, known = None, [], None
-        for batch in batches:
-            out = []
-            for b, kind, keys, counts, owners, ids in zip(*(batch.column(c) for c in ("bucket", "kind", "keys", "counts", "owners", "ids"))):
-                if b.as_py() != bucket:
-                    bucket, counted, known = b.as_py(), [], None
-                keys, counts = np.frombuffer(keys.as_py(), "<u8"), np.frombuffer(counts.as_py(), "<u4")
-                if kind.as_py() < 2:
-                    counted.append((kind.as_py(), keys, counts))
-                    continue
-                if known is None:
-                    known, counted = table(counted), []
-                value = np.zeros(len(keys))
-                if len(known[0]):
-                    at = np.minimum(np.searchsorted(known[0], keys), len(known[0]) - 1)
-                    value = np.where(known[0][at] == keys, known[1][at], 0.0)
-                who, value = np.frombuffer(owners.as_py(), "<u4"), np.repeat(value, counts)
-                names = np.frombuffer(ids.as_py(), "<i8")
-                peak = np.zeros(len(names))
-                np.maximum.at(peak, who, value)
-                out.append((names, np.bincount(who, minlength=len(names)), np.bincount(who, weights=value, minlength=len(names)), peak))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["text_id", "n", "total", "peak"])
-
-    return answer
-
-
-def gram_evidence(texts: DataFrame, counted: DataFrame, symbols: np.ndarray) -> DataFrame:
-    """(text_id, mean, peak) of the distinct texts with a word. ``counted`` are (text, toxic) rows and ``symbols`` the
-    number of their characters by class. Rows that repeat a text change neither mean nor peak."""
-    spark = texts.sparkSession
-    buckets = int(max(256, 2 * shuffle_partitions(spark), symbols.sum() // BUCKET_CHARACTERS))
-    share = float((symbols[1] + 1) / (symbols[0] + 1))
-    rows = counted.mapInArrow(_count_grams(buckets), GRAM_SCHEMA).union(texts.mapInArrow(_ask_grams(buckets), GRAM_SCHEMA))
-    answers = rows.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer_grams(share), "text_id long, n long, total double, peak double")
-    sums = answers.groupBy("text_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("peak").alias("peak"))
-    return stored(sums.selectExpr("text_id", "total / n as mean", "peak"))
-
-
-def _features(ratios: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Length-normalised log ratios of each text (whole, and highest run of each length), and whether it has a letter."""
-    index, places, symbols = _grams(texts)
-    value = ratios[index]
-    letter = symbols < SYMBOLS - 1
-    value[places] = 0
-    sums = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
-    n = np.diff(places)  # characters of a text and one
-    out = np.zeros((len(texts), 2 + len(RUNS)))
-    out[:, 0] = (sums[places[1:]] - sums[places[:-1]]) / np.maximum(n, 1)
-    for j, run in enumerate(RUNS):
-        # A run ends before the next text: its characters are those after a zero, and shorter texts are one run.
-        start = np.arange(len(value))
-        end = np.minimum(start + run, len(value))
-        limit = np.repeat(places[1:], n)
-        end[: len(limit)] = np.minimum(end[: len(limit)], limit)
-        mean = (sums[end] - sums[start]) / run
-        out[:, 1 + j] = np.maximum.reduceat(mean[: places[-1]], places[:-1])
-    out[:, -1] = np.log(np.maximum(n, 2))
-    letters = np.concatenate([[0], np.cumsum(letter)])
-    return out, letters[places[1:]] > letters[places[:-1]]
+def _sizes(keys: Keys, asked: np.ndarray) -> list[int]:
+    return [z - a for _, a, z in keys.parts(asked)]
+
+
+def _ask_words(keys: Keys, text: list[str]):
+    """Adds by word: pairs that it ends (by class) which this slice is the first to have, those that it begins, and how
+    often it begins one."""
+
+    def ask(row: tuple) -> Iterator[tuple]:
+        part, number, blob, (mark, marks), answer = row
+        batch, texts = _checked(blob, text, mark)
+        pairs, kind = Pairs(texts), _kinds(marks, batch.num_rows)
+        of, n = kind[pairs.text], len(pairs.word)
+        *_, new0, new1 = _joined_counts(answer, _sizes(keys, pairs.pair))
+        counts = [np.bincount(side[new > 0], minlength=n) for side in (pairs.right, pairs.left) for new in (new0, new1)]
+        counts += [np.bincount(pairs.left[pairs.pair_of[of == k]], minlength=n) for k in (0, 1)]
+        yield from _questions(keys, pairs.word, counts, part, number)
+
+    return ask
+
+
+def pair_ratios(pairs: tuple, left: tuple, right: tuple, totals: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Log of the toxic model's probability of a pair's second word over the ordinary model's: of the models of pairs, and
+    of those of single words.
+
+    ``pairs`` are the counts by class. ``left`` are the first word's distinct pairs and tokens by class, ``right`` the
+    second one's continuation counts by class, and ``totals`` the sums of these and the numbers of words that have one: by
+    class, and of both.
+    """
+    k0, k1, u0, u1, u = totals
+    both, total = right[0] + right[1], max(1, k0 + k1)
+    shared = np.maximum(both - DISCOUNT, 0) / total + (DISCOUNT * u / total if u else 1.0) / (u + 1)
+    words_, whole = [], []
+    for c, (k, kinds) in enumerate(((k0, u0), (k1, u1))):
+        one = (np.maximum(right[c] - DISCOUNT, 0) + DISCOUNT * kinds * shared) / k if k else shared
+        distinct, tokens = left[c], left[c + 2]
+        seen = np.maximum(tokens, 1)
+        words_.append(one)
+        whole.append(np.where(tokens > 0, (np.maximum(pairs[c] - DISCOUNT, 0) + DISCOUNT * distinct * one) / seen, one))
+    return np.log(whole[1] / whole[0]), np.log(words_[1] / words_[0])
+
+
+def _highest(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """The highest value of each text, 0 at least; the tokens of a text are on end."""
+    out = np.zeros(n)
+    np.maximum.at(out, text, values)
+    return out
+
+
+def text_features(pairs: Pairs, counts: list[np.ndarray], known: list[np.ndarray], totals: list[int], n: int) -> np.ndarray:
+    """FEATURES of n texts from the answers for their pairs and words."""
+    k0, k1, t0, t1, n0, n1 = known
+    left, right = pairs.left, pairs.right
+    pair, word = pair_ratios((counts[0], counts[1]), (t0[left], t1[left], n0[left], n1[left]), (k0[right], k1[right]), totals)
+    often, seen = counts[0] + counts[1], (k0 + k1)[right]
+    text, of = pairs.text, pairs.pair_of
+    length = np.bincount(text, minlength=n)
+    value = pair[of]
+    out = np.zeros((n, len(FEATURES)))
+    out[:, 0] = np.bincount(text, weights=value, minlength=n) / np.maximum(length, 1)
+    sums = np.concatenate([[0.0], np.cumsum(value)])
+    end = np.minimum(np.arange(len(value)) + RUN, np.cumsum(length)[text]) if len(value) else np.zeros(0, np.int64)
+    out[:, 1] = _highest((sums[end] - sums[:-1]) / RUN, text, n)
+    at = 2
+    for ratio, count in ((word, seen), (pair, often)):
+        tier = np.searchsorted(TIERS, count)  # 0 to 2
+        for t in range(3):
+            mine = np.where((tier == t) & (count > 0), ratio, 0.0)
+            out[:, at] = _highest(mine[of], text, n)
+            at += 1
+    out[:, -2] = np.bincount(text, weights=seen[of] == 0, minlength=n) / np.maximum(length, 1)
+    out[:, -1] = np.log(np.maximum(length, 2))
+    return out
+
+
+def _describe(keys: Keys, text: list[str], totals: list[int]):
+    """(part, slice, features of every row and whether it has a letter, features and class of the rows to fit on)."""
+
+    def describe(row: tuple) -> tuple:
+        part, number, blob, (mark, marks), pair_answer, word_answer = row
+        _, texts = _checked(blob, text, mark)
+        pairs = Pairs(texts)
+        counts = _joined_counts(pair_answer, _sizes(keys, pairs.pair))
+        x = text_features(pairs, counts[:2], _joined_counts(word_answer, _sizes(keys, pairs.word)), totals, len(texts))
+        letter = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False), bool)
+        fit = [(*x[r].tolist(), float(toxic)) for r, toxic, fitted in marks if fitted and letter[r]]
+        return part, number, mark, np.column_stack([x, letter]).astype("<f8").tobytes(), np.array(fit, "<f8").tobytes()
+
+    return describe
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps, lightly held to zero; the features are scaled by their spread."""
+    """Logistic regression by Newton steps, held to zero by one row's weight; the features are scaled by their spread.
+
+    Products are sums over columns: this runs on the driver, where the threads of linear algebra may wait for ever.
+    """
+    from .packing import solved
+
     centre, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([(x - centre) / spread, np.ones(len(x))])
-    w, hold = np.zeros(z.shape[1]), np.full(z.shape[1], 1e-2)
+    d = z.shape[1]
+    w, hold = np.zeros(d), np.full(d, 1.0)
     hold[-1] = 1e-6
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(hold + 1e-9), z.T @ (y - p) - hold * w)
+        p = 1 / (1 + np.exp(-np.clip(np.einsum("ij,j->i", z, w), -30, 30)))
+        curve = z * (p * (1 - p))[:, None]
+        step = solved(np.einsum("ij,ik->jk", curve, z) + np.diag(hold + 1e-9), np.einsum("ij,i->j", z, y - p) - hold * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return np.append(w[:-1] / spread, w[-1] - (w[:-1] * centre / spread).sum())
 
 
-def _described(shared, text: list[str], kept: list[str]):
-    """Adds the text's name, its features by characters and whether it has a letter; ``text`` is the path to the text's
-    column, ``kept`` are the columns to give back."""
+def _scored(model: np.ndarray | None, base: float, kept: list[str], text: list[str]):
+    def scored(row: tuple) -> tuple:
+        _, _, blob, (mark, described) = row
+        batch, _ = _checked(blob, text, mark)
+        x = np.frombuffer(described, "<f8").reshape(batch.num_rows, len(FEATURES) + 1)
+        score = np.full(len(x), base)
+        if model is not None:
+            z = np.clip((x[:, :-1] * model[:-1]).sum(axis=1) + model[-1], -30, 30)
+            score = np.where(x[:, -1] > 0, 1 / (1 + np.exp(-z)), base)
+        out = pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in kept), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"]
+        )
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, out.schema) as writer:
+            writer.write_batch(out)
+        return (sink.getvalue().to_pybytes(),)
 
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, out, has = batch.column(text[0]), [np.zeros((0, 2 + len(RUNS)))], [np.zeros(0, bool)]
-            for field in text[1:]:
-                texts = pc.struct_field(texts, field)
-            for a, z in words.text_slices(texts):
-                x, letters = _features(shared.value, texts.slice(a, z - a).to_pylist())
-                out.append(x)
-                has.append(letters)
-            x = np.concatenate(out)
-            columns = [*(batch.column(c) for c in kept), pa.array(text_ids(texts)), *(pa.array(x[:, j]) for j in range(x.shape[1])), pa.array(np.concatenate(has))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "text_id", *CHARACTER_FEATURES, "letters"])
+    return scored
 
-    return described
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column(0):
+            yield _read(blob.as_py())
 
 
 def fit_labels(labels: DataFrame, id_col: str = "doc_id", rows: int = FIT_ROWS) -> DataFrame:
     """At most ``rows`` labels, the first by the hash of their id: a bounded sample for the logistic function."""
-    return F.broadcast(labels.where("toxic in (0, 1)").select(id_col, "toxic").orderBy(F.xxhash64(id_col), id_col, "toxic").limit(rows))
+    return labels.where("toxic in (0, 1)").select(id_col, "toxic").orderBy(F.xxhash64(id_col), id_col, "toxic").limit(rows)
 
 
-def with_toxicity(docs: DataFrame, counted: DataFrame, fitted: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """``id_cols`` of every row of ``docs`` with its score (0 to 1) and ``predicted`` (1 from 0.5). ``text_col`` names
-    a string column, or a string field of a structure in ``id_cols``, which is then not sent twice.
+def with_toxicity(docs: DataFrame, counted: DataFrame, fitted: DataFrame, kept: list[str], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``kept`` columns of every row of ``docs`` with its score (0 to 1) and ``predicted`` (1 from 0.5). ``text_col`` names
+    a string column, or a string field of a structure.
 
-    ``counted`` and ``fitted`` are (text, toxic) rows for the models and for the logistic function; ``fitted`` is the
-    smaller, see ``fit_labels``. Rows with a null text or label teach nothing. Null and empty texts and texts
-    without a letter get the share of toxic rows in ``fitted``, below a half; so does every text if one class has no row.
+    ``counted`` and ``fitted`` are labels (doc_id, toxic) of rows whose texts are counted and fitted on, see
+    ``fit_labels``; they are disjoint. A label holds for all rows with its id, the higher one of several. Rows with a null
+    label teach nothing, rows with a null text or id neither. Null and empty texts and texts without a letter get the
+    share of toxic rows in ``fitted``, below a half; so does every text if one class has no row. Rows that repeat stay,
+    an empty table gives no rows. ``docs`` is read several times, see ``Slices``.
     """
-    clean = lambda t: t.where("text is not null and toxic in (0, 1)").select(F.col("toxic").cast("int").alias("toxic"), "text")
-    spark, counted = docs.sparkSession, stored(clean(counted))
-    ratios, symbols = toxic_model(counted)
-    shared = spark.sparkContext.broadcast(ratios)
-    path, fitted = text_col.split("."), clean(fitted)
-    texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
-    evidence = gram_evidence(texts.union(fitted.select("text")), counted, symbols)
-    added = "text_id long, " + ", ".join(f"{c} double" for c in CHARACTER_FEATURES) + ", letters boolean"
-    names = [*CHARACTER_FEATURES, "mean", "peak"]
-
-    def features(rows: DataFrame, kept: list[str], path: list[str]) -> DataFrame:
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields)
-        described = rows.mapInArrow(_described(shared, path, rows.select(*kept).columns), f"{schema}, {added}")
-        return described.join(evidence, "text_id", "left").fillna(0.0, ["mean", "peak"])
-
-    rows = features(fitted, ["toxic"], ["text"]).where("letters").select("toxic", *names).toArrow()
-    y = rows.column("toxic").to_numpy().astype(float)
+    spark, folder, path = docs.sparkSession, shared_folder(docs.sparkSession), text_col.split(".")
+    rows = docs.select(*dict.fromkeys([*kept, path[0], id_col]))
+    kind = rows.schema
+    slices = Slices(rows, path, id_col)
+    places = slices.table.select("part", "slice", "size", "mark", F.posexplode("ids").alias("row", "id"))
+    places = stored(places, folder, "places")
+    marks = []
+    for table, use in ((counted, False), (fitted, True)):
+        table = table.where("toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
+        marks.append(places.join(table.hint("merge"), "id").select("id", "part", "slice", F.struct("row", "toxic", F.lit(use).alias("fitted")).alias("m")))
+    # Of the rows to fit on, one for each id: so they are no more than the labels.
+    once = marks[1].groupBy("id").agg(F.min(F.struct("part", "slice", "m")).alias("x")).select("x.part", "x.slice", "x.m")
+    marks = marks[0].drop("id").union(once).groupBy("part", "slice").agg(F.collect_list("m").alias("marks"))  # a slice's rows
+    marked = places.groupBy("part", "slice").agg(F.max("size").alias("size"), F.max("mark").alias("mark")).join(marks, ["part", "slice"], "left")
+    marked = stored(marked.withColumn("marks", F.coalesce("marks", F.array().cast(marks.schema["marks"].dataType))), folder, "marks")
+    keys = Keys(marked.agg(F.sum("size")).first()[0] or 0)
+    marks = slices.beside(marked.select("part", "slice", F.struct("mark", "marks")))
+
+    def answered(asked: RDD, kinds: int, first: bool, name: str) -> DataFrame:
+        table = spark.createDataFrame(asked, _ASKED, verifySchema=False)
+        return stored(table.groupBy("bucket").applyInArrow(_answers(keys, kinds, first), _ANSWER), folder, name)
+
+    pairs = answered(slices.with_(marks).flatMap(_ask_pairs(keys, path)), 2, True, "pairs")
+    pair_answers = slices.answers(pairs)
+    known = answered(slices.with_(marks, pair_answers).flatMap(_ask_words(keys, path)), 6, False, "words")
+    sums = [F.coalesce(F.sum(F.col("totals")[i]), F.lit(0)).alias(f"t{i}") for i in (0, 1, 6, 7, 12)]
+    totals = list(known.where("part < 0").agg(*sums).first())
+    described = slices.with_(marks, pair_answers, slices.answers(known)).map(_describe(keys, path, totals))
+    described = stored(spark.createDataFrame(described, "part int, slice int, mark long, rows binary, fit binary", verifySchema=False), folder, "described")
+    fit = [np.frombuffer(r[0], "<f8") for r in described.where("length(fit) > 0").select("fit").collect()]  # of FIT_ROWS labels
+    fit = np.concatenate([np.zeros(0), *fit]).reshape(-1, len(FEATURES) + 1)
+    y = fit[:, -1]
     base = min(float(y.mean()), 0.49) if len(y) else 0.0
-    score = F.lit(base)
-    if 0 < y.sum() < len(y):
-        *slopes, shift = _fit(np.column_stack([rows.column(c).to_numpy() for c in names]), y).tolist()
-        z = sum((F.col(c) * w for c, w in zip(names, slopes)), F.lit(shift))
-        score = F.when(F.col("letters"), 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).otherwise(base)
-    rows = features(docs.select(*dict.fromkeys([*id_cols, path[0]])), id_cols, path)
-    return rows.select(*id_cols, score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    model = _fit(fit[:, :-1], y) if 0 < y.sum() < len(y) else None
+    blobs = slices.with_(slices.beside(described.select("part", "slice", F.struct("mark", "rows")))).map(_scored(model, base, kept, path))
+    schema = ", ".join(f"`{c}` {kind[c].dataType.simpleString()}" for c in kept)
+    return spark.createDataFrame(blobs, "rows binary", verifySchema=False).mapInArrow(_unpack, f"{schema}, score double, predicted int")
+
