@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, mixing, ngram_join, oracles, packing, private, repeats, resampling, toxicity, urls, vantage, voronoi
+from . import chat, language, mixing, ngram_join, oracles, packing, private, repeats, resampling, toxicity, urls, vantage, voronoi, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return resampling.resampled(docs, _table(spark, sf_dir, "benchmark").select("text"))
@@ -89,6 +93,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_personal_data": op9_personal_data,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_whitening": op11_whitening,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
