@@ -19,17 +19,17 @@ slice, and the texts are read again.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import RDD, TaskContext
+from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .slices import Slices, checked, packed, unpacked
 from .storage import shared_folder, stored
 
 DISCOUNT = 0.75
@@ -40,8 +40,6 @@ TIERS = (2, 8)
 FEATURES = ["whole", "run", "word_rare", "word_known", "word_frequent", "pair_rare", "pair_known", "pair_frequent", "unknown", "length"]
 #: Labelled rows that the logistic function is fitted on, at most.
 FIT_ROWS = 20_000
-#: Bytes of text of a slice; a longer text makes a slice of its own.
-SLICE = 8 << 20
 #: Bytes of text for each bucket of keys, and bounds of the number of buckets as powers of two.
 BUCKET_BYTES, BUCKET_BITS = 2 << 20, (6, 16)
 #: What comes before the first word of a text.
@@ -77,23 +75,28 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Pairs:
-    """The words of some texts: ``word`` and ``pair`` hold the distinct keys in order, ``word_of`` and ``pair_of`` the
-    place of each token's, ``text`` its text; ``left`` and ``right`` are the words of each distinct pair."""
+    """The words of some texts: ``word`` and ``pair`` hold the distinct keys in order, ``pair_of`` the place of each
+    token's pair, ``text`` its text; ``left`` and ``right`` are the words of each distinct pair."""
 
     def __init__(self, texts: pa.Array):
-        data, offsets = words.text_bytes(pc.utf8_lower(texts))
-        starts, ends, self.text = _tokens(data, offsets)
-        tokens = words.word_hashes(data, starts, ends, lower=False)
+        tokens, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+        for a, z in words.text_slices(texts):
+            data, offsets = words.text_bytes(pc.utf8_lower(texts.slice(a, z - a)))
+            starts, ends, text = _tokens(data, offsets)
+            tokens.append(words.word_hashes(data, starts, ends, lower=False))
+            owners.append((text + a).astype(np.int32))
+        tokens, self.text = np.concatenate(tokens), np.concatenate(owners)
         new = np.ones(len(tokens), bool)
         new[1:] = self.text[1:] != self.text[:-1]
         before = np.append(START, tokens[:-1])[: len(tokens)]
         before[new] = START
-        self.word, self.word_of = np.unique(np.append(tokens, START), return_inverse=True)
-        start, self.word_of = self.word_of[-1], self.word_of[:-1]
-        context = np.append(start, self.word_of[:-1])[: len(tokens)]
+        self.word, word_of = np.unique(np.append(tokens, START), return_inverse=True)
+        start, word_of = word_of[-1], word_of[:-1]
+        context = np.append(start, word_of[:-1])[: len(tokens)]
         context[new] = start
         self.pair, first, self.pair_of = np.unique(words.mix(before * np.uint64(3) + tokens), return_index=True, return_inverse=True)
-        self.left, self.right = context[first], self.word_of[first]
+        self.left, self.right = context[first], word_of[first]
+        self.pair_of = self.pair_of.astype(np.int32)
 
 
 def packed_counts(counts: np.ndarray) -> bytes:
@@ -192,104 +195,6 @@ def _answers(keys: Keys, kinds: int, first: bool):
     return answers
 
 
-def _sliced(text: list[str], id_col: str | None):
-    """Rows as slices: (part, slice, ids, bytes and checksum of the texts, rows in Arrow's format)."""
-
-    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            texts = _texts(batch, text)
-            ids = batch.column(id_col).cast(pa.int64()) if id_col else pa.nulls(batch.num_rows, pa.int64())
-            for a, z in words.text_slices(texts, SLICE):
-                own = batch.slice(a, z - a)
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, own.schema) as writer:
-                    writer.write_batch(own)
-                data = words.text_bytes(texts.slice(a, z - a))[0]
-                whole = [pa.array([x], t) for x, t in ((part, pa.int32()), (number, pa.int32()), (len(data), pa.int64()), (zlib.crc32(data), pa.int64()))]
-                lists = [pa.array([ids.slice(a, z - a).to_pylist()], pa.list_(pa.int64())), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*whole, *lists], names=["part", "slice", "size", "mark", "ids", "rows"])
-                number += 1
-
-    return sliced
-
-
-def _texts(batch: pa.RecordBatch, path: list[str]) -> pa.Array:
-    texts = batch.column(path[0])
-    for field in path[1:]:
-        texts = pc.struct_field(texts, field)
-    return texts
-
-
-def _read(blob: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(blob).read_next_batch()
-
-
-def _checked(blob: bytes, text: list[str], mark: int) -> tuple[pa.RecordBatch, pa.Array]:
-    """The rows of a slice and their texts."""
-    batch = _read(blob)
-    texts = _texts(batch, text)
-    if zlib.crc32(words.text_bytes(texts)[0]) != mark:
-        raise RuntimeError("the rows came in another order than before: write the table first")
-    return batch, texts
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, slice, bucket, counts) in order of slice and bucket as one row a slice."""
-
-    def row(key: tuple, lists: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([lists], pa.list_(pa.list_(pa.binary())))], names=["part", "slice", "counts"]
-        )
-
-    key, lists = None, []
-    for batch in batches:
-        for part, number, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "slice", "counts"))):
-            if key != (part, number):
-                if key is not None:
-                    yield row(key, lists)
-                key, lists = (part, number), []
-            lists.append(counts)
-    if key is not None:
-        yield row(key, lists)
-
-
-class Slices:
-    """The slices of ``docs``, and tables of one row a slice that are laid beside them, partition by partition.
-
-    ``docs`` must give the same rows in the same order whenever it is read, as a scan with filters and columns does; the
-    texts of a slice are checked to be those that the table beside it was made from.
-    """
-
-    def __init__(self, docs: DataFrame, text: list[str], id_col: str | None):
-        self.table = docs.mapInArrow(_sliced(text, id_col), "part int, slice int, size long, mark long, ids array<bigint>, rows binary")
-        self.rdd = self.table.select("part", "slice", "rows").rdd.map(tuple)
-
-    def beside(self, table: DataFrame) -> RDD:
-        """The rows (part, slice, value) of ``table`` in the order of the slices."""
-        n = max(1, self.rdd.getNumPartitions())
-        return table.repartitionById(n, F.col("part")).sortWithinPartitions("slice").rdd.map(tuple)
-
-    def answers(self, table: DataFrame) -> RDD:
-        n = max(1, self.rdd.getNumPartitions())
-        rows = table.where("part >= 0").repartitionById(n, F.col("part")).sortWithinPartitions("slice", "bucket")
-        return rows.mapInArrow(_gathered, "part int, slice int, counts array<array<binary>>").rdd.map(tuple)
-
-    def with_(self, *sides: RDD) -> RDD:
-        """(part, slice, rows, value of each side)."""
-
-        def joined(pair: tuple) -> tuple:
-            mine, other = pair
-            if mine[:2] != other[:2]:
-                raise RuntimeError(f"slice {mine[:2]} was read in another order: {other[:2]}")
-            return (*mine, other[2])
-
-        out = self.rdd
-        for side in sides:
-            out = out.zip(side).map(joined)
-        return out
-
-
 def _kinds(marks: list, n: int) -> np.ndarray:
     """The class of each row, -1 if it is not counted, from (row, toxic, fitted)."""
     kind = np.full(n, -1)
@@ -302,7 +207,7 @@ def _kinds(marks: list, n: int) -> np.ndarray:
 def _ask_pairs(keys: Keys, text: list[str]):
     def ask(row: tuple) -> Iterator[tuple]:
         part, number, blob, (mark, marks) = row
-        batch, texts = _checked(blob, text, mark)
+        batch, texts = checked(blob, text, mark)
         pairs, kind = Pairs(texts), _kinds(marks, batch.num_rows)
         of = kind[pairs.text]
         yield from _questions(keys, pairs.pair, [np.bincount(pairs.pair_of[of == k], minlength=len(pairs.pair)) for k in (0, 1)], part, number)
@@ -327,7 +232,7 @@ def _ask_words(keys: Keys, text: list[str]):
 
     def ask(row: tuple) -> Iterator[tuple]:
         part, number, blob, (mark, marks), answer = row
-        batch, texts = _checked(blob, text, mark)
+        batch, texts = checked(blob, text, mark)
         pairs, kind = Pairs(texts), _kinds(marks, batch.num_rows)
         of, n = kind[pairs.text], len(pairs.word)
         *_, new0, new1 = _joined_counts(answer, _sizes(keys, pairs.pair))
@@ -397,7 +302,7 @@ def _describe(keys: Keys, text: list[str], totals: list[int]):
 
     def describe(row: tuple) -> tuple:
         part, number, blob, (mark, marks), pair_answer, word_answer = row
-        _, texts = _checked(blob, text, mark)
+        _, texts = checked(blob, text, mark)
         pairs = Pairs(texts)
         counts = _joined_counts(pair_answer, _sizes(keys, pairs.pair))
         x = text_features(pairs, counts[:2], _joined_counts(word_answer, _sizes(keys, pairs.word)), totals, len(texts))
@@ -433,7 +338,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _scored(model: np.ndarray | None, base: float, kept: list[str], text: list[str]):
     def scored(row: tuple) -> tuple:
         _, _, blob, (mark, described) = row
-        batch, _ = _checked(blob, text, mark)
+        batch, _ = checked(blob, text, mark)
         x = np.frombuffer(described, "<f8").reshape(batch.num_rows, len(FEATURES) + 1)
         score = np.full(len(x), base)
         if model is not None:
@@ -442,20 +347,11 @@ def _scored(model: np.ndarray | None, base: float, kept: list[str], text: list[s
         out = pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in kept), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"]
         )
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, out.schema) as writer:
-            writer.write_batch(out)
-        return (sink.getvalue().to_pybytes(),)
+        return (packed(out),)
 
     return scored
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for blob in batch.column(0):
-            yield _read(blob.as_py())
-
-
 def fit_labels(labels: DataFrame, id_col: str = "doc_id", rows: int = FIT_ROWS) -> DataFrame:
     """At most ``rows`` labels, the first by the hash of their id: a bounded sample for the logistic function."""
     return labels.where("toxic in (0, 1)").select(id_col, "toxic").orderBy(F.xxhash64(id_col), id_col, "toxic").limit(rows)
@@ -475,8 +371,7 @@ def with_toxicity(docs: DataFrame, counted: DataFrame, fitted: DataFrame, kept:
     rows = docs.select(*dict.fromkeys([*kept, path[0], id_col]))
     kind = rows.schema
     slices = Slices(rows, path, id_col)
-    places = slices.table.select("part", "slice", "size", "mark", F.posexplode("ids").alias("row", "id"))
-    places = stored(places, folder, "places")
+    places = stored(slices.places(), folder, "places")
     marks = []
     for table, use in ((counted, False), (fitted, True)):
         table = table.where("toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -507,5 +402,5 @@ def with_toxicity(docs: DataFrame, counted: DataFrame, fitted: DataFrame, kept:
     model = _fit(fit[:, :-1], y) if 0 < y.sum() < len(y) else None
     blobs = slices.with_(slices.beside(described.select("part", "slice", F.struct("mark", "rows")))).map(_scored(model, base, kept, path))
     schema = ", ".join(f"`{c}` {kind[c].dataType.simpleString()}" for c in kept)
-    return spark.createDataFrame(blobs, "rows binary", verifySchema=False).mapInArrow(_unpack, f"{schema}, score double, predicted int")
+    return spark.createDataFrame(blobs, "rows binary", verifySchema=False).mapInArrow(unpacked, f"{schema}, score double, predicted int")
 
