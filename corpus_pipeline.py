@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import mixing, ngram_join, packing, private, queries
+from tickerloom.llm import mixing, ngram_join, packing, private, queries, slices
 from tickerloom.llm.storage import shared_folder, stored
 
 
@@ -38,23 +38,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that 5-word shingles with a Jaccard similarity of 0.75 link: that with the smallest id.
 
-    Each row is judged by its own text, also if ids repeat. Of equal ids the smallest row by hash stays, rows without an
-    id come last. Rows without words are linked with nothing and stay.
+    Each row is judged by its own text, also if ids repeat; rows are told apart by their place in ``docs``, which a scan
+    gives alike each time. Of equal ids the first row stays, rows without an id come last. Rows without words are linked
+    with nothing and stay. Texts are not shuffled: their rows stay where they are, see ``slices``.
     """
     bounded_batches(spark)
-    row = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(row).alias("name"), F.hash(row).alias("other"))
-    # A row is told by its hash: equal rows have one, and one of them stays if they have words.
-    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = docs.withColumn("_name", F.xxhash64(row))
-    groups = stored(ngram_join.ngram_components(keyed.select("_name", "text"), "_name")).where("n_shingles > 0")
-    ranked = keyed.select("_name", first.alias("_first")).distinct().join(groups.select("_name", "component_id").distinct(), "_name")
-    ranked = stored(ranked.select("component_id", "_first"))
-    best = ranked.groupBy("component_id").agg(F.min("_first").alias("_best"))
-    gone = ranked.join(best, "component_id").where("_first != _best").select(F.col("_first.name").alias("_name"))
-    kept = keyed.join(stored(gone), "_name", "left_anti")
-    kept = kept.withColumn("_copy", F.when(words, 0).otherwise(F.monotonically_increasing_id()))
-    return kept.dropDuplicates(["_name", "_copy"]).select(*docs.columns)
+    folder = shared_folder(spark)
+    rows = slices.Slices(docs, ["text"], "doc_id")
+    places = stored(rows.places().withColumn("number", slices.row_number()), folder, "places")
+    groups = stored(ngram_join.ngram_components(rows.numbered(), "number"), folder, "groups").where("n_shingles > 0")
+    ranked = places.join(groups, "number").select("component_id", F.struct(F.col("id").isNull().alias("none"), "id", "part", "slice", "row").alias("place"))
+    best = ranked.groupBy("component_id").agg(F.min("place").alias("place")).select("place.part", "place.slice", "place.row")
+    wordless = places.join(groups, "number", "left_anti").select("part", "slice", "row")
+    return rows.taken(best.union(wordless))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
