@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -76,24 +77,11 @@ def _sliced(text: list[str], id_col: str | None):
     return sliced
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, slice, bucket, counts) in order of slice and bucket as one row a slice."""
+def _gathered(rows: Iterator) -> Iterator[tuple]:
+    """(part, slice, its rows) of rows in that order."""
+    for (part, number), group in groupby(rows, key=lambda r: (r["part"], r["slice"])):
+        yield part, number, list(group)
 
-    def row(key: tuple, lists: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([lists], pa.list_(pa.list_(pa.binary())))], names=["part", "slice", "counts"]
-        )
-
-    key, lists = None, []
-    for batch in batches:
-        for part, number, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "slice", "counts"))):
-            if key != (part, number):
-                if key is not None:
-                    yield row(key, lists)
-                key, lists = (part, number), []
-            lists.append(counts)
-    if key is not None:
-        yield row(key, lists)
 
 def row_number() -> Column:
     """A number for each row, from columns part, slice and row."""
@@ -113,9 +101,9 @@ def _numbered(text: list[str]):
 
 def _taken(text: list[str]):
     def taken(row: tuple) -> tuple:
-        _, _, blob, (mark, rows) = row
-        batch, _ = checked(blob, text, mark)
-        return (packed(batch.take(pa.array(sorted(rows), pa.int64()))),)
+        blob, (side,) = row
+        batch, _ = checked(blob, text, side["mark"])
+        return (packed(batch.take(pa.array(sorted(side["rows"]), pa.int64()))),)
 
     return taken
 
@@ -130,38 +118,25 @@ class Slices:
     def __init__(self, docs: DataFrame, text: list[str], id_col: str | None):
         self.text, self.schema = text, docs.schema
         self.table = docs.mapInArrow(_sliced(text, id_col), "part int, slice int, size long, mark long, ids array<bigint>, rows binary")
-        self.rdd = self.table.select("part", "slice", "rows").rdd.map(tuple)
-
-    def beside(self, table: DataFrame) -> RDD:
-        """The rows (part, slice, value) of ``table`` in the order of the slices."""
-        n = max(1, self.rdd.getNumPartitions())
-        return self._as_many(table.repartitionById(n, F.col("part")).sortWithinPartitions("slice").rdd.map(tuple))
-
-    def answers(self, table: DataFrame) -> RDD:
-        n = max(1, self.rdd.getNumPartitions())
-        rows = table.where("part >= 0").repartitionById(n, F.col("part")).sortWithinPartitions("slice", "bucket")
-        return self._as_many(rows.mapInArrow(_gathered, "part int, slice int, counts array<array<binary>>").rdd.map(tuple))
-
-    def _as_many(self, rows: RDD) -> RDD:
-        """With empty partitions at the end, as an empty table may be planned with fewer ones."""
-        more = self.rdd.getNumPartitions() - rows.getNumPartitions()
-        return rows.union(rows.context.parallelize([], more)) if more > 0 else rows
-
-    def with_(self, *sides: RDD) -> RDD:
-        """(part, slice, rows, value of each side)."""
+        self.rdd = self.table.select("part", "slice", "rows").rdd
+
+    def beside(self, table: DataFrame, order: list[str]) -> RDD:
+        """(rows of a slice, packed, and the rows of ``table`` with its part and slice, in ``order``). Every slice must
+        have a row at least. One zip of two: each further one would need more Python processes in a task."""
+        n = self.rdd.getNumPartitions()
+        if not n:
+            return self.rdd
+        sides = table.repartitionById(n, F.col("part")).sortWithinPartitions("slice", *order).rdd.mapPartitions(_gathered)
+        more = n - sides.getNumPartitions()  # an empty table may be planned with fewer partitions
+        sides = sides.union(sides.context.parallelize([], more)) if more > 0 else sides
 
         def joined(pair: tuple) -> tuple:
-            mine, other = pair
-            if mine[:2] != other[:2]:
-                raise RuntimeError(f"slice {mine[:2]} was read in another order: {other[:2]}")
-            return (*mine, other[2])
-
-        out = self.rdd
-        if not out.getNumPartitions():
-            return out
-        for side in sides:
-            out = out.zip(side).map(joined)
-        return out
+            (part, number, blob), (*key, rows) = pair
+            if [part, number] != key:
+                raise RuntimeError(f"slice {part, number} was read in another order: {key}")
+            return blob, rows
+
+        return self.rdd.zip(sides).map(joined)
 
     def places(self) -> DataFrame:
         """(part, slice, size, mark, row, id) of every row."""
@@ -175,7 +150,7 @@ class Slices:
         """The rows of the table whose (part, slice, row) ``rows`` lists, each once."""
         lists = rows.groupBy("part", "slice").agg(F.collect_list("row").alias("rows"))
         every = self.table.select("part", "slice", "mark").join(lists, ["part", "slice"], "left")
-        every = every.select("part", "slice", F.struct("mark", F.coalesce("rows", F.array().cast("array<int>"))))
-        blobs = self.with_(self.beside(every)).map(_taken(self.text))
+        every = every.withColumn("rows", F.coalesce("rows", F.array().cast("array<int>")))
+        blobs = self.beside(every, []).map(_taken(self.text))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
         return self.table.sparkSession.createDataFrame(blobs, "rows binary", verifySchema=False).mapInArrow(unpacked, schema)

@@ -195,6 +195,12 @@ def _answers(keys: Keys, kinds: int, first: bool):
     return answers
 
 
+def _split(sides: list) -> tuple:
+    """The marks of a slice and the answers to its two questions, in order of the buckets."""
+    own, *answers = sides
+    return own, [r["counts"] for r in answers if r["kind"] == 1], [r["counts"] for r in answers if r["kind"] == 2]
+
+
 def _kinds(marks: list, n: int) -> np.ndarray:
     """The class of each row, -1 if it is not counted, from (row, toxic, fitted)."""
     kind = np.full(n, -1)
@@ -206,11 +212,12 @@ def _kinds(marks: list, n: int) -> np.ndarray:
 
 def _ask_pairs(keys: Keys, text: list[str]):
     def ask(row: tuple) -> Iterator[tuple]:
-        part, number, blob, (mark, marks) = row
-        batch, texts = checked(blob, text, mark)
-        pairs, kind = Pairs(texts), _kinds(marks, batch.num_rows)
+        blob, sides = row
+        own, _, _ = _split(sides)
+        batch, texts = checked(blob, text, own["mark"])
+        pairs, kind = Pairs(texts), _kinds(own["marks"], batch.num_rows)
         of = kind[pairs.text]
-        yield from _questions(keys, pairs.pair, [np.bincount(pairs.pair_of[of == k], minlength=len(pairs.pair)) for k in (0, 1)], part, number)
+        yield from _questions(keys, pairs.pair, [np.bincount(pairs.pair_of[of == k], minlength=len(pairs.pair)) for k in (0, 1)], own["part"], own["slice"])
 
     return ask
 
@@ -231,14 +238,15 @@ def _ask_words(keys: Keys, text: list[str]):
     often it begins one."""
 
     def ask(row: tuple) -> Iterator[tuple]:
-        part, number, blob, (mark, marks), answer = row
-        batch, texts = checked(blob, text, mark)
-        pairs, kind = Pairs(texts), _kinds(marks, batch.num_rows)
+        blob, sides = row
+        own, answer, _ = _split(sides)
+        batch, texts = checked(blob, text, own["mark"])
+        pairs, kind = Pairs(texts), _kinds(own["marks"], batch.num_rows)
         of, n = kind[pairs.text], len(pairs.word)
         *_, new0, new1 = _joined_counts(answer, _sizes(keys, pairs.pair))
         counts = [np.bincount(side[new > 0], minlength=n) for side in (pairs.right, pairs.left) for new in (new0, new1)]
         counts += [np.bincount(pairs.left[pairs.pair_of[of == k]], minlength=n) for k in (0, 1)]
-        yield from _questions(keys, pairs.word, counts, part, number)
+        yield from _questions(keys, pairs.word, counts, own["part"], own["slice"])
 
     return ask
 
@@ -301,14 +309,15 @@ def _describe(keys: Keys, text: list[str], totals: list[int]):
     """(part, slice, features of every row and whether it has a letter, features and class of the rows to fit on)."""
 
     def describe(row: tuple) -> tuple:
-        part, number, blob, (mark, marks), pair_answer, word_answer = row
-        _, texts = checked(blob, text, mark)
+        blob, sides = row
+        own, pair_answer, word_answer = _split(sides)
+        _, texts = checked(blob, text, own["mark"])
         pairs = Pairs(texts)
         counts = _joined_counts(pair_answer, _sizes(keys, pairs.pair))
         x = text_features(pairs, counts[:2], _joined_counts(word_answer, _sizes(keys, pairs.word)), totals, len(texts))
         letter = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False), bool)
-        fit = [(*x[r].tolist(), float(toxic)) for r, toxic, fitted in marks if fitted and letter[r]]
-        return part, number, mark, np.column_stack([x, letter]).astype("<f8").tobytes(), np.array(fit, "<f8").tobytes()
+        fit = [(*x[r].tolist(), float(toxic)) for r, toxic, fitted in own["marks"] if fitted and letter[r]]
+        return own["part"], own["slice"], own["mark"], np.column_stack([x, letter]).astype("<f8").tobytes(), np.array(fit, "<f8").tobytes()
 
     return describe
 
@@ -337,9 +346,9 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _scored(model: np.ndarray | None, base: float, kept: list[str], text: list[str]):
     def scored(row: tuple) -> tuple:
-        _, _, blob, (mark, described) = row
-        batch, _ = checked(blob, text, mark)
-        x = np.frombuffer(described, "<f8").reshape(batch.num_rows, len(FEATURES) + 1)
+        blob, (side,) = row
+        batch, _ = checked(blob, text, side["mark"])
+        x = np.frombuffer(side["rows"], "<f8").reshape(batch.num_rows, len(FEATURES) + 1)
         score = np.full(len(x), base)
         if model is not None:
             z = np.clip((x[:, :-1] * model[:-1]).sum(axis=1) + model[-1], -30, 30)
@@ -382,25 +391,30 @@ def with_toxicity(docs: DataFrame, counted: DataFrame, fitted: DataFrame, kept:
     marked = places.groupBy("part", "slice").agg(F.max("size").alias("size"), F.max("mark").alias("mark")).join(marks, ["part", "slice"], "left")
     marked = stored(marked.withColumn("marks", F.coalesce("marks", F.array().cast(marks.schema["marks"].dataType))), folder, "marks")
     keys = Keys(marked.agg(F.sum("size")).first()[0] or 0)
-    marks = slices.beside(marked.select("part", "slice", F.struct("mark", "marks")))
+    sides = marked.select("part", "slice", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), "mark", "marks")
 
     def answered(asked: RDD, kinds: int, first: bool, name: str) -> DataFrame:
         table = spark.createDataFrame(asked, _ASKED, verifySchema=False)
         return stored(table.groupBy("bucket").applyInArrow(_answers(keys, kinds, first), _ANSWER), folder, name)
 
-    pairs = answered(slices.with_(marks).flatMap(_ask_pairs(keys, path)), 2, True, "pairs")
-    pair_answers = slices.answers(pairs)
-    known = answered(slices.with_(marks, pair_answers).flatMap(_ask_words(keys, path)), 6, False, "words")
+    def with_answers(sides: DataFrame, table: DataFrame, kind: int) -> DataFrame:
+        return sides.unionByName(table.where("part >= 0").select("part", "slice", F.lit(kind).alias("kind"), "bucket", "counts"), allowMissingColumns=True)
+
+    order = ["kind", "bucket"]
+    pairs = answered(slices.beside(sides, order).flatMap(_ask_pairs(keys, path)), 2, True, "pairs")
+    sides = with_answers(sides, pairs, 1)
+    known = answered(slices.beside(sides, order).flatMap(_ask_words(keys, path)), 6, False, "words")
+    sides = with_answers(sides, known, 2)
     sums = [F.coalesce(F.sum(F.col("totals")[i]), F.lit(0)).alias(f"t{i}") for i in (0, 1, 6, 7, 12)]
     totals = list(known.where("part < 0").agg(*sums).first())
-    described = slices.with_(marks, pair_answers, slices.answers(known)).map(_describe(keys, path, totals))
+    described = slices.beside(sides, order).map(_describe(keys, path, totals))
     described = stored(spark.createDataFrame(described, "part int, slice int, mark long, rows binary, fit binary", verifySchema=False), folder, "described")
     fit = [np.frombuffer(r[0], "<f8") for r in described.where("length(fit) > 0").select("fit").collect()]  # of FIT_ROWS labels
     fit = np.concatenate([np.zeros(0), *fit]).reshape(-1, len(FEATURES) + 1)
     y = fit[:, -1]
     base = min(float(y.mean()), 0.49) if len(y) else 0.0
     model = _fit(fit[:, :-1], y) if 0 < y.sum() < len(y) else None
-    blobs = slices.with_(slices.beside(described.select("part", "slice", F.struct("mark", "rows")))).map(_scored(model, base, kept, path))
+    blobs = slices.beside(described.select("part", "slice", "mark", "rows"), []).map(_scored(model, base, kept, path))
     schema = ", ".join(f"`{c}` {kind[c].dataType.simpleString()}" for c in kept)
     return spark.createDataFrame(blobs, "rows binary", verifySchema=False).mapInArrow(unpacked, f"{schema}, score double, predicted int")
 
