@@ -361,7 +361,7 @@ add("compared_models", lambda s, p: models.compare_models(model_features(s, p),
 add(
     "feature_group_ablation",
     lambda s, p: models.run_ablation(
-        model_features(s, p), features.FEATURE_GROUPS, features.COMBINATIONS | features.COMBINATIONS_EXTENDED
+        model_features(s, p), features.FEATURE_GROUPS, features.COMBINATIONS | features.COMBINATIONS_EXTENDED, folder(s, "ablation")
     ),
 )
 

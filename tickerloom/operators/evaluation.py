@@ -52,25 +52,26 @@ def class_weight(df: DataFrame, label: str = "target", by: str = "symbol") -> Da
     return df.groupBy(by).agg((neg / F.greatest(pos, F.lit(1))).alias("pos_weight"))
 
 
-def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
+def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None, wide: bool = False) -> DataFrame:
     """M-8: exact area under the curve; 0.5 where a class is missing.
 
     Scores are first reduced to one row per distinct value, so ties need no
     ranking of single rows. The running count of negatives below a score is
-    taken over these rows: per group, or without groups in score ranges.
+    taken over these rows: per group, or in score ranges without groups and in
+    ``wide`` groups, which the calendar does not bound.
     """
     by = by or []
     at = df.groupBy(*[q(b) for b in by], q(score).alias("_s")).agg(
         F.count_if(q(label) == 1).alias("_p"), F.count_if(q(label) == 0).alias("_n")
     )
-    if by:
+    if by and not wide:
         below = F.coalesce(
             F.sum("_n").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0),
         )
         ranked = at.withColumn("_below", below)
     else:
-        ranked = running_before(at, "_s", "_n")
+        ranked = running_before(at, "_s", "_n", by)
     return (
         ranked.groupBy(*by)
         .agg(

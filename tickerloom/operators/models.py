@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -22,7 +21,8 @@ from pyspark.sql import functions as F
 from tickerloom import schemas
 from tickerloom.functions.numeric import finite, sigmoid
 from tickerloom.functions.scores import signal
-from tickerloom.operators.evaluation import leaderboard, q, stratified_split, time_split
+from tickerloom.operators import logistic
+from tickerloom.operators.evaluation import leaderboard, q, roc_auc, stratified_split, time_split
 from tickerloom.operators.timeseries import last_per_symbol
 
 c = F.col
@@ -85,54 +85,19 @@ def model_input(df: DataFrame, columns: list[str]) -> Column:
     )
 
 
-def _auc(y: np.ndarray, s: np.ndarray) -> float:
-    pos, neg = s[y == 1], np.sort(s[y == 0])
-    if not len(pos) or not len(neg):
-        return 0.5
-    wins = np.searchsorted(neg, pos, "left") + np.searchsorted(neg, pos, "right")
-    return float(wins.sum() / (2 * len(pos) * len(neg)))
-
-
-def fit_logistic(
-    x: np.ndarray, y: np.ndarray, valid: np.ndarray, epochs: int = 150, patience: int = 50, lr: float = 0.05
-) -> tuple[np.ndarray, float, float, float, int]:
-    """Class-weighted logistic regression, kept at its best validation AUC."""
-    xt, yt = x[~valid], y[~valid]
-    weight = np.where(yt == 1, (yt == 0).sum() / max((yt == 1).sum(), 1), 1.0)
-    beta = np.zeros(x.shape[1] + 1)
-    first, second = np.zeros_like(beta), np.zeros_like(beta)
-    xt1 = np.column_stack([xt, np.ones(len(xt))])
-    best, best_auc, idle, epoch = beta, 0.0, 0, 0
-    for epoch in range(1, epochs + 1):
-        p = 1 / (1 + np.exp(-np.clip(xt1 @ beta, -30, 30)))
-        grad = xt1.T @ (weight * (p - yt)) / max(len(yt), 1) + 1e-4 * beta
-        first = 0.9 * first + 0.1 * grad
-        second = 0.999 * second + 0.001 * grad**2
-        beta = beta - lr * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.999**epoch)) + 1e-8)
-        auc = _auc(y[valid], x[valid] @ beta[:-1])
-        if auc > best_auc:
-            best, best_auc, idle = beta, auc, 0
-        else:
-            idle += 1
-            if idle >= patience:
-                break
-    return best[:-1], float(best[-1]), _auc(yt, xt @ best[:-1]), best_auc, epoch
-
-
 def train_models(
     features: DataFrame,
     columns: list[str],
     trained_at: Column,
     split: str = "time",
     valid_share: float = 0.1,
-    trainer=fit_logistic,
+    trainer=logistic.fit_stack,
 ) -> DataFrame:
-    """M-3: one classifier per symbol, trained in parallel.
+    """M-3: one classifier per symbol, trained in parallel, some ten symbols of a task as one stack of matrices.
 
-    A symbol's rows are limited by the calendar; only the features, the target
-    and the split flag are sent. ``split="stratified"`` draws the validation rows
-    at random within each class and scales on all rows; the default validates on
-    the last rows and scales on the training rows.
+    ``trainer`` takes such a stack, see ``logistic.fit_stack``. ``split="stratified"`` draws the validation rows at
+    random within each class and scales on all rows; the default validates on the last rows and scales on the training
+    rows.
     """
     columns = [n for n in columns if n in features.columns]
     if len(columns) < MIN_FEATURES:
@@ -142,35 +107,7 @@ def train_models(
         rows = stratified_split(rows, ["symbol", "date"], share=valid_share)
     else:
         rows = time_split(rows, share=valid_share)
-    scale_on_all = split == "stratified"
-    out = (
-        "symbol string, center array<double>, scale array<double>, weights array<double>, bias double, "
-        "train_auc double, val_auc double, epochs_trained int, rows bigint"
-    )
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        x = np.stack(pdf["x"].to_numpy())
-        y, valid = pdf["target"].to_numpy(), pdf["is_valid"].to_numpy(dtype=bool)
-        base = x if scale_on_all or not (~valid).any() else x[~valid]
-        center, scale = base.mean(axis=0), base.std(axis=0)
-        scale[scale == 0] = 1.0
-        w, b, train_auc, val_auc, epochs = trainer((x - center) / scale, y, valid)
-        return pd.DataFrame(
-            {
-                "symbol": [pdf["symbol"].iloc[0]],
-                "center": [center.tolist()],
-                "scale": [scale.tolist()],
-                "weights": [w.tolist()],
-                "bias": [b],
-                "train_auc": [train_auc],
-                "val_auc": [val_auc],
-                "epochs_trained": [epochs],
-                "rows": [len(pdf)],
-            }
-        )
-
-    fitted = rows.select("symbol", "date", "target", "x", "is_valid").groupBy("symbol").applyInPandas(fit, out)
+    fitted = logistic.fit_symbols(rows, len(columns), split == "stratified", trainer)
     return fitted.select(
         "symbol", F.array(*[F.lit(n) for n in columns]).alias("feature_cols"), "center", "scale", "weights",
         "bias", "train_auc", "val_auc", "epochs_trained", "rows", trained_at.cast("timestamp").alias("trained_at"),
@@ -271,27 +208,39 @@ def both_probabilities(scored: DataFrame) -> DataFrame:
     return scored.withColumns({"p_down": p[0], "p_up": p[1]})
 
 
+def ablation_rows(features: DataFrame, groups: dict[str, list[str]], split: str = "stratified") -> tuple[DataFrame, list[str]]:
+    """Rows (y, is_valid, x) with all present columns of the groups, and these columns."""
+    mark = stratified_split(features, ["symbol", "date"]) if split == "stratified" else time_split(features)
+    used = [n for n in dict.fromkeys(n for g in groups.values() for n in g) if n in features.columns]
+    return mark.select(c("target").cast("double").alias("y"), "is_valid", model_input(features, used).alias("x")), used
+
+
 def run_ablation(
-    features: DataFrame, groups: dict[str, list[str]], combinations: dict[str, list[str]], split: str = "stratified",
-    iterations: int = 100,
+    features: DataFrame, groups: dict[str, list[str]], combinations: dict[str, list[str]], path: str, split: str = "stratified"
 ) -> DataFrame:
-    """M-7: one pooled logistic model per combination of feature groups, best first.
+    """M-7: one pooled logistic model per combination of feature groups, best first, with the sizes of the split.
 
-    Combinations without any present column are skipped.
+    All models are fitted in the same passes over one table, which is written to ``path``. Combinations without any
+    present column are skipped.
     """
-    mark = stratified_split(features, ["symbol", "date"]) if split == "stratified" else time_split(features)
-    used = [n for g in groups.values() for n in g if n in features.columns]
-    marked = mark.select("symbol", "date", "target", "is_valid", *[q(n) for n in dict.fromkeys(used)]).persist()
-    results = []
-    try:
-        for name, parts in combinations.items():
-            columns = [n for g in parts for n in groups[g] if n in features.columns]
-            if not columns:
-                continue
-            pipeline = pooled_models(columns, iterations=iterations)["logistic"]
-            train, valid = fit_and_score(pipeline, _pooled_rows(marked, columns))
-            results.append((name, len(columns), round(train, 4), round(valid, 4)))
-    finally:
-        marked.unpersist()
-    schema = "combination string, n_features int, train_auc double, val_auc double"
-    return leaderboard(features.sparkSession.createDataFrame(results, schema))
+    rows, used = ablation_rows(features, groups, split)
+    rows.write.parquet(path)
+    rows = features.sparkSession.read.parquet(path)
+    names, sets = [], []
+    for name, parts in combinations.items():
+        own = [used.index(n) for g in parts for n in groups[g] if n in used]
+        if own:
+            names.append(name)
+            sets.append(np.array(own))
+    train = rows.filter(~c("is_valid"))
+    center, scale = logistic.scales(train, len(used))
+    betas = logistic.fit_sets(train.select("x", "y"), sets, center, scale)
+    scored = logistic.set_scores(rows, ["y", "is_valid"], sets, betas, center, scale)
+    areas = roc_auc(scored, "y", "score", ["model", "is_valid"], wide=True)
+    areas = areas.withColumn("rows", c("n_pos") + c("n_neg")).groupBy("model").agg(
+        *[F.max(F.when(c("is_valid") == flag, c(n))).alias(alias) for flag, n, alias in (
+            (False, "auc", "train_auc"), (True, "auc", "val_auc"), (False, "rows", "train_rows"), (True, "rows", "val_rows"))]
+    )
+    known = features.sparkSession.createDataFrame([(k, n, len(s)) for k, (n, s) in enumerate(zip(names, sets))], "model int, combination string, n_features int")
+    rounded = [F.round(n, 4).alias(n) for n in ("train_auc", "val_auc")]
+    return leaderboard(known.join(areas, "model").select("combination", "n_features", *rounded, "train_rows", "val_rows"))
