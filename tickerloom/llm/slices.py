@@ -10,71 +10,59 @@ import zlib
 from collections.abc import Iterator
 from itertools import groupby
 
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import RDD, TaskContext
+from pyspark import RDD
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import words
-
-#: Bytes of text of a slice; a longer text makes a slice of its own.
-SLICE = 4 << 20
-#: Bits of a row's number for the slice and for the row in it; an Arrow batch has far fewer rows.
+#: Characters of text of a slice, and rows of one; a longer text makes a slice of its own.
+SLICE, SLICE_ROWS = 2 << 20, 10_000
+#: Bits of a row's number for the slice and for the row in it.
 SLICE_BITS, ROW_BITS = 20, 20
 
 
-def packed(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
+def text_of(path: list[str]):
+    """The text of a row, a column or a field of a structure; null is as the empty text."""
 
-def _read(blob: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(blob).read_next_batch()
+    def text(row) -> str:
+        for name in path:
+            row = row[name]
+        return row or ""
 
+    return text
 
-def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of packed batches, the first column."""
-    for batch in batches:
-        for blob in batch.column(0):
-            yield _read(blob.as_py())
 
+def _sliced(path: list[str]):
+    text = text_of(path)
 
-def _texts(batch: pa.RecordBatch, path: list[str]) -> pa.Array:
-    texts = batch.column(path[0])
-    for field in path[1:]:
-        texts = pc.struct_field(texts, field)
-    return texts
-
+    def sliced(part: int, rows: Iterator) -> Iterator[tuple]:
+        held, size, number = [], 0, 0
+        for row in rows:
+            held.append(row)
+            size += len(text(row))
+            if size >= SLICE or len(held) == SLICE_ROWS:
+                yield part, number, held
+                held, size, number = [], 0, number + 1
+        if held:
+            yield part, number, held
 
-def checked(blob: bytes, text: list[str], mark: int) -> tuple[pa.RecordBatch, pa.Array]:
-    """The rows of a slice and their texts, which have the checksum ``mark``."""
-    batch = _read(blob)
-    texts = _texts(batch, text)
-    if zlib.crc32(words.text_bytes(texts)[0]) != mark:
-        raise RuntimeError("the rows came in another order than before: write the table first")
-    return batch, texts
+    return sliced
 
 
-def _sliced(text: list[str], id_col: str | None):
-    """Rows as slices: (part, slice, ids, bytes and checksum of the texts, rows in Arrow's format)."""
+def mark_of(texts: list[str]) -> int:
+    """A checksum of the texts of a slice."""
+    out = 0
+    for text in texts:
+        out = zlib.crc32(text.encode("utf-8", "surrogatepass") + b"\0", out)
+    return out
 
-    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            texts = _texts(batch, text)
-            ids = batch.column(id_col).cast(pa.int64()) if id_col else pa.nulls(batch.num_rows, pa.int64())
-            for a, z in words.text_slices(texts, SLICE):
-                own = batch.slice(a, z - a)
-                data = words.text_bytes(texts.slice(a, z - a))[0]
-                whole = [pa.array([x], t) for x, t in ((part, pa.int32()), (number, pa.int32()), (len(data), pa.int64()), (zlib.crc32(data), pa.int64()))]
-                lists = [pa.array([ids.slice(a, z - a).to_pylist()], pa.list_(pa.int64())), pa.array([packed(own)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*whole, *lists], names=["part", "slice", "size", "mark", "ids", "rows"])
-                number += 1
 
-    return sliced
+def checked(rows: list, path: list[str], mark: int) -> list[str]:
+    """The texts of a slice, which have the checksum ``mark``."""
+    texts = list(map(text_of(path), rows))
+    if mark_of(texts) != mark:
+        raise RuntimeError("the rows came in another order than before: write the table first")
+    return texts
 
 
 def _gathered(rows: Iterator) -> Iterator[tuple]:
@@ -88,69 +76,82 @@ def row_number() -> Column:
     return F.shiftleft(F.col("part").cast("long"), SLICE_BITS + ROW_BITS) + F.shiftleft(F.col("slice").cast("long"), ROW_BITS) + F.col("row")
 
 
-def _numbered(text: list[str]):
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, number, blob in zip(*(batch.column(c) for c in ("part", "slice", "rows"))):
-                texts = _texts(_read(blob.as_py()), text)
-                first = (part.as_py() << SLICE_BITS + ROW_BITS) + (number.as_py() << ROW_BITS)
-                yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(texts)), pa.int64()), texts], names=["number", "text"])
+def _placed(path: list[str], id_col: str):
+    def placed(item: tuple) -> Iterator[tuple]:
+        part, number, rows = item
+        texts = list(map(text_of(path), rows))
+        size, mark = sum(map(len, texts)), mark_of(texts)
+        for k, row in enumerate(rows):
+            yield part, number, size, mark, k, row[id_col]
+
+    return placed
+
+
+def _numbered(path: list[str]):
+    text = text_of(path)
+
+    def numbered(item: tuple) -> Iterator[tuple]:
+        part, number, rows = item
+        first = (part << SLICE_BITS + ROW_BITS) + (number << ROW_BITS)
+        return ((first + k, text(row)) for k, row in enumerate(rows))
 
     return numbered
 
 
-def _taken(text: list[str]):
-    def taken(row: tuple) -> tuple:
-        blob, (side,) = row
-        batch, _ = checked(blob, text, side["mark"])
-        return (packed(batch.take(pa.array(sorted(side["rows"]), pa.int64()))),)
+def _taken(path: list[str]):
+    def taken(item: tuple) -> Iterator:
+        rows, (side,) = item
+        checked(rows, path, side["mark"])
+        return (rows[k] for k in sorted(side["rows"]))
 
     return taken
 
 
 class Slices:
-    """The slices of ``docs``, and tables of one row a slice that are laid beside them, partition by partition.
+    """The slices of ``docs``, and tables of rows that are laid beside them, partition by partition.
 
     ``docs`` must give the same rows in the same order whenever it is read, as a scan with filters and columns does; the
-    texts of a slice are checked to be those that the table beside it was made from.
+    texts of a slice are checked to be those that the table beside it was made from. ``id_col`` is a whole number.
     """
 
-    def __init__(self, docs: DataFrame, text: list[str], id_col: str | None):
-        self.text, self.schema = text, docs.schema
-        self.table = docs.mapInArrow(_sliced(text, id_col), "part int, slice int, size long, mark long, ids array<bigint>, rows binary")
-        self.rdd = self.table.select("part", "slice", "rows").rdd
+    def __init__(self, docs: DataFrame, path: list[str], id_col: str):
+        self.spark, self.path, self.schema, self.id_col = docs.sparkSession, path, docs.schema, id_col
+        # One slice at a time goes from process to process, not a hundred as by default.
+        self.rdd = docs.rdd.mapPartitionsWithIndex(_sliced(path))._reserialize(BatchedSerializer(CPickleSerializer(), 1))
 
     def beside(self, table: DataFrame, order: list[str]) -> RDD:
-        """(rows of a slice, packed, and the rows of ``table`` with its part and slice, in ``order``). Every slice must
-        have a row at least. One zip of two: each further one would need more Python processes in a task."""
+        """(rows of a slice, rows of ``table`` with its part and slice, in ``order``). Every slice must have a row there.
+        One zip of two: each further one would need more Python processes in a task."""
         n = self.rdd.getNumPartitions()
         if not n:
             return self.rdd
         sides = table.repartitionById(n, F.col("part")).sortWithinPartitions("slice", *order).rdd.mapPartitions(_gathered)
         more = n - sides.getNumPartitions()  # an empty table may be planned with fewer partitions
         sides = sides.union(sides.context.parallelize([], more)) if more > 0 else sides
+        sides = sides._reserialize(BatchedSerializer(CPickleSerializer(), 1))
 
         def joined(pair: tuple) -> tuple:
-            (part, number, blob), (*key, rows) = pair
+            (part, number, rows), (*key, mine) = pair
             if [part, number] != key:
                 raise RuntimeError(f"slice {part, number} was read in another order: {key}")
-            return blob, rows
+            return rows, mine
 
         return self.rdd.zip(sides).map(joined)
 
+    def table(self, rows: RDD, schema) -> DataFrame:
+        return self.spark.createDataFrame(rows, schema, verifySchema=False)
+
     def places(self) -> DataFrame:
         """(part, slice, size, mark, row, id) of every row."""
-        return self.table.select("part", "slice", "size", "mark", F.posexplode("ids").alias("row", "id"))
+        return self.table(self.rdd.flatMap(_placed(self.path, self.id_col)), "part int, slice int, size long, mark long, row int, id long")
 
     def numbered(self) -> DataFrame:
         """(number, text) of every row, see ``row_number``."""
-        return self.table.select("part", "slice", "rows").mapInArrow(_numbered(self.text), "number long, text string")
+        return self.table(self.rdd.flatMap(_numbered(self.path)), "number long, text string")
 
-    def taken(self, rows: DataFrame) -> DataFrame:
-        """The rows of the table whose (part, slice, row) ``rows`` lists, each once."""
+    def taken(self, places: DataFrame, rows: DataFrame) -> DataFrame:
+        """The rows of the table whose (part, slice, row) ``rows`` lists, each once; ``places`` are those of all rows."""
         lists = rows.groupBy("part", "slice").agg(F.collect_list("row").alias("rows"))
-        every = self.table.select("part", "slice", "mark").join(lists, ["part", "slice"], "left")
+        every = places.groupBy("part", "slice").agg(F.max("mark").alias("mark")).join(lists, ["part", "slice"], "left")
         every = every.withColumn("rows", F.coalesce("rows", F.array().cast("array<int>")))
-        blobs = self.beside(every, []).map(_taken(self.text))
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
-        return self.table.sparkSession.createDataFrame(blobs, "rows binary", verifySchema=False).mapInArrow(unpacked, schema)
+        return self.table(self.beside(every, []).flatMap(_taken(self.path)), self.schema)

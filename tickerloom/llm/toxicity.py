@@ -27,9 +27,11 @@ import pyarrow.compute as pc
 from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words
-from .slices import Slices, checked, packed, unpacked
+from .characters import has_letter
+from .slices import Slices, checked
 from .storage import shared_folder, stored
 
 DISCOUNT = 0.75
@@ -78,9 +80,10 @@ class Pairs:
     """The words of some texts: ``word`` and ``pair`` hold the distinct keys in order, ``pair_of`` the place of each
     token's pair, ``text`` its text; ``left`` and ``right`` are the words of each distinct pair."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: list[str]):
         tokens, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
-        for a, z in words.text_slices(texts):
+        texts = pa.array(texts, pa.large_string())
+        for a, z in words.text_slices(texts, 1 << 19):
             data, offsets = words.text_bytes(pc.utf8_lower(texts.slice(a, z - a)))
             starts, ends, text = _tokens(data, offsets)
             tokens.append(words.word_hashes(data, starts, ends, lower=False))
@@ -210,12 +213,11 @@ def _kinds(marks: list, n: int) -> np.ndarray:
     return kind
 
 
-def _ask_pairs(keys: Keys, text: list[str]):
-    def ask(row: tuple) -> Iterator[tuple]:
-        blob, sides = row
+def _ask_pairs(keys: Keys, path: list[str]):
+    def ask(item: tuple) -> Iterator[tuple]:
+        rows, sides = item
         own, _, _ = _split(sides)
-        batch, texts = checked(blob, text, own["mark"])
-        pairs, kind = Pairs(texts), _kinds(own["marks"], batch.num_rows)
+        pairs, kind = Pairs(checked(rows, path, own["mark"])), _kinds(own["marks"], len(rows))
         of = kind[pairs.text]
         yield from _questions(keys, pairs.pair, [np.bincount(pairs.pair_of[of == k], minlength=len(pairs.pair)) for k in (0, 1)], own["part"], own["slice"])
 
@@ -233,15 +235,14 @@ def _sizes(keys: Keys, asked: np.ndarray) -> list[int]:
     return [z - a for _, a, z in keys.parts(asked)]
 
 
-def _ask_words(keys: Keys, text: list[str]):
+def _ask_words(keys: Keys, path: list[str]):
     """Adds by word: pairs that it ends (by class) which this slice is the first to have, those that it begins, and how
     often it begins one."""
 
-    def ask(row: tuple) -> Iterator[tuple]:
-        blob, sides = row
+    def ask(item: tuple) -> Iterator[tuple]:
+        rows, sides = item
         own, answer, _ = _split(sides)
-        batch, texts = checked(blob, text, own["mark"])
-        pairs, kind = Pairs(texts), _kinds(own["marks"], batch.num_rows)
+        pairs, kind = Pairs(checked(rows, path, own["mark"])), _kinds(own["marks"], len(rows))
         of, n = kind[pairs.text], len(pairs.word)
         *_, new0, new1 = _joined_counts(answer, _sizes(keys, pairs.pair))
         counts = [np.bincount(side[new > 0], minlength=n) for side in (pairs.right, pairs.left) for new in (new0, new1)]
@@ -305,17 +306,17 @@ def text_features(pairs: Pairs, counts: list[np.ndarray], known: list[np.ndarray
     return out
 
 
-def _describe(keys: Keys, text: list[str], totals: list[int]):
+def _describe(keys: Keys, path: list[str], totals: list[int]):
     """(part, slice, features of every row and whether it has a letter, features and class of the rows to fit on)."""
 
-    def describe(row: tuple) -> tuple:
-        blob, sides = row
+    def describe(item: tuple) -> tuple:
+        rows, sides = item
         own, pair_answer, word_answer = _split(sides)
-        _, texts = checked(blob, text, own["mark"])
+        texts = checked(rows, path, own["mark"])
         pairs = Pairs(texts)
         counts = _joined_counts(pair_answer, _sizes(keys, pairs.pair))
         x = text_features(pairs, counts[:2], _joined_counts(word_answer, _sizes(keys, pairs.word)), totals, len(texts))
-        letter = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False), bool)
+        letter = has_letter(texts)
         fit = [(*x[r].tolist(), float(toxic)) for r, toxic, fitted in own["marks"] if fitted and letter[r]]
         return own["part"], own["slice"], own["mark"], np.column_stack([x, letter]).astype("<f8").tobytes(), np.array(fit, "<f8").tobytes()
 
@@ -344,19 +345,17 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.append(w[:-1] / spread, w[-1] - (w[:-1] * centre / spread).sum())
 
 
-def _scored(model: np.ndarray | None, base: float, kept: list[str], text: list[str]):
-    def scored(row: tuple) -> tuple:
-        blob, (side,) = row
-        batch, _ = checked(blob, text, side["mark"])
-        x = np.frombuffer(side["rows"], "<f8").reshape(batch.num_rows, len(FEATURES) + 1)
+def _scored(model: np.ndarray | None, base: float, kept: list[str], path: list[str]):
+    def scored(item: tuple) -> Iterator[tuple]:
+        rows, (side,) = item
+        checked(rows, path, side["mark"])
+        x = np.frombuffer(side["rows"], "<f8").reshape(len(rows), len(FEATURES) + 1)
         score = np.full(len(x), base)
         if model is not None:
             z = np.clip((x[:, :-1] * model[:-1]).sum(axis=1) + model[-1], -30, 30)
             score = np.where(x[:, -1] > 0, 1 / (1 + np.exp(-z)), base)
-        out = pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in kept), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"]
-        )
-        return (packed(out),)
+        for row, value in zip(rows, score.tolist()):
+            yield (*(row[c] for c in kept), value, int(value >= 0.5))
 
     return scored
 
@@ -376,9 +375,8 @@ def with_toxicity(docs: DataFrame, counted: DataFrame, fitted: DataFrame, kept:
     share of toxic rows in ``fitted``, below a half; so does every text if one class has no row. Rows that repeat stay,
     an empty table gives no rows. ``docs`` is read several times, see ``Slices``.
     """
-    spark, folder, path = docs.sparkSession, shared_folder(docs.sparkSession), text_col.split(".")
+    folder, path = shared_folder(docs.sparkSession), text_col.split(".")
     rows = docs.select(*dict.fromkeys([*kept, path[0], id_col]))
-    kind = rows.schema
     slices = Slices(rows, path, id_col)
     places = stored(slices.places(), folder, "places")
     marks = []
@@ -394,7 +392,7 @@ def with_toxicity(docs: DataFrame, counted: DataFrame, fitted: DataFrame, kept:
     sides = marked.select("part", "slice", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), "mark", "marks")
 
     def answered(asked: RDD, kinds: int, first: bool, name: str) -> DataFrame:
-        table = spark.createDataFrame(asked, _ASKED, verifySchema=False)
+        table = slices.table(asked, _ASKED)
         return stored(table.groupBy("bucket").applyInArrow(_answers(keys, kinds, first), _ANSWER), folder, name)
 
     def with_answers(sides: DataFrame, table: DataFrame, kind: int) -> DataFrame:
@@ -408,13 +406,12 @@ def with_toxicity(docs: DataFrame, counted: DataFrame, fitted: DataFrame, kept:
     sums = [F.coalesce(F.sum(F.col("totals")[i]), F.lit(0)).alias(f"t{i}") for i in (0, 1, 6, 7, 12)]
     totals = list(known.where("part < 0").agg(*sums).first())
     described = slices.beside(sides, order).map(_describe(keys, path, totals))
-    described = stored(spark.createDataFrame(described, "part int, slice int, mark long, rows binary, fit binary", verifySchema=False), folder, "described")
+    described = stored(slices.table(described, "part int, slice int, mark long, rows binary, fit binary"), folder, "described")
     fit = [np.frombuffer(r[0], "<f8") for r in described.where("length(fit) > 0").select("fit").collect()]  # of FIT_ROWS labels
     fit = np.concatenate([np.zeros(0), *fit]).reshape(-1, len(FEATURES) + 1)
     y = fit[:, -1]
     base = min(float(y.mean()), 0.49) if len(y) else 0.0
     model = _fit(fit[:, :-1], y) if 0 < y.sum() < len(y) else None
-    blobs = slices.beside(described.select("part", "slice", "mark", "rows"), []).map(_scored(model, base, kept, path))
-    schema = ", ".join(f"`{c}` {kind[c].dataType.simpleString()}" for c in kept)
-    return spark.createDataFrame(blobs, "rows binary", verifySchema=False).mapInArrow(unpacked, f"{schema}, score double, predicted int")
-
+    scored = slices.beside(described.select("part", "slice", "mark", "rows"), []).flatMap(_scored(model, base, kept, path))
+    fields = [*(rows.schema[c] for c in kept), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    return slices.table(scored, T.StructType(fields))
