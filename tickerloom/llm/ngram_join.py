@@ -29,6 +29,8 @@ MANY = 64
 HELD = 1_000_000
 #: Bytes of a shingle's hash that are sent, after the bits that name its bucket.
 KEY = 6
+#: Bytes of text for each bucket of shingles: some 10 MB of packed shingles.
+BUCKET_BYTES = 4 << 20
 #: Parts that the suffix filter cuts a set into.
 PARTS = 8
 #: While more pairs than this would meet on a shingle on average, sets are first compared with one more central set.
@@ -256,11 +258,15 @@ def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Two kinds of rows (id, n, set, shared). With a null ``shared``: every row of ``docs``, the size and the name of
     its set. Others: the sets whose prefix holds a shared shingle, with all their shared shingles, rare first.
 
-    ``buckets`` (by default the shuffle partitions) is rounded up to a power of two; a task works on one at a time, so
-    choose it by the input: some 20 MB of packed shingles (7 to 22 bytes each) a bucket.
+    ``buckets`` is rounded up to a power of two; a task works on one at a time. By default it is the bytes of all texts
+    over ``BUCKET_BYTES``, the shuffle partitions at least, so a bucket does not grow with the input.
     """
-    bits = max(1, ((buckets or shuffle_partitions(docs.sparkSession)) - 1).bit_length())
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_deal(bits, size), "bucket int, items binary, common binary, rows binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    if buckets is None:
+        total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        buckets = max(shuffle_partitions(docs.sparkSession), total // BUCKET_BYTES)
+    bits = max(1, (buckets - 1).bit_length())
+    dealt = rows.mapInArrow(_deal(bits, size), "bucket int, items binary, common binary, rows binary")
     counted = dealt.groupBy("bucket").applyInArrow(_count(bits), "home int, bucket int, items binary, common binary, rows binary")
     return counted.groupBy("home").applyInArrow(_gather(bits, percent), "id long, n long, set long, shared binary")
 
