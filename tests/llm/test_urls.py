@@ -1,26 +1,16 @@
 import itertools
 import math
 
-import numpy as np
-
 from tickerloom.llm import urls
 
 
-def table_of(words):
-    table = np.full(urls.WORD_BUCKETS + 1, -np.inf, np.float32)
-    total = sum(words.values())
-    for w, n in words.items():
-        table[urls._bucket(w, urls.WORD_BUCKETS)] = math.log(n / total)
-    table[-1] = -math.log(total)
-    return table
-
-
 def test_segmentation_equals_all_cuts():
     words = {"cheap": 50, "pills": 40, "pill": 30, "s": 5, "he": 60, "the": 90, "there": 30, "re": 10, "her": 20}
-    table = table_of(words)
+    total = sum(words.values())
+    known, one = {w: math.log(n / total) for w, n in words.items()}, -math.log(total)
 
     def value(parts):
-        return sum(float(table[urls._bucket(p, urls.WORD_BUCKETS)]) if p in words else float(table[-1]) - 2.5 * len(p) for p in parts)
+        return sum(known.get(p, one - 2.5 * len(p)) for p in parts)
 
     for label in ("cheappills", "thereher", "pillsqq", "z", "thethethe"):
         cuts = []
@@ -31,9 +21,9 @@ def test_segmentation_equals_all_cuts():
                     parts.append(label[at:i])
                     at = i
             cuts.append([*parts, label[at:]])
-        got = urls.segment(label, table)
-        assert "".join(got) == label and abs(value(got) - max(map(value, cuts))) < 1e-5
-    assert urls.segment("cheappills", table) == ["cheap", "pills"] and urls.segment("", table) == []
+        got = urls.best_cut(label, known, one)
+        assert "".join(got) == label and abs(value(got) - max(map(value, cuts))) < 1e-9
+    assert urls.best_cut("cheappills", known, one) == ["cheap", "pills"] and urls.best_cut("", known, one) == []
 
 
 def parts(url):
@@ -82,13 +72,21 @@ def test_given_pages(sample):
 
 
 def test_words_are_counted_exactly(spark):
-    """A frequent word in the hash bucket of a host does not make the host a word."""
-    bucket = urls._bucket("cheappills", urls.WORD_BUCKETS)
-    alike = next(w for w in (f"q{i}" for i in itertools.count()) if urls._bucket(w, urls.WORD_BUCKETS) == bucket)
-    text = "<p>cheap pills here " + f"{alike} " * 500 + "</p>"
+    """A frequent other word does not make a host a word."""
+    text = "<p>cheap pills here " + "cheappill " * 500 + "</p>"
     pages = spark.createDataFrame([(1, "http://cheappills.net/x", text), (2, "http://pillscheapzz.net/x", None)], "page_id long, url string, html string")
     got = {r["page_id"]: r["host_words"] for r in urls.judged_urls(pages).collect()}
-    assert got == {1: "cheap pills net", 2: "pills cheap zz net"}
+    assert got == {1: "cheappill s net", 2: "pills cheap zz net"}
+
+
+def test_a_host_of_a_megabyte_and_pages_without_an_end(spark):
+    """Neither is repeated with each of its pieces or searched anew from each of its tags."""
+    host = "pills" * 200_000 + ".net"
+    open_ = "<script" * 60_000 + "<" * 100_000 + "<p>cheap pills</p>"
+    pages = spark.createDataFrame([(1, f"http://{host}", "cheap pills"), (2, "http://a.net/", open_), (3, "http://b.net/", "<STYLE>pills x</style >cheap <b")], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in urls.judged_urls(pages).collect()}
+    assert got[1]["host"] == host and got[1]["host_words"].split() == ["pills"] * 200_000 + ["net"]
+    assert urls._plain("<STYLE>pills x</style >cheap <b").split() == ["cheap", "<b"]
 
 
 def test_scores_equal_naive_bayes_by_hand(spark):

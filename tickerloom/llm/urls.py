@@ -11,9 +11,7 @@ import math
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +27,8 @@ RULES = (
     ("block", "com", "/de/"),
 )
 VERDICTS = ("allow", "block")
-#: Entries of the hashed table that ``segment`` reads; the query counts exact words.
-WORD_BUCKETS = 1 << 20
+#: Pieces of hosts that are sent at once.
+SENT = 1 << 16
 #: Different words that a task counts before it gives its counts out.
 HELD_WORDS = 1 << 18
 SMOOTHING = 0.5
@@ -54,11 +52,29 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _bucket(word: str, buckets: int) -> int:
-    return xxhash.xxh64_intdigest(word) % buckets
-
-
 _WORD = re.compile(r"[^\W_]+")
+_TAG, _ENTITY = re.compile(r"<[^>]*>|&#?\w+;"), re.compile(r"&#?\w+;")
+_OPEN = re.compile(r"<(script|style)\b", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
+
+
+def _plain(html: str) -> str:
+    """The text of a page: without scripts and styles that end, tags that end, and entities. Time grows with the length,
+    also if nothing ends."""
+    kept, at, endless = [], 0, set()
+    for m in _OPEN.finditer(html):
+        name = m[1].lower()
+        if m.start() < at or name in endless:
+            continue
+        end = _CLOSE[name].search(html, m.end())
+        if end:
+            kept.append(html[at : m.start()])
+            at = end.end()
+        else:
+            endless.add(name)
+    html = " ".join([*kept, html[at:]])
+    last = html.rfind(">") + 1
+    return _TAG.sub(" ", html[:last]) + " " + _ENTITY.sub(" ", html[last:])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,8 +86,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for path, html in zip(batch.column("path").to_pylist(), batch.column("html").to_pylist()):
-            text = re.sub(r"<(script|style)\b.*?</\1\s*>|<[^>]*>|&#?\w+;", " ", html or "", flags=re.S | re.I)
-            for word in _WORD.findall(f"{path} {text}".lower()):
+            for word in _WORD.findall(f"{path} {_plain(html or '')}".lower()):
                 if not word.isdigit():
                     counts[word] = counts.get(word, 0) + 1
             if len(counts) >= HELD_WORDS:
@@ -109,27 +124,36 @@ def best_cut(label: str, known: dict[str, float], one: float) -> list[str]:
     return words[::-1]
 
 
-def segment(label: str, table: np.ndarray) -> list[str]:
-    """``best_cut`` by a table of the log probabilities of hashed words, and last the log of one count."""
-    known = {label[a:z]: float(table[_bucket(label[a:z], WORD_BUCKETS)]) for z in range(len(label) + 1) for a in range(z)}
-    return best_cut(label, {w: p for w, p in known.items() if p > -math.inf}, float(table[-1]))
+def _pieces(lengths: list[int]):
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The different pieces of the parts of each host, of the lengths that words have, under the host's name."""
+        firsts, seconds, found = [], [], []
 
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(found, pa.string())], names=["a", "b", "word"])
+            firsts.clear(), seconds.clear(), found.clear()
+            return out
 
-def _substrings(lengths: list[int]):
-    def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The different pieces of the parts of each host, of the lengths that words have."""
         for batch in batches:
-            for host in batch.column("host").to_pylist():
+            for a, b, host in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "host"))):
+                parts = set(_WORD.findall(host))
+                longest = max(map(len, parts), default=0)
                 for n in lengths:
-                    pieces = list({part[a : a + n] for part in _WORD.findall(host) for a in range(len(part) - n + 1)})
-                    if pieces:
-                        yield pa.RecordBatch.from_arrays([pa.array([host] * len(pieces)), pa.array(pieces)], names=["host", "word"])
+                    if n > longest:
+                        break
+                    new = {part[k : k + n] for part in parts for k in range(len(part) - n + 1)}
+                    found.extend(new)
+                    firsts.extend([a] * len(new)), seconds.extend([b] * len(new))
+                    if len(found) >= SENT:
+                        yield rows()
+        yield rows()
 
-    return substrings
+    return pieces
 
 
 def host_words(hosts: DataFrame, words: DataFrame) -> DataFrame:
-    """(host, words) of different hosts, from the (word, n) of ``word_counts``."""
+    """(host, words) of different hosts, from the (word, n) of ``word_counts``. A host's pieces go by a 128-bit name of
+    it, so that a very long host is not repeated with each."""
     total = max(words.agg(F.sum("n")).first()[0] or 0, 1)
     lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())
 
@@ -141,9 +165,10 @@ def host_words(hosts: DataFrame, words: DataFrame) -> DataFrame:
             out.append([w for part in _WORD.findall(host) for w in best_cut(part, costs, -math.log(total))])
         return pa.array(out, pa.list_(pa.string()))
 
-    found = hosts.mapInArrow(_substrings(lengths), "host string, word string").join(words, "word")
-    found = found.groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    return hosts.join(found, "host", "left").select("host", cut("host", "known").alias("words"))
+    hosts = hosts.select("host", F.xxhash64("host").alias("a"), F.xxhash64(F.lit(7), "host").alias("b"))
+    found = hosts.mapInArrow(_pieces(lengths), "a long, b long, word string").join(words, "word")
+    found = found.groupBy("a", "b").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return hosts.join(found, ["a", "b"], "left").select("host", cut("host", "known").alias("words"))
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
