@@ -50,7 +50,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ranked = places.join(groups, "number").select("component_id", F.struct(F.col("id").isNull().alias("none"), "id", "part", "slice", "row").alias("place"))
     best = ranked.groupBy("component_id").agg(F.min("place").alias("place")).select("place.part", "place.slice", "place.row")
     wordless = places.join(groups, "number", "left_anti").select("part", "slice", "row")
-    return rows.taken(best.union(wordless))
+    return rows.taken(places, best.union(wordless))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
