@@ -461,15 +461,34 @@ add(
 
 # -- streams ---------------------------------------------------------------------------------------
 
-
-def event_stream(s, p):
-    source = s.readStream.schema(s.read.parquet(f"{p}/events.parquet").schema).parquet(f"{p}/events.parq*")
-    return source.select(
-        F.floor(c("event_id") / 3).cast("string").alias("url"),
+def arrivals(s, rows, name, parts):
+    """``rows`` as files of a folder, one for each number of ``_file``, written in that order."""
+    path = folder(s, name)
+    for k in range(parts):
+        rows.filter(c("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+FILES = 10
+# Every file brings three days; every 17th event comes five files later, but with the last one at the latest.
+FILE_OF = "least(floor(d / 3) + CASE WHEN event_id % 17 = 0 THEN 5 ELSE 0 END, 9)"
+EVENTS = f"""e AS (SELECT *, event_type AS symbol, CAST(ts AS DATE) - DATE '2024-01-01' AS d FROM events),
+f AS (SELECT *, {FILE_OF} AS file FROM e)"""
+
+
+def event_files(s, p):
+    """Articles made of the events, late ones among them, and a stream of one file a batch."""
+    days = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    rows = d.table(s, p, "events").withColumn("d", days).select(
+        F.concat(F.lit("http://x/"), (c("d") % 27).cast("string")).alias("url"),
         c("ts").cast("timestamp").alias("published"),
         c("event_type").alias("symbol"),
+        F.lit("p").alias("provider"),
+        F.lit("x").alias("content"),
         c("value").alias("score"),
+        F.expr(FILE_OF).alias("_file"),
     )
+    return stream.article_stream(s, arrivals(s, rows, "events", FILES), files_per_batch=1)
 
 
 def drained(s, df, name, keys=None):
@@ -485,6 +504,16 @@ def drained(s, df, name, keys=None):
     return explore.keep_last(rows, keys, "_batch").drop("_batch") if keys else rows.drop("_batch")
 
 
+def event_stream(s, p):
+    source = s.readStream.schema(s.read.parquet(f"{p}/events.parquet").schema).parquet(f"{p}/events.parq*")
+    return source.select(
+        F.floor(c("event_id") / 3).cast("string").alias("url"),
+        c("ts").cast("timestamp").alias("published"),
+        c("event_type").alias("symbol"),
+        c("value").alias("score"),
+    )
+
+
 SD = {"symbol": None, "date": None, "avg_sentiment": 6, "news_count": None}
 add(
     "stream_daily_sentiment",
@@ -492,26 +521,69 @@ add(
     f"""SELECT {rounded(SD)} FROM (SELECT event_type AS symbol, CAST(ts AS DATE) AS date, avg(value) AS avg_sentiment,
     count(*) AS news_count FROM events GROUP BY 1, 2)""",
 )
+# A batch is judged by the watermark of the batches before: their latest event less ten days. A day is closed, and its
+# late events are dropped, when the watermark reaches its end.
+add(
+    "stream_late_drop",
+    lambda s, p: rounds(drained(s, stream.running_sentiment(event_files(s, p)), "late", ["symbol", "date"]), SD),
+    with_(
+        EVENTS,
+        "b AS (SELECT file, max(ts) AS latest FROM f GROUP BY file)",
+        "w AS (SELECT a.file, max(b.latest) - INTERVAL 10 DAY AS mark FROM b a LEFT JOIN b ON b.file < a.file GROUP BY a.file)",
+        f"""x AS (SELECT symbol, CAST(ts AS DATE) AS date, avg(value) AS avg_sentiment, count(*) AS news_count
+        FROM f JOIN w USING (file) WHERE mark IS NULL OR CAST(ts AS DATE) + INTERVAL 1 DAY > mark GROUP BY 1, 2)""",
+        select=f"SELECT {rounded(SD)} FROM x",
+    ),
+)
+
+
+def distinct_events(s, p):
+    """By days, so that an article's time does not depend on which of its events comes first."""
+    days = event_files(s, p).withColumn("published", F.date_trunc("day", "published"))
+    return drained(s, stream.deduplicated(days), "dedup").select("url", F.to_date("published").alias("date"))
+
+
+# An url is known until the watermark of an earlier batch has passed its first day by ten days more; those of the last
+# three days come again after that.
 add(
     "stream_distinct_articles",
-    lambda s, p: drained(s, stream.deduplicated(event_stream(s, p), "40 days").select("url"), "dedup"),
-    "SELECT DISTINCT CAST(event_id // 3 AS VARCHAR) AS url FROM events",
+    distinct_events,
+    with_(
+        EVENTS,
+        "r AS (SELECT DISTINCT 'http://x/' || d % 27 AS url, d, file FROM f)",
+        "b AS (SELECT file, max(d) AS latest FROM r GROUP BY file)",
+        "w AS (SELECT a.file, coalesce(max(b.latest) - 10, -1000) AS mark FROM b a LEFT JOIN b ON b.file < a.file GROUP BY a.file)",
+        "k AS (SELECT r.*, mark FROM r JOIN w USING (file) WHERE d > mark)",
+        "o AS (SELECT k.*, first_value(d) OVER (PARTITION BY url ORDER BY file) AS known, row_number() OVER (PARTITION BY url ORDER BY file) AS n FROM k)",
+        "y AS (SELECT o.*, w.mark AS before FROM o LEFT JOIN w ON w.file = o.file - 1)",
+        select="SELECT url, DATE '2024-01-01' + d AS date FROM y WHERE n = 1 OR known + 10 < before",
+    ),
 )
 
 
-def ingested(s, p):
-    """Batches inserted into a stored table, one version per batch."""
-    path = folder(s, "ingest")
-    state = {"table": s.createDataFrame([], "news_id bigint, url string")}
+INGEST_FILES = 4
 
-    def write(batch, number):
-        rows = batch.groupBy("url").agg(F.min(F.unix_micros("published")).alias("seq"))
-        new = upsert.insert_news(state["table"], rows)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
-        state["table"] = s.read.parquet(f"{path}/v{number}")
 
-    stream.start_ingest(event_stream(s, p), write, f"{path}/state", every=None).awaitTermination()
-    return state["table"].select("url")
+def ingested(s, p):
+    """The article pipeline on the documents as they arrive, a quarter a batch."""
+    rows = d.news(s, p).select(
+        c("news_id").alias("seq"), "url", "news_date", "provider", F.upper("content").alias("content")
+    )
+    size = rows.agg(F.max("seq") + 1).scalar()
+    files = arrivals(s, rows.withColumn("_file", F.floor(c("seq") * INGEST_FILES / size)), "articles-in", INGEST_FILES)
+    out = folder(s, "ingest")
+    write = news.ingest(out, d.listed(s, p), d.hash_scorer, dt.date(1995, 1, 1), F.lit("2002-01-01").cast("timestamp"))
+    source = stream.article_stream(s, files, rows.schema, 1)
+    stream.start_ingest(source, write, f"{out}/state", every=None).awaitTermination()
+    stored, links, company = (s.read.parquet(f"{out}/{name}") for name in ("news", "links", "company"))
+    company = company.filter(c("batch") == INGEST_FILES - 1)
+    return rounds(
+        stored.drop("batch").join(links.drop("batch"), "news_id")
+        .join(company, "company_id")
+        .groupBy("code", "company_id")
+        .agg(F.count("*").alias("articles"), F.avg("news_ratio").alias("score")),
+        ART,
+    )
 
 
-add("stream_ingest", ingested, "SELECT DISTINCT CAST(event_id // 3 AS VARCHAR) AS url FROM events")
+add("stream_ingest", ingested, ORACLES["article_pipeline"])
