@@ -521,15 +521,15 @@ add(
     f"""SELECT {rounded(SD)} FROM (SELECT event_type AS symbol, CAST(ts AS DATE) AS date, avg(value) AS avg_sentiment,
     count(*) AS news_count FROM events GROUP BY 1, 2)""",
 )
-# A batch is judged by the watermark of the batches before: their latest event less ten days. A day is closed, and its
-# late events are dropped, when the watermark reaches its end.
+# The watermark of a batch is the latest event of the batches before less ten days; events are late by that of the batch
+# before. A day is closed, and its late events are dropped, when that reaches its end.
 add(
     "stream_late_drop",
     lambda s, p: rounds(drained(s, stream.running_sentiment(event_files(s, p)), "late", ["symbol", "date"]), SD),
     with_(
         EVENTS,
         "b AS (SELECT file, max(ts) AS latest FROM f GROUP BY file)",
-        "w AS (SELECT a.file, max(b.latest) - INTERVAL 10 DAY AS mark FROM b a LEFT JOIN b ON b.file < a.file GROUP BY a.file)",
+        "w AS (SELECT a.file, max(b.latest) - INTERVAL 10 DAY AS mark FROM b a LEFT JOIN b ON b.file < a.file - 1 GROUP BY a.file)",
         f"""x AS (SELECT symbol, CAST(ts AS DATE) AS date, avg(value) AS avg_sentiment, count(*) AS news_count
         FROM f JOIN w USING (file) WHERE mark IS NULL OR CAST(ts AS DATE) + INTERVAL 1 DAY > mark GROUP BY 1, 2)""",
         select=f"SELECT {rounded(SD)} FROM x",
@@ -553,10 +553,10 @@ add(
         "r AS (SELECT DISTINCT 'http://x/' || d % 27 AS url, d, file FROM f)",
         "b AS (SELECT file, max(d) AS latest FROM r GROUP BY file)",
         "w AS (SELECT a.file, coalesce(max(b.latest) - 10, -1000) AS mark FROM b a LEFT JOIN b ON b.file < a.file GROUP BY a.file)",
-        "k AS (SELECT r.*, mark FROM r JOIN w USING (file) WHERE d > mark)",
+        "k AS (SELECT r.* FROM r LEFT JOIN w ON w.file = r.file - 1 WHERE d > coalesce(mark, -1000))",
         "o AS (SELECT k.*, first_value(d) OVER (PARTITION BY url ORDER BY file) AS known, row_number() OVER (PARTITION BY url ORDER BY file) AS n FROM k)",
         "y AS (SELECT o.*, w.mark AS before FROM o LEFT JOIN w ON w.file = o.file - 1)",
-        select="SELECT url, DATE '2024-01-01' + d AS date FROM y WHERE n = 1 OR known + 10 < before",
+        select="SELECT url, DATE '2024-01-01' + CAST(d AS INTEGER) AS date FROM y WHERE n = 1 OR known + 10 < before",
     ),
 )
 
