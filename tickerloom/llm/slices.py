@@ -80,9 +80,9 @@ def _placed(path: list[str], id_col: str):
     def placed(item: tuple) -> Iterator[tuple]:
         part, number, rows = item
         texts = list(map(text_of(path), rows))
-        size, mark = sum(map(len, texts)), mark_of(texts)
+        mark = mark_of(texts)
         for k, row in enumerate(rows):
-            yield part, number, size, mark, k, row[id_col]
+            yield part, number, mark, k, row[id_col]
 
     return placed
 
@@ -142,8 +142,8 @@ class Slices:
         return self.spark.createDataFrame(rows, schema, verifySchema=False)
 
     def places(self) -> DataFrame:
-        """(part, slice, size, mark, row, id) of every row."""
-        return self.table(self.rdd.flatMap(_placed(self.path, self.id_col)), "part int, slice int, size long, mark long, row int, id long")
+        """(part, slice, mark, row, id) of every row."""
+        return self.table(self.rdd.flatMap(_placed(self.path, self.id_col)), "part int, slice int, mark long, row int, id long")
 
     def numbered(self) -> DataFrame:
         """(number, text) of every row, see ``row_number``."""

@@ -137,14 +137,26 @@ class Keys:
         yield from zip(bucket[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)])
 
     def sent(self, keys: np.ndarray) -> bytes:
-        rest = (keys << np.uint64(self.bits)).astype(">u8").view(np.uint8).reshape(-1, 8)
-        return rest[:, : self.width].tobytes()
+        """The ordered keys of a bucket: their number, how many bytes a difference takes, and the differences; those that
+        take more follow with their places."""
+        rest = (keys << np.uint64(self.bits)) >> np.uint64(64 - 8 * self.width)
+        step = np.diff(rest, prepend=np.uint64(0))
+        usual = 4 * int(rest[-1]) // len(rest) if len(rest) else 0  # few are four times the mean
+        width = min(self.width, max(1, -(-usual.bit_length() // 8)))
+        most = np.uint64((1 << 8 * width) - 1)
+        large = np.flatnonzero(step >= most) if width < self.width else np.zeros(0, np.int64)
+        short = np.minimum(step, most) if width < self.width else step
+        low = short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        return np.array([len(rest), width], "<u4").tobytes() + low.tobytes() + large.astype("<u4").tobytes() + step[large].astype("<u8").tobytes()
 
     def received(self, blob: bytes) -> np.ndarray:
-        n = len(blob) // self.width
+        n, width = np.frombuffer(blob, "<u4", 2).tolist()
         wide = np.zeros((n, 8), np.uint8)
-        wide[:, : self.width] = np.frombuffer(blob, np.uint8).reshape(n, self.width)
-        return wide.view(">u8").ravel().astype(np.uint64)
+        wide[:, :width] = np.frombuffer(blob, np.uint8, n * width, 8).reshape(n, width)
+        step, at = wide.view("<u8").ravel().astype(np.uint64), 8 + n * width
+        large = (len(blob) - at) // 12
+        step[np.frombuffer(blob, "<u4", large, at)] = np.frombuffer(blob, "<u8", large, at + 4 * large)
+        return np.cumsum(step, dtype=np.uint64)
 
 
 _ASKED = "bucket int, part int, slice int, keys binary, counts array<binary>"
@@ -158,7 +170,7 @@ def _questions(keys: Keys, asked: np.ndarray, counts: list[np.ndarray], part: in
         some = True
         yield bucket, part, number, keys.sent(asked[a:z]), [packed_counts(c[a:z]) for c in counts]
     if not some:
-        yield 0, part, number, b"", [b""] * len(counts)
+        yield 0, part, number, keys.sent(asked), [b""] * len(counts)
 
 
 def _answers(keys: Keys, kinds: int, first: bool):
@@ -244,7 +256,7 @@ def _ask_words(keys: Keys, path: list[str]):
         own, answer, _ = _split(sides)
         pairs, kind = Pairs(checked(rows, path, own["mark"])), _kinds(own["marks"], len(rows))
         of, n = kind[pairs.text], len(pairs.word)
-        *_, new0, new1 = _joined_counts(answer, _sizes(keys, pairs.pair))
+        new0, new1 = _joined_counts(answer, _sizes(keys, pairs.pair))
         counts = [np.bincount(side[new > 0], minlength=n) for side in (pairs.right, pairs.left) for new in (new0, new1)]
         counts += [np.bincount(pairs.left[pairs.pair_of[of == k]], minlength=n) for k in (0, 1)]
         yield from _questions(keys, pairs.word, counts, own["part"], own["slice"])
@@ -315,7 +327,7 @@ def _describe(keys: Keys, path: list[str], totals: list[int]):
         texts = checked(rows, path, own["mark"])
         pairs = Pairs(texts)
         counts = _joined_counts(pair_answer, _sizes(keys, pairs.pair))
-        x = text_features(pairs, counts[:2], _joined_counts(word_answer, _sizes(keys, pairs.word)), totals, len(texts))
+        x = text_features(pairs, counts, _joined_counts(word_answer, _sizes(keys, pairs.word)), totals, len(texts))
         letter = has_letter(texts)
         fit = [(*x[r].tolist(), float(toxic)) for r, toxic, fitted in own["marks"] if fitted and letter[r]]
         return own["part"], own["slice"], own["mark"], np.column_stack([x, letter]).astype("<f8").tobytes(), np.array(fit, "<f8").tobytes()
@@ -386,23 +398,24 @@ def with_toxicity(docs: DataFrame, counted: DataFrame, fitted: DataFrame, kept:
     # Of the rows to fit on, one for each id: so they are no more than the labels.
     once = marks[1].groupBy("id").agg(F.min(F.struct("part", "slice", "m")).alias("x")).select("x.part", "x.slice", "x.m")
     marks = marks[0].drop("id").union(once).groupBy("part", "slice").agg(F.collect_list("m").alias("marks"))  # a slice's rows
-    marked = places.groupBy("part", "slice").agg(F.max("size").alias("size"), F.max("mark").alias("mark")).join(marks, ["part", "slice"], "left")
+    marked = places.groupBy("part", "slice").agg(F.max("mark").alias("mark")).join(marks, ["part", "slice"], "left")
     marked = stored(marked.withColumn("marks", F.coalesce("marks", F.array().cast(marks.schema["marks"].dataType))), folder, "marks")
-    keys = Keys(marked.agg(F.sum("size")).first()[0] or 0)
+    keys = Keys(docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0)
     sides = marked.select("part", "slice", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), "mark", "marks")
 
     def answered(asked: RDD, kinds: int, first: bool, name: str) -> DataFrame:
         table = slices.table(asked, _ASKED)
         return stored(table.groupBy("bucket").applyInArrow(_answers(keys, kinds, first), _ANSWER), folder, name)
 
-    def with_answers(sides: DataFrame, table: DataFrame, kind: int) -> DataFrame:
-        return sides.unionByName(table.where("part >= 0").select("part", "slice", F.lit(kind).alias("kind"), "bucket", "counts"), allowMissingColumns=True)
+    def with_answers(sides: DataFrame, table: DataFrame, kind: int, first: int, n: int) -> DataFrame:
+        counts = F.slice("counts", first, n).alias("counts")
+        return sides.unionByName(table.where("part >= 0").select("part", "slice", F.lit(kind).alias("kind"), "bucket", counts), allowMissingColumns=True)
 
     order = ["kind", "bucket"]
     pairs = answered(slices.beside(sides, order).flatMap(_ask_pairs(keys, path)), 2, True, "pairs")
-    sides = with_answers(sides, pairs, 1)
-    known = answered(slices.beside(sides, order).flatMap(_ask_words(keys, path)), 6, False, "words")
-    sides = with_answers(sides, known, 2)
+    new = with_answers(sides, pairs, 1, 3, 2)
+    known = answered(slices.beside(new, order).flatMap(_ask_words(keys, path)), 6, False, "words")
+    sides = with_answers(with_answers(sides, pairs, 1, 1, 2), known, 2, 1, 6)
     sums = [F.coalesce(F.sum(F.col("totals")[i]), F.lit(0)).alias(f"t{i}") for i in (0, 1, 6, 7, 12)]
     totals = list(known.where("part < 0").agg(*sums).first())
     described = slices.beside(sides, order).map(_describe(keys, path, totals))
