@@ -15,6 +15,7 @@ from tickerloom.functions import numeric, scores
 from tickerloom.operators import evaluation, explore, indicators, ledger, models, sentiment, upsert
 from tickerloom.plans import features, news, trading
 from tickerloom.session import use_checkpoint_dir
+from tickerloom.sources import tables
 from tickerloom.streaming import news as stream
 
 QUERIES, ORACLES = {}, {}
@@ -366,6 +367,54 @@ add(
 )
 
 
+# -- the same fits on bars, where SQL can count what they are made of ------------------------------
+
+BAR_GROUPS = {"price": ["open", "close"], "range": ["high", "low"], "size": ["volume"], "absent": ["no such"]}
+BAR_COMBINATIONS = {"all": ["price", "range", "size"], "price": ["price"], "size+absent": ["size", "absent"], "none": ["absent"]}
+add(
+    "ablation_sizes",
+    lambda s, p: models.run_ablation(
+        indicators.add_target(d.bars(s, p)), BAR_GROUPS, BAR_COMBINATIONS, folder(s, "ablation")
+    ).select("combination", "n_features", "train_rows", "val_rows"),
+    with_(
+        BARS, LAB,
+        "n AS (SELECT count(*) AS n FROM lab GROUP BY symbol, target)",
+        "t AS (SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(round(n * 0.1::DOUBLE)) AS BIGINT) AS v FROM n)",
+        """c(combination, n_features) AS (VALUES ('all', 5), ('price', 2), ('size+absent', 1))""",
+        select="SELECT combination, n_features, n - v AS train_rows, v AS val_rows FROM c, t",
+    ),
+)
+add(
+    "trained_sizes",
+    lambda s, p: models.train_models(indicators.add_target(d.bars(s, p)), BAR_GROUPS["price"] + BAR_GROUPS["range"] + BAR_GROUPS["size"], F.lit(DAY))
+    .select("symbol", "rows", F.size("weights").alias("columns"), F.col("val_auc").between(0, 1).alias("sound")),
+    with_(BARS, select='SELECT symbol, count(*) AS "rows", 5 AS "columns", true AS sound FROM bars GROUP BY symbol'),
+)
+add(
+    "model_gate",
+    lambda s, p: s.range(1).select(F.lit(models.require_models(given_models(s, p), 5)).cast("bigint").alias("models")),
+    "SELECT count(*) AS models FROM supplier",
+)
+
+
+def created_tables(s, p):
+    """The stored tables, made twice; the companies are written into theirs and read back."""
+    name = f"news_{uuid.uuid4().hex}"
+    s.sql(f"CREATE DATABASE {name} LOCATION '{folder(s, 'tables')}'")
+    for _ in range(2):
+        tables.create_tables(s, name)
+    rows = d.company(s, p).select("company_id", "code", "name", F.lit(None).cast("string"), c("s_nationkey").cast("int"))
+    rows.write.insertInto(f"{name}.company")
+    return s.table(f"{name}.company").select("company_id", "code", "name", "sector", "sector_id")
+
+
+add(
+    "created_tables",
+    created_tables,
+    with_(COMPANY, select="SELECT company_id, code, name, CAST(NULL AS VARCHAR) AS sector, CAST(s_nationkey AS INTEGER) AS sector_id FROM company"),
+)
+
+
 def training_run(s, p):
     """Status of every symbol after a training whose histories are partly too short."""
     day = dt.date(2001, 6, 29)

@@ -127,6 +127,20 @@ def test_page_columns(spark):
     ]
 
 
+def test_links_inside_the_grid(spark):
+    """Nested divs, quotes, entities, scripts and comments, a grid that does not end, and no page."""
+    pages = [
+        "<div class='grid-a'><div><A HREF=\"/news/1\">x</A></div><div class=grid-b><a href=/news/2>y</a></div></div><a href='/news/3'>z</a>",
+        '<div class="grid-a"></div><a href="/news/1">x</a>',
+        '<!-- <div class="grid-a"> --><script>"<a href=\'/news/9\'>"</script><a class="b" href="/news/?a=1&amp;b=2">x</a><a>none</a>',
+        '<div class="x grid-a"><a href="/news/1">x</a></div><div class="grid-a"><a href="/news/4">x</a>',
+        "", None,
+    ]
+    assert values(spark, html.links(c("x"), "s"), *pages) == [["s/news/1", "s/news/2"], [], ["s/news/?a=1&b=2"], ["s/news/4"], [], []]
+    plan = spark.createDataFrame([("",)], "x string").select(html.links(c("x"), "s"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def plain_jaro_winkler(a, b):
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
     used, seq_a = [False] * len(b), []

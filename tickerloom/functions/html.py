@@ -1,4 +1,4 @@
-"""Fields and links of news pages (Arrow UDF around the standard HTML parser)."""
+"""Fields of news pages (Arrow UDF around the standard HTML parser) and their links (column expressions)."""
 
 from __future__ import annotations
 
@@ -19,16 +19,15 @@ ARTICLE = "struct<title: string, body: string, published: string>"
 
 
 class _Page(HTMLParser):
-    """Collects the text of the first matching divs, some attributes and the links."""
+    """Collects the text of the first matching divs and some attributes."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.regions = {"title": TITLE_CLASS, "body": BODY_CLASS, "grid": GRID_CLASS}
+        self.regions = {"title": TITLE_CLASS, "body": BODY_CLASS}
         self.depth: dict[str, int] = {}
         self.texts: dict[str, list[str]] = {}
         self.meta: dict[str, str] = {}
         self.times: dict[str, str | None] = {}
-        self.links: list[tuple[str, bool]] = []
         self.raw = None
         self.json_ld: str | None = None
 
@@ -47,8 +46,6 @@ class _Page(HTMLParser):
             self.times.setdefault("time", attr.get("datetime"))
         elif tag == "relative-time":
             self.times.setdefault("relative", attr.get("event-time"))
-        elif tag == "a" and attr.get("href"):
-            self.links.append((attr["href"], self.depth.get("grid", 0) > 0))
         elif tag in ("script", "style"):
             self.raw = "json" if attr.get("type") == "application/ld+json" else "skip"
 
@@ -106,17 +103,52 @@ def article_text(fields: Column) -> Column:
     return F.concat(fields["title"], F.lit("\n"), fields["body"])
 
 
+_TAGS = r"(?is)<div\b[^>]*>|</div\s*>|<a\b[^>]*>"
+_SKIPPED = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute, in either quotes or none; empty if the tag has none."""
+    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
+
+
+def _unescaped(value: Column) -> Column:
+    for name, char in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        value = F.replace(value, F.lit(name), F.lit(char))
+    return value
+
+
 def links(html: Column, base: str, prefix: str = "/news/") -> Column:
-    """F-12: absolute links of the link grid, or of the whole page if it has no grid."""
-
-    @F.pandas_udf("array<string>")
-    def hrefs(pages: pd.Series) -> pd.Series:
-        found = []
-        for p in pages:
-            page = parse(p)
-            grid = "grid" in page.texts
-            found.append([h for h, inside in page.links if inside or not grid])
-        return pd.Series(found)
-
-    wanted = F.filter(hrefs(html), lambda h: h.startswith(prefix) & (h != prefix))
+    """F-12: absolute links of the link grid, or of the whole page if it has no grid.
+
+    The grid is the first div with its class, up to the end tag that closes it; scripts, styles and comments are skipped.
+    """
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), _SKIPPED, " ")
+    tags = F.regexp_extract_all(text, F.lit(_TAGS), F.lit(0))
+    # 1 for a div that can be the grid, 2 for another div, 3 for an end tag, 4 for a link.
+    marked = F.transform(
+        tags,
+        lambda t: F.struct(
+            F.when(t.rlike("^</"), 3).when(t.rlike("(?i)^<a"), 4)
+            .when(_attribute(t, "class").rlike(GRID_CLASS), 1).otherwise(2).alias("kind"),
+            F.when(t.rlike("(?i)^<a"), _unescaped(_attribute(t, "href"))).alias("href"),
+        ),
+    )
+    empty = F.array().cast("array<string>")
+    start = F.struct(F.lit(False).alias("found"), F.lit(0).alias("depth"), empty.alias("inside"), empty.alias("every"))
+
+    def step(acc, t):
+        opens = (~acc["found"] & (t["kind"] == 1)) | ((acc["depth"] > 0) & t["kind"].isin(1, 2))
+        closes = (acc["depth"] > 0) & (t["kind"] == 3)
+        link = t["kind"] == 4
+        return F.struct(
+            (acc["found"] | (t["kind"] == 1)).alias("found"),
+            (acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
+            F.when(link & (acc["depth"] > 0), F.array_append(acc["inside"], t["href"])).otherwise(acc["inside"]).alias("inside"),
+            F.when(link, F.array_append(acc["every"], t["href"])).otherwise(acc["every"]).alias("every"),
+        )
+
+    hrefs = F.aggregate(marked, start, step, lambda acc: F.when(acc["found"], acc["inside"]).otherwise(acc["every"]))
+    wanted = F.filter(hrefs, lambda h: h.startswith(prefix) & (h != prefix))
     return F.transform(F.array_distinct(wanted), lambda h: F.concat(F.lit(base), h))
