@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import connected_components
-from .storage import shared_folder, shuffle_partitions, stored
+from .storage import give_back, shared_folder, shuffle_partitions, stored
 
 #: A shingle in so many sets is common; more frequent ones are ordered by hash alone.
 MANY = 64
@@ -146,6 +146,8 @@ def _deal(bits: int, size: int):
                     yield dealer.flush()
         if dealer.rows:
             yield dealer.flush()
+        del dealer
+        give_back()
 
     return deal
 

@@ -15,6 +15,8 @@ from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import give_back
+
 #: Characters of text of a slice, and rows of one; a longer text makes a slice of its own.
 SLICE, SLICE_ROWS = 2 << 20, 10_000
 #: Bits of a row's number for the slice and for the row in it.
@@ -45,6 +47,8 @@ def _sliced(path: list[str]):
                 held, size, number = [], 0, number + 1
         if held:
             yield part, number, held
+        held = []
+        give_back()
 
     return sliced
 

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from . import words
 from .characters import has_letter
 from .slices import Slices, checked
-from .storage import shared_folder, stored
+from .storage import give_back, shared_folder, stored
 
 DISCOUNT = 0.75
 #: Words of the runs that are judged besides the whole text.
@@ -231,6 +231,7 @@ def _ask_pairs(keys: Keys, path: list[str]):
         own, _, _ = _split(sides)
         pairs, kind = Pairs(checked(rows, path, own["mark"])), _kinds(own["marks"], len(rows))
         of = kind[pairs.text]
+        give_back()
         yield from _questions(keys, pairs.pair, [np.bincount(pairs.pair_of[of == k], minlength=len(pairs.pair)) for k in (0, 1)], own["part"], own["slice"])
 
     return ask
@@ -259,6 +260,7 @@ def _ask_words(keys: Keys, path: list[str]):
         new0, new1 = _joined_counts(answer, _sizes(keys, pairs.pair))
         counts = [np.bincount(side[new > 0], minlength=n) for side in (pairs.right, pairs.left) for new in (new0, new1)]
         counts += [np.bincount(pairs.left[pairs.pair_of[of == k]], minlength=n) for k in (0, 1)]
+        give_back()
         yield from _questions(keys, pairs.word, counts, own["part"], own["slice"])
 
     return ask
@@ -330,13 +332,15 @@ def _describe(keys: Keys, path: list[str], totals: list[int]):
         x = text_features(pairs, counts, _joined_counts(word_answer, _sizes(keys, pairs.word)), totals, len(texts))
         letter = has_letter(texts)
         fit = [(*x[r].tolist(), float(toxic)) for r, toxic, fitted in own["marks"] if fitted and letter[r]]
+        give_back()
         return own["part"], own["slice"], own["mark"], np.column_stack([x, letter]).astype("<f8").tobytes(), np.array(fit, "<f8").tobytes()
 
     return describe
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps, held to zero by one row's weight; the features are scaled by their spread.
+    """Logistic regression by Newton steps, held to zero by one row's weight; the features are scaled by their spread. A
+    step that does not lower the loss is halved.
 
     Products are sums over columns: this runs on the driver, where the threads of linear algebra may wait for ever.
     """
@@ -347,11 +351,21 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     d = z.shape[1]
     w, hold = np.zeros(d), np.full(d, 1.0)
     hold[-1] = 1e-6
-    for _ in range(50):
+
+    def loss(w: np.ndarray) -> float:
+        margin = np.einsum("ij,j->i", z, w)
+        return float((np.logaddexp(0, margin) - y * margin).sum() + (hold * w * w).sum() / 2)
+
+    now = loss(w)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(np.einsum("ij,j->i", z, w), -30, 30)))
         curve = z * (p * (1 - p))[:, None]
         step = solved(np.einsum("ij,ik->jk", curve, z) + np.diag(hold + 1e-9), np.einsum("ij,i->j", z, y - p) - hold * w)
-        w += step
+        while (new := loss(w + step)) > now and np.abs(step).max() > 1e-10:
+            step = step / 2
+        if not new <= now:
+            break
+        w, now = w + step, new
         if np.abs(step).max() < 1e-8:
             break
     return np.append(w[:-1] / spread, w[-1] - (w[:-1] * centre / spread).sum())
