@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .storage import give_back
 
 #: Characters of text of a slice, and rows of one; a longer text makes a slice of its own.
-SLICE, SLICE_ROWS = 2 << 20, 10_000
+SLICE, SLICE_ROWS = 3 << 19, 10_000
 #: Bits of a row's number for the slice and for the row in it.
 SLICE_BITS, ROW_BITS = 20, 20
 

@@ -44,6 +44,8 @@ FEATURES = ["whole", "run", "word_rare", "word_known", "word_frequent", "pair_ra
 FIT_ROWS = 20_000
 #: Bytes of text for each bucket of keys, and bounds of the number of buckets as powers of two.
 BUCKET_BYTES, BUCKET_BITS = 2 << 20, (6, 16)
+#: Bytes of text whose words are found at a time.
+PIECE = 1 << 17
 #: What comes before the first word of a text.
 START = np.uint64(0x5BD1E995A7C1F3B1)
 
@@ -83,23 +85,32 @@ class Pairs:
     def __init__(self, texts: list[str]):
         tokens, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
         texts = pa.array(texts, pa.large_string())
-        for a, z in words.text_slices(texts, 1 << 19):
+        for a, z in words.text_slices(texts, PIECE):
             data, offsets = words.text_bytes(pc.utf8_lower(texts.slice(a, z - a)))
             starts, ends, text = _tokens(data, offsets)
             tokens.append(words.word_hashes(data, starts, ends, lower=False))
             owners.append((text + a).astype(np.int32))
         tokens, self.text = np.concatenate(tokens), np.concatenate(owners)
+        del texts, owners
         new = np.ones(len(tokens), bool)
         new[1:] = self.text[1:] != self.text[:-1]
-        before = np.append(START, tokens[:-1])[: len(tokens)]
-        before[new] = START
-        self.word, word_of = np.unique(np.append(tokens, START), return_inverse=True)
-        start, word_of = word_of[-1], word_of[:-1]
-        context = np.append(start, word_of[:-1])[: len(tokens)]
+        self.word = np.unique(np.append(tokens, START))
+        start = np.searchsorted(self.word, START)
+        word_of = np.searchsorted(self.word, tokens).astype(np.int32)
+        context = np.append(np.int32(start), word_of[:-1])[: len(tokens)].astype(np.int32)
         context[new] = start
-        self.pair, first, self.pair_of = np.unique(words.mix(before * np.uint64(3) + tokens), return_index=True, return_inverse=True)
-        self.left, self.right = context[first], word_of[first]
-        self.pair_of = self.pair_of.astype(np.int32)
+        # A pair's key follows from its words' keys, so distinct pairs of places give distinct keys.
+        keys = words.mix(self.word[context] * np.uint64(3) + tokens)
+        del tokens, new
+        order = np.argsort(keys, kind="stable").astype(np.int32)
+        keys = keys[order]
+        first = np.ones(len(keys), bool)
+        first[1:] = keys[1:] != keys[:-1]
+        self.pair = keys[first]
+        del keys
+        self.left, self.right = context[order[first]], word_of[order[first]]
+        self.pair_of = np.empty(len(order), np.int32)
+        self.pair_of[order] = np.cumsum(first, dtype=np.int32) - 1
 
 
 def packed_counts(counts: np.ndarray) -> bytes:
