@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickerloom.operators import evaluation, explore, macro, matching, models, upsert
+from tickerloom.operators import evaluation, explore, logistic, macro, matching, models, upsert
 from tickerloom.plans import features, trading
 from tickerloom.sources import bars as src
 from tickerloom.streaming import news as stream
@@ -51,7 +51,7 @@ def test_auc(spark):
     assert got == {g: pytest.approx(brute([r for r in rows if r[0] == g])) for g in {r[0] for r in rows}}
     assert evaluation.roc_auc(df, "y", "s").first().auc == pytest.approx(brute(rows))
     y, s = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-    assert models._auc(y, s) == pytest.approx(brute(rows))
+    assert logistic.auc(y, s) == pytest.approx(brute(rows))
 
 
 def test_report_against_counts(spark):
