@@ -178,3 +178,11 @@ def test_rows_are_judged_each_by_its_own_text(spark):
     assert len(rows) == 304
     got = {r["_row"]["text"]: r["predicted"] for r in rows}
     assert [got[t] for _, t in extra] == [0, 1, 1, 0]
+
+
+def test_a_pair_that_met_another_key_leaves_all_ratios_finite():
+    """Its first word has tokens but no pair of its own; other words after it are not impossible."""
+    one = np.array([1])
+    pairs, left, right = (0 * one, 0 * one), (0 * one, 0 * one, one, one), (one, one)
+    both, alone = toxicity.pair_ratios(pairs, left, right, [10, 10, 5, 5, 8])
+    assert np.isfinite(both).all() and np.isfinite(alone).all()

@@ -291,7 +291,8 @@ def pair_ratios(pairs: tuple, left: tuple, right: tuple, totals: list[int]) -> t
     words_, whole = [], []
     for c, (k, kinds) in enumerate(((k0, u0), (k1, u1))):
         one = (np.maximum(right[c] - DISCOUNT, 0) + DISCOUNT * kinds * shared) / k if k else shared
-        distinct, tokens = left[c], left[c + 2]
+        # A word that begins tokens begins a pair, also if that one's key met another's and was not counted as new.
+        distinct, tokens = np.maximum(left[c], left[c + 2] > 0), left[c + 2]
         seen = np.maximum(tokens, 1)
         words_.append(one)
         whole.append(np.where(tokens > 0, (np.maximum(pairs[c] - DISCOUNT, 0) + DISCOUNT * distinct * one) / seen, one))
