@@ -182,3 +182,8 @@ def test_macro_replies(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(
         [(dt.date(2020, 1, 31), 1.5), (None, 2.0), (dt.date(2020, 3, 1), None)], key=str
     )
+
+
+def test_percent_rounds_halves_to_even_and_keeps_nulls(spark):
+    got = values(spark, text.percent(c("x")), 0.03125, 0.09375, 0.1234, 12.5, 0.0, None, schema="x double")
+    assert got == ["%3.12", "%9.38", "%12.34", "%1250.00", "%0.00", None]
