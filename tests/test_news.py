@@ -316,3 +316,28 @@ def test_weekend_news_is_not_on_bars(spark, make_bars):
     )
     got = sentiment.add_sentiment(bars, daily).orderBy("date").collect()
     assert [(r.avg_sentiment, r.news_count, r.sentiment_7d) for r in got] == [(0.4, 2, 0.0), (0.0, 0, 0.0)]
+
+
+def test_fuzzy_matching_shuffles_no_word_runs(spark, tmp_path):
+    """What is shuffled is an article once, the names once a group, and matches; it grew with all runs of all words."""
+    texts, listed = random_case(6)
+    spark.createDataFrame(texts, "news_id long, content string").write.parquet(str(tmp_path / "a"))
+    articles = spark.read.parquet(str(tmp_path / "a"))
+    plan = matching.fuzzy_matches(articles, spark.createDataFrame(listed, "code string, name string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(sequence" in plan and "shingle" not in plan and plan.count("Generate") == 1
+
+
+def test_fuzzy_matching_of_many_groups_and_odd_rows(spark, monkeypatch):
+    """Repeated ids, null and empty texts, names that clean to the same, no name, no article."""
+    monkeypatch.setattr(matching, "GROUP", 3)
+    texts, listed = random_case(8)
+    listed = [*listed, ("TWIN", "KOÇ HOLDİNG A.Ş."), ("TWIN2", "KOÇ HOLDİNG")]
+    rows = [*texts, (200, None), (201, ""), (202, "KOÇ  HOLDİNGX"), (202, "a KOÇ HOLDİNG b")]
+    articles = spark.createDataFrame(rows, "news_id long, content string")
+    listing = spark.createDataFrame(listed, "code string, name string")
+    got = {(r.news_id, r.code): r.score for r in matching.fuzzy_matches(articles, listing).collect()}
+    assert got[202, "TWIN"] == got[202, "TWIN2"] == 1.0 and not {200, 201} & {i for i, _ in got}
+    exact = matching.exact_matches(articles.filter("news_id < 200"), listing)
+    some = matching.fuzzy_matches(articles.filter("news_id < 200"), listing, exclude=exact).collect()
+    assert {(r.news_id, r.code, r.score) for r in some} == {(i, k, s) for i, k, kind, s in brute_matches(texts, listed) if kind == "fuzzy_name"}
+    assert matching.fuzzy_matches(articles.limit(0), listing).count() == matching.fuzzy_matches(articles, listing.limit(0)).count() == 0
