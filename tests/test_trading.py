@@ -244,3 +244,19 @@ def test_polynomial_model_has_cubic_terms(spark):
     rows += [(f"v{i}", None, float(x * y * z > 0), True, x, y, z) for i, (x, y, z) in enumerate(signs * 5)]
     table = spark.createDataFrame(rows, "symbol string, date date, target double, is_valid boolean, f0 double, f1 double, f2 double")
     assert min(models.fit_and_score(models.pooled_models(["a", "b", "c"])["poly_svm"], table)) > 0.99
+
+
+def test_quantiles_order_only_values_near_them(spark):
+    """From plain rows, with repeated, negative and zero values; the same as numpy's."""
+    import numpy as np
+
+    from tickerloom.operators import ranks
+
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(0, 100, 501), "b": np.repeat([-1.0, 0.0, 2.5], [3, 4, 6]), "c": np.array([7.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v], "g string, _x double")
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r[0]: r[1:] for r in ranks.quantiles(df, "g", shares).collect()}
+    assert got.keys() == groups.keys()
+    for k, v in groups.items():
+        assert np.allclose(got[k], np.quantile(v, shares), rtol=1e-12, atol=1e-12)
