@@ -341,3 +341,12 @@ def test_fuzzy_matching_of_many_groups_and_odd_rows(spark, monkeypatch):
     some = matching.fuzzy_matches(articles.filter("news_id < 200"), listing, exclude=exact).collect()
     assert {(r.news_id, r.code, r.score) for r in some} == {(i, k, s) for i, k, kind, s in brute_matches(texts, listed) if kind == "fuzzy_name"}
     assert matching.fuzzy_matches(articles.limit(0), listing).count() == matching.fuzzy_matches(articles, listing.limit(0)).count() == 0
+
+
+def test_matches_are_not_sent_to_the_driver(spark, tmp_path):
+    """A million matches are files of some kilobytes, far below the limit for a broadcast."""
+    spark.range(1_000_000).select((F.col("id") % 5).alias("news_id"), F.lit("A").alias("code")).write.parquet(str(tmp_path / "m"))
+    spark.range(10).select(F.col("id").alias("news_id")).write.parquet(str(tmp_path / "a"))
+    articles, matches = (spark.read.parquet(str(tmp_path / n)) for n in "am")
+    kept = plan.with_matches(articles, matches)
+    assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString() and kept.count() == 5
