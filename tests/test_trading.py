@@ -260,3 +260,18 @@ def test_quantiles_order_only_values_near_them(spark):
     assert got.keys() == groups.keys()
     for k, v in groups.items():
         assert np.allclose(got[k], np.quantile(v, shares), rtol=1e-12, atol=1e-12)
+
+
+def test_correlations_read_the_rows_once(spark, tmp_path):
+    """The rows may be costly features; a constant and an offset leave the digits alone, a pair without rows stays."""
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=3000)
+    frame = pd.DataFrame({"a": a + 1e8, "b": a + rng.normal(size=3000), "k": 0.1})
+    frame.to_parquet(tmp_path / "f.parquet")
+    rows = spark.read.parquet(str(tmp_path / "f.parquet")).repartition(7).withColumn("e", F.lit(None).cast("double"))
+    out = explore.correlations(rows, ["a", "b", "k", "e"])
+    got = {(r.a, r.b): r.corr for r in out.collect()}
+    assert abs(got["a", "b"] - np.corrcoef(a, frame.b)[0, 1]) < 1e-7
+    assert len(got) == 6 and all(got[p] is None for p in got if p != ("a", "b"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert "scalar-subquery" not in out._jdf.queryExecution().optimizedPlan().toString()
