@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from tickerloom.llm import words
 from tickerloom.llm.components import connected_components
-from tickerloom.llm.ngram_join import ngram_components
+from tickerloom.llm.ngram_join import KEY, _pack, _unpack, ngram_components
 
 
 def tokens(text):
@@ -75,6 +75,17 @@ def test_buckets_do_not_matter(make_docs):
     assert got(make_docs(texts), buckets=3) == got(make_docs(texts), buckets=64) == brute(texts)
 
 
+def test_a_set_in_a_bucket_takes_nine_bytes():
+    """With many buckets most sets have one item in one, so what goes with each set is most of what is shuffled."""
+    owner, key = np.repeat(np.array([3, 5, 2**63 + 1], np.uint64), [1, 700, 255]), np.arange(956, dtype=np.uint64) << np.uint64(30)
+    seen = (np.arange(956) % 64).astype(np.uint8)
+    blob = _pack(owner, key, seen)
+    assert len(blob) == 16 + (1 + 3 + 1) * 9 + 956 * (KEY + 1)
+    assert all((a == b).all() for a, b in zip(_unpack(blob, np.uint8), (owner, key, seen)))
+    empty = _pack(owner[:0], key[:0])
+    assert [len(x) for x in _unpack(empty)[:2]] == [0, 0]
+
+
 def test_given_documents(sample):
     rows = {r["doc_id"]: r["text"] for r in sample("documents").collect()}
     ids = sorted(rows)

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,10 @@ MANY = 64
 HELD = 1_000_000
 #: Bytes of a shingle's hash that are sent, after the bits that name its bucket.
 KEY = 6
-#: Bytes of text for each bucket of shingles: some 10 MB of packed shingles.
-BUCKET_BYTES = 4 << 20
+#: Bytes of text for each bucket of shingles: some 25 MB of packed shingles. A bucket is counted in 2 ** FINER pieces, and
+#: so many times finer are the buckets of sets.
+BUCKET_BYTES = 16 << 20
+FINER = 2
 #: Parts that the suffix filter cuts a set into.
 PARTS = 8
 #: While more pairs than this would meet on a shingle on average, sets are first compared with one more central set.
@@ -38,25 +41,28 @@ PAIRS_A_TOKEN = 16
 CENTRES = 3
 
 
-def _pack(owner: np.ndarray, size: np.ndarray, key: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Items sorted by their set, as bytes: how many sets and items, each set's name, size and number of items, then the
-    items' keys and further columns."""
+def _pack(owner: np.ndarray, key: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Items sorted by their set, as bytes: how many runs and items, each run's set and number of items, then the items'
+    keys and further columns. A set with more than 255 items has several runs, so a number takes one byte."""
     first, n = _runs(owner)
+    more = -(-n // 255)
+    at = words.ragged(more)
+    first, n = np.repeat(first, more) + 255 * at, np.minimum(np.repeat(n, more) - 255 * at, 255)
     head = np.array([len(first), len(key)], np.int64).tobytes()
     low = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY]
-    parts = [owner[first].tobytes(), size[first].astype("<u4").tobytes(), n.astype("<u4").tobytes(), low.tobytes()]
+    parts = [owner[first].tobytes(), n.astype(np.uint8).tobytes(), low.tobytes()]
     return head + b"".join(parts) + b"".join(c.tobytes() for c in columns)
 
 
 def _unpack(blob: bytes, extra: type | None = None):
-    """Owner, size of the owner, key and, if asked, one more column of each item."""
+    """Owner, key and, if asked, one more column of each item."""
     m, n = np.frombuffer(blob, np.int64, 2)
-    owners, sizes, counts = np.frombuffer(blob, np.uint64, m, 16), np.frombuffer(blob, "<u4", m, 16 + 8 * m), np.frombuffer(blob, "<u4", m, 16 + 12 * m)
-    at = 16 + 16 * m
+    owners, counts = np.frombuffer(blob, np.uint64, m, 16), np.frombuffer(blob, np.uint8, m, 16 + 8 * m)
+    at = 16 + 9 * m
     wide = np.zeros((n, 8), np.uint8)
     wide[:, :KEY] = np.frombuffer(blob, np.uint8, n * KEY, at).reshape(-1, KEY)
     rest = np.frombuffer(blob, extra, n, at + n * KEY) if extra else None
-    return np.repeat(owners, counts), np.repeat(sizes, counts), wide.view("<u8").ravel().astype(np.uint64), rest
+    return np.repeat(owners, counts), wide.view("<u8").ravel().astype(np.uint64), rest
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,17 +77,19 @@ def _split(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return x >> (np.uint64(64) - bits), (x << bits) >> np.uint64(64 - 8 * KEY)
 
 
-_DEALT = pa.schema([("bucket", pa.int32()), ("items", pa.binary()), ("common", pa.binary()), ("rows", pa.binary())])
+_DEALT = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), *[(n, pa.binary()) for n in ("items", "common", "sizes", "rows")]])
 _ROW = np.dtype([("id", "<i8"), ("known", "?"), ("set", "<u8"), ("n", "<i4")])
-_COMMON = np.dtype([("set", "<u8"), ("n", "<u4"), ("key", "<u8")])
+_COMMON = np.dtype([("set", "<u8"), ("key", "<u8")])
+_SIZE = np.dtype([("set", "<u8"), ("n", "<u4")])
 
 
 class _Dealer:
-    """Packs the texts of one task: one output row a bucket for every ``HELD`` shingles.
+    """Packs the texts of one task: one output row a bucket of shingles and one a bucket of sets for every ``HELD`` shingles.
 
     A shingle that ``MANY`` sets of a task hold is common whatever the other tasks have. Its first sets still go to its
     bucket, so that the bucket knows; all others go straight to the buckets of their sets. So no bucket gets more than a
-    few items of a shingle from a task, however many texts hold it. Rows go to the buckets in turn.
+    few items of a shingle from a task, however many texts hold it. A set's size goes to its bucket once, not with its
+    items. Rows go to the buckets in turn.
     """
 
     def __init__(self, bits: int, size: int):
@@ -90,7 +98,7 @@ class _Dealer:
         self.clear()
 
     def clear(self) -> None:
-        self.sets, self.sizes, self.keys, self.rows, self.held = [], [], [], [], 0
+        self.sets, self.keys, self.rows, self.held = [], [], [], 0
 
     def add(self, ids: pa.Array, texts: pa.Array) -> None:
         key, at = words.shingle_sets(texts, self.size)
@@ -101,38 +109,46 @@ class _Dealer:
         row["known"] = ~np.asarray(ids.is_null().to_numpy(zero_copy_only=False))
         row["id"] = ids.fill_null(0).to_numpy(zero_copy_only=False)
         row["set"], row["n"] = name, n
-        self.sets.append(np.repeat(name, n)), self.sizes.append(np.repeat(n.astype(np.uint32), n)), self.keys.append(key), self.rows.append(row)
+        self.sets.append(np.repeat(name, n)), self.keys.append(key), self.rows.append(row)
         self.held += len(key) + len(n)
 
     def flush(self) -> pa.RecordBatch:
-        owner, size, key, rows = (np.concatenate(x) for x in (self.sets, self.sizes, self.keys, self.rows))
+        owner, key, rows = (np.concatenate(x) for x in (self.sets, self.keys, self.rows))
         self.clear()
         order = np.lexsort((owner, key))
-        owner, size, key = owner[order], size[order], key[order]
+        owner, key = owner[order], key[order]
         fresh = np.ones(len(key), bool)
         fresh[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
-        owner, size, key = owner[fresh], size[fresh], key[fresh]
+        owner, key = owner[fresh], key[fresh]
         first, n = _runs(key)
         rank = np.arange(len(key)) - np.repeat(first, n)
         straight = np.isin(key, self.common) | (rank >= MANY)
         self.common = np.union1d(self.common, key[first][n >= MANY])
         common = np.zeros(int(straight.sum()), _COMMON)
-        common["set"], common["n"], common["key"] = owner[straight], size[straight], key[straight]
-        owner, size, key = owner[~straight], size[~straight], key[~straight]
+        common["set"], common["key"] = owner[straight], key[straight]
+        owner, key = owner[~straight], key[~straight]
         bucket, low = _split(key, self.bits)
         order = np.lexsort((low, owner, bucket))
-        owner, size, low, bucket = owner[order], size[order], low[order], bucket[order]
-        home = _split(common["set"], self.bits)[0]
+        owner, low, bucket = owner[order], low[order], bucket[order]
+        home = _split(common["set"], self.bits + FINER)[0]
         order = np.argsort(home, kind="stable")
         common, home = common[order], home[order]
-        turn = ((np.arange(len(rows)) + self.dealt) % (1 << self.bits)).astype(np.uint64)
+        name, at = np.unique(rows["set"], return_index=True)  # in order, so by their buckets too
+        sizes = np.zeros(len(name), _SIZE)
+        sizes["set"], sizes["n"] = name, rows["n"][at]
+        sizes = sizes[sizes["n"] > 0]
+        own = _split(sizes["set"], self.bits + FINER)[0]
+        turn = ((np.arange(len(rows)) + self.dealt) % (1 << self.bits + FINER)).astype(np.uint64)
         self.dealt += len(rows)
         order = np.argsort(turn, kind="stable")
         rows, turn = rows[order], turn[order]
         out = []
-        for b in np.unique(np.concatenate([bucket, home, turn])):
-            (lo, hi), (c, d), (e, f) = (np.searchsorted(x, [b, b + np.uint64(1)]) for x in (bucket, home, turn))
-            out.append((int(b), _pack(owner[lo:hi], size[lo:hi], low[lo:hi]), common[c:d].tobytes(), rows[e:f].tobytes()))
+        for b in np.unique(bucket):
+            lo, hi = np.searchsorted(bucket, [b, b + np.uint64(1)])
+            out.append((int(b), None, _pack(owner[lo:hi], low[lo:hi]), None, None, None))
+        for h in np.unique(np.concatenate([home, own, turn])):
+            parts = (x[slice(*np.searchsorted(at, [h, h + np.uint64(1)]))].tobytes() for x, at in ((common, home), (sizes, own), (rows, turn)))
+            out.append((int(h) >> FINER, int(h), None, *parts))
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _DEALT)], schema=_DEALT)
 
 
@@ -152,32 +168,46 @@ def _deal(bits: int, size: int):
     return deal
 
 
-_COUNTED = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("items", pa.binary()), ("common", pa.binary()), ("rows", pa.binary())])
+_FIELDS = "bucket int, home int, items binary, common binary, sizes binary, rows binary"
 
 
 def _count(bits: int):
     """One bucket of shingles: those in two sets or more, with that number (``MANY`` at most), packed for the buckets
-    of their sets; what is in the bucket for its own sets and rows goes on."""
+    of their sets; what is meant for these goes on. A bucket is counted in pieces, which bounds what is unpacked at once."""
+
+    def piece(blobs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        for blob in blobs:
+            owner, low, _ = _unpack(blob)
+            mine = low >> np.uint64(8 * KEY - FINER) == k
+            found.append((owner[mine], low[mine]))
+        owner, low = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((owner, low))
+        return owner[order], low[order]
 
     def count(table: pa.Table) -> pa.Table:
         b = table.column("bucket")[0].as_py()
-        owner, size, low = (np.concatenate(c) for c in list(zip(*(_unpack(x.as_py()) for x in table.column("items"))))[:3])
-        order = np.lexsort((owner, low))
-        owner, size, low = owner[order], size[order], low[order]
-        fresh = np.ones(len(low), bool)
-        fresh[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
-        owner, size, low = owner[fresh], size[fresh], low[fresh]
-        n = np.repeat(*[_runs(low)[1]] * 2)
-        shared = n > 1
-        owner, size, low, n = owner[shared], size[shared], low[shared], np.minimum(n[shared], MANY).astype("<u2")
-        home = _split(owner, bits)[0]
-        order = np.lexsort((owner, home))
-        owner, size, low, n, home = owner[order], size[order], low[order], n[order], home[order]
-        out = [(b, b, None, common, rows) for common, rows in zip(table.column("common").to_pylist(), table.column("rows").to_pylist())]
-        for h in np.unique(home):
-            lo, hi = np.searchsorted(home, [h, h + np.uint64(1)])
-            out.append((int(h), b, _pack(owner[lo:hi], size[lo:hi], low[lo:hi], n[lo:hi]), None, None))
-        return pa.table([pa.array(c, t.type) for c, t in zip(zip(*out), _COUNTED)], schema=_COUNTED)
+        meant = pc.is_valid(table.column("home"))
+        blobs = table.column("items").filter(pc.invert(meant)).to_pylist()
+        out = [table.filter(meant)]
+        for k in range(1 << FINER) if blobs else ():
+            owner, low = piece(blobs, k)
+            fresh = np.ones(len(low), bool)
+            fresh[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
+            owner, low = owner[fresh], low[fresh]
+            n = np.repeat(*[_runs(low)[1]] * 2)
+            shared = n > 1
+            owner, low, n = owner[shared], low[shared], np.minimum(n[shared], MANY).astype(np.uint8)
+            home = _split(owner, bits + FINER)[0]
+            order = np.lexsort((owner, home))
+            owner, low, n, home = owner[order], low[order], n[order], home[order]
+            found = []
+            for h in np.unique(home):
+                lo, hi = np.searchsorted(home, [h, h + np.uint64(1)])
+                found.append((b, int(h), _pack(owner[lo:hi], low[lo:hi], n[lo:hi]), None, None, None))
+            if found:
+                out.append(pa.table([pa.array(c, t.type) for c, t in zip(zip(*found), _DEALT)], schema=_DEALT))
+        return pa.concat_tables(t.select(_DEALT.names).cast(_DEALT) for t in out)
 
     return count
 
@@ -186,24 +216,26 @@ _SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set", pa.int64()), (
 
 
 def _gather(bits: int, percent: int):
-    """The rows of one bucket, and its sets whose prefix holds a shared shingle, with their shared shingles, rare first."""
+    """The rows of one bucket of sets, and its sets whose prefix holds a shared shingle, with their shared shingles, rare first."""
 
     def gather(table: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(x.as_py() or b"" for x in table.column("rows")), _ROW)
-        common = np.frombuffer(b"".join(x.as_py() or b"" for x in table.column("common")), _COMMON)
-        parts = [(common["set"], common["n"], common["key"] >> np.uint64(64 - bits - 8 * KEY), np.full(len(common), MANY, "<u2"))]
+        rows, common, sizes = (
+            np.frombuffer(b"".join(x.as_py() or b"" for x in table.column(c)), kind) for c, kind in (("rows", _ROW), ("common", _COMMON), ("sizes", _SIZE))
+        )
+        parts = [(common["set"], common["key"] >> np.uint64(64 - bits - 8 * KEY), np.full(len(common), MANY, np.uint8))]
         for x, b in zip(table.column("items"), table.column("bucket")):
             if x.as_py() is not None:
-                owner, size, low, n = _unpack(x.as_py(), np.dtype("<u2"))
-                parts.append((owner, size, low | np.uint64(b.as_py() << 8 * KEY), n))
-        owner, size, key, n = (np.concatenate(c) for c in zip(*parts))
+                owner, low, n = _unpack(x.as_py(), np.uint8)
+                parts.append((owner, low | np.uint64(b.as_py() << 8 * KEY), n))
+        owner, key, n = (np.concatenate(c) for c in zip(*parts))
         order = np.lexsort((key, n, owner))
-        owner, size, key = owner[order], size[order].astype(np.int64), key[order]
+        owner, key = owner[order], key[order]
         fresh = np.ones(len(key), bool)
         fresh[1:] = (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])
-        owner, size, key = owner[fresh], size[fresh], key[fresh]
+        owner, key = owner[fresh], key[fresh]
         first, count = _runs(owner)
-        size = size[first]
+        name, at = np.unique(sizes["set"], return_index=True)
+        size = sizes["n"][at].astype(np.int64)[np.searchsorted(name, owner[first])]
         able = np.flatnonzero(size - count < size + (-percent * size) // 100 + 1)  # n - ceil(percent n / 100) + 1
         shared = [key[first[k] : first[k] + count[k]].tobytes() for k in able]
         return pa.table(
@@ -268,8 +300,8 @@ def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
         buckets = max(shuffle_partitions(docs.sparkSession), total // BUCKET_BYTES)
     bits = max(1, (buckets - 1).bit_length())
-    dealt = rows.mapInArrow(_deal(bits, size), "bucket int, items binary, common binary, rows binary")
-    counted = dealt.groupBy("bucket").applyInArrow(_count(bits), "home int, bucket int, items binary, common binary, rows binary")
+    dealt = rows.mapInArrow(_deal(bits, size), _FIELDS)
+    counted = dealt.groupBy("bucket").applyInArrow(_count(bits), _FIELDS)
     return counted.groupBy("home").applyInArrow(_gather(bits, percent), "id long, n long, set long, shared binary")
 
 
