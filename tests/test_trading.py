@@ -54,6 +54,21 @@ def test_auc(spark):
     assert logistic.auc(y, s) == pytest.approx(brute(rows))
 
 
+def test_auc_orders_a_group_once_and_joins_nothing(spark):
+    """Groups keep no table of their distinct scores beside the order; ranges of scores are put together from their sums."""
+    rows = [("a", 1, 0.5), ("a", 0, 0.5), ("a", 1, -1.0), ("a", 0, None), ("a", None, 9.0), ("b", 0, 2.0), ("b", 1, 1e9), ("b", 0, -3.0), ("b", 1, 2.0)]
+    df = spark.createDataFrame(rows, "g string, y int, s double")
+    small, wide, whole = (evaluation.roc_auc(df, "y", "s", by, w) for by, w in ((["g"], False), (["g"], True), (None, False)))
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (small, wide, whole)]
+    assert not any("Join" in x for x in plans) and "keys=[g" in plans[0] and ", _s#" not in plans[0].split("HashAggregate(keys")[-1].split("]")[0]
+    assert all(line.count("_s#") == 0 for line in plans[0].splitlines() if "HashAggregate" in line)
+    assert {tuple(r) for r in small.collect()} == {("a", 2, 2, 0.625), ("b", 2, 2, 0.875)}
+    assert {tuple(r) for r in wide.collect()} == {("a", 2, 1, 0.25), ("b", 2, 2, 0.875)}  # rows without a score are left out
+    # 12 pairs of 4 with 3: -1 wins over -3; each 0.5 over -3 with a tie; 2 over -3, 0.5 with a tie; 1e9 over all.
+    assert tuple(whole.first()) == (4, 3, (1 + 1.5 + 2.5 + 3) / 12)
+
+
+
 def test_report_against_counts(spark):
     df = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 1), (1, 0), (2, 0)], "y int, p int")
     rep = {r.label: (r.precision, r.recall, r.support) for r in evaluation.class_report(df, "y", "p").collect()}
