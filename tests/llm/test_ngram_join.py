@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from tickerloom.llm import words
 from tickerloom.llm.components import connected_components
-from tickerloom.llm.ngram_join import KEY, _pack, _unpack, ngram_components
+from tickerloom.llm.ngram_join import KEY, _may_link, _pack, _prefixes, _unpack, ngram_components
 
 
 def tokens(text):
@@ -86,6 +86,25 @@ def test_a_set_in_a_bucket_takes_nine_bytes():
     assert [len(x) for x in _unpack(empty)[:2]] == [0, 0]
 
 
+def test_prefix_rows_are_five_numbers(spark):
+    """The suffix filter's counts go with every prefix shingle through each join; more than 255 in a part are left out."""
+    sets = [(1, 40, np.arange(0, 320, 8, dtype=np.uint64)), (2, 3000, np.arange(3000, dtype=np.uint64))]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([[1, 2], [40, 3000], [k.tobytes() for *_, k in sets]], (pa.int64(), pa.int64(), pa.binary()))], names=["set", "n", "shared"])
+    first, second = _prefixes(75)(iter([batch]))
+    assert first.schema.types == [pa.int64()] * 5 and set(first.column("parts").to_pylist()) == {40}
+    assert set(second.column("parts").to_pylist()) == {None}
+    rows = spark.createDataFrame([(40, 0, 40), (39, 0, 39 << 56), (40, 0, None), (20, 0, 40 << 8)], "n long, at long, parts long")
+    x, y = rows.where("n = 40 and parts = 40").alias("x"), rows.alias("y")
+    met = x.join(y, _may_link("x", "y", 75)).select("y.n", "y.parts").collect()
+    assert sorted(map(tuple, met), key=str) == [(40, 40), (40, None)]
+
+
+def test_large_sets_that_differ_little(make_docs):
+    long = [f"w{k}" for k in range(4000)]
+    texts = [" ".join(long), " ".join(long[:2000] + ["x"] + long[2000:]), " ".join(long[1500:]), " ".join(long[:3600])]
+    assert got(make_docs(texts)) == brute(texts)
+
+
 def test_given_documents(sample):
     rows = {r["doc_id"]: r["text"] for r in sample("documents").collect()}
     ids = sorted(rows)

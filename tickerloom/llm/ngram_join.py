@@ -34,7 +34,7 @@ KEY = 6
 #: so many times finer are the buckets of sets.
 BUCKET_BYTES = 16 << 20
 FINER = 2
-#: Parts that the suffix filter cuts a set into.
+#: Parts that the suffix filter cuts a set into, a byte of a long each; it passes over sets with more than 255 in one.
 PARTS = 8
 #: While more pairs than this would meet on a shingle on average, sets are first compared with one more central set.
 PAIRS_A_TOKEN = 16
@@ -252,8 +252,9 @@ def _gather(bits: int, percent: int):
 
 
 def _prefixes(percent: int):
-    """Rows (token, set, n, at, parts) of the shared shingles in each prefix; ``at`` counts the rarer shingles."""
-    schema = pa.schema([("token", pa.int64()), ("set", pa.int64()), ("n", pa.int64()), ("at", pa.int64()), ("parts", pa.list_(pa.int32()))])
+    """Rows (token, set, n, at, parts) of the shared shingles in each prefix; ``at`` counts the rarer shingles, ``parts``
+    has a byte for the number of shared shingles in each part, null if one is too large."""
+    schema = pa.schema([(n, pa.int64()) for n in ("token", "set", "n", "at", "parts")])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,9 +263,10 @@ def _prefixes(percent: int):
                 alone, reach = n - len(key), n - -(-percent * n // 100) + 1
                 key = key[: reach - alone]
                 m = len(key)
-                parts = np.bincount((np.frombuffer(blob, np.uint64) & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).tolist()
+                parts = np.bincount((np.frombuffer(blob, np.uint64) & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
+                parts = int(parts.astype(np.uint8).view(np.int64)[0]) if parts.max() < 256 else None
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array([name] * m), pa.array([n] * m), pa.array(alone + np.arange(m)), pa.array([parts] * m, schema.field(4).type)],
+                    [pa.array(key.view(np.int64)), pa.array([name] * m), pa.array([n] * m), pa.array(alone + np.arange(m)), pa.array([parts] * m, pa.int64())],
                     schema=schema,
                 )
 
@@ -316,11 +318,12 @@ def _may_link(x: str, y: str, percent: int):
     c = lambda side, name: F.col(f"{side}.{name}")
     need = percent * (c(x, "n") + c(y, "n"))  # (100 + percent) * overlap must reach it
     rest = F.least(c(x, "n") - c(x, "at"), c(y, "n") - c(y, "at"))
-    parts = F.aggregate(F.zip_with(c(x, "parts"), c(y, "parts"), lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
+    each = lambda side, k: F.shiftright(c(side, "parts"), 8 * k).bitwiseAND(255)
+    parts = sum(F.when(each(x, k) < each(y, k), each(x, k)).otherwise(each(y, k)) for k in range(PARTS))
     return (
         (100 * F.least(c(x, "n"), c(y, "n")) >= percent * F.greatest(c(x, "n"), c(y, "n")))
         & ((100 + percent) * rest >= need)
-        & ((100 + percent) * parts >= need)
+        & (c(x, "parts").isNull() | c(y, "parts").isNull() | ((100 + percent) * parts >= need))
     )
 
 
@@ -335,7 +338,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     folder = shared_folder(docs.sparkSession)
     table = stored(shingle_table(docs, id_col, text_col, size, percent, buckets), folder, "sets")
     sets = table.where("shared is not null").select("set", "n", "shared")
-    rows = stored(sets.mapInArrow(_prefixes(percent), "token long, set long, n long, at long, parts array<int>"), folder, "prefixes")
+    rows = stored(sets.mapInArrow(_prefixes(percent), "token long, set long, n long, at long, parts long"), folder, "prefixes")
     links, label = _central_links(rows, sets, percent, folder)
     x, y = label(rows).alias("x"), label(rows).alias("y")
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.home") < F.col("y.home")) & _may_link("x", "y", percent))
