@@ -4,12 +4,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tickerloom.llm import words
 from tickerloom.llm.components import connected_components
-from tickerloom.llm.ngram_join import KEY, _may_link, _pack, _prefixes, _unpack, ngram_components
+from tickerloom.llm.ngram_join import KEY, _count, _Dealer, _gather, _may_link, _pack, _prefixes, _unpack, ngram_components
 
 
 def tokens(text):
@@ -86,6 +87,27 @@ def test_a_set_in_a_bucket_takes_nine_bytes():
     assert [len(x) for x in _unpack(empty)[:2]] == [0, 0]
 
 
+def test_a_bucket_sends_one_row_to_each_other():
+    """Many near copies share shingles of every bucket; rows are by pairs of buckets, not by pieces of them, too."""
+    rng, bits = random.Random(1), 3
+    base = [f"w{k}" for k in range(300)]
+    texts = [" ".join(base[: rng.randrange(200, 300)] + [f"x{k}"]) for k in range(200)]
+    dealer = _Dealer(bits, 5)
+    dealer.add(pa.array(range(200)), pa.array(texts))
+    dealt = pa.Table.from_batches([dealer.flush()])
+    assert dealt.num_rows <= 2 << bits
+    counted = [_count(bits)(dealt.filter(pc.equal(dealt.column("bucket"), b))) for b in range(1 << bits)]
+    assert all(t.num_rows <= (1 << bits) + 1 for t in counted)
+    counted = pa.concat_tables(counted)
+    found = [_gather(bits, 75)(counted.filter(pc.equal(counted.column("home"), h))) for h in range(1 << bits)]
+    rows = pa.concat_tables(found).to_pylist()
+    assert sorted((r["id"], r["n"]) for r in rows if r["shared"] is None) == [(k, len(shingles(t))) for k, t in enumerate(texts)]
+    names = {r["set"]: r["id"] for r in rows if r["shared"] is None}
+    every = collections.Counter(x for s in map(shingles, {t: t for t in texts}) for x in s)
+    want = {k: sum(every[x] > 1 for x in shingles(t)) for k, t in enumerate(texts)}
+    assert {names[r["set"]]: len(r["shared"]) // 8 for r in rows if r["shared"] is not None} == want
+
+
 def test_prefix_rows_are_five_numbers(spark):
     """The suffix filter's counts go with every prefix shingle through each join; more than 255 in a part are left out."""
     sets = [(1, 40, np.arange(0, 320, 8, dtype=np.uint64)), (2, 3000, np.arange(3000, dtype=np.uint64))]

@@ -30,8 +30,8 @@ MANY = 64
 HELD = 1_000_000
 #: Bytes of a shingle's hash that are sent, after the bits that name its bucket.
 KEY = 6
-#: Bytes of text for each bucket of shingles: some 25 MB of packed shingles. A bucket is counted in 2 ** FINER pieces, and
-#: so many times finer are the buckets of sets.
+#: Bytes of text for each bucket of shingles: some 25 MB of packed shingles. There are as many buckets of sets, and what one
+#: sends to another is one row. A bucket of either kind is worked on in 2 ** FINER pieces.
 BUCKET_BYTES = 16 << 20
 FINER = 2
 #: Parts that the suffix filter cuts a set into, a byte of a long each; it passes over sets with more than 255 in one.
@@ -130,15 +130,15 @@ class _Dealer:
         bucket, low = _split(key, self.bits)
         order = np.lexsort((low, owner, bucket))
         owner, low, bucket = owner[order], low[order], bucket[order]
-        home = _split(common["set"], self.bits + FINER)[0]
+        home = _split(common["set"], self.bits)[0]
         order = np.argsort(home, kind="stable")
         common, home = common[order], home[order]
         name, at = np.unique(rows["set"], return_index=True)  # in order, so by their buckets too
         sizes = np.zeros(len(name), _SIZE)
         sizes["set"], sizes["n"] = name, rows["n"][at]
         sizes = sizes[sizes["n"] > 0]
-        own = _split(sizes["set"], self.bits + FINER)[0]
-        turn = ((np.arange(len(rows)) + self.dealt) % (1 << self.bits + FINER)).astype(np.uint64)
+        own = _split(sizes["set"], self.bits)[0]
+        turn = ((np.arange(len(rows)) + self.dealt) % (1 << self.bits)).astype(np.uint64)
         self.dealt += len(rows)
         order = np.argsort(turn, kind="stable")
         rows, turn = rows[order], turn[order]
@@ -148,7 +148,7 @@ class _Dealer:
             out.append((int(b), None, _pack(owner[lo:hi], low[lo:hi]), None, None, None))
         for h in np.unique(np.concatenate([home, own, turn])):
             parts = (x[slice(*np.searchsorted(at, [h, h + np.uint64(1)]))].tobytes() for x, at in ((common, home), (sizes, own), (rows, turn)))
-            out.append((int(h) >> FINER, int(h), None, *parts))
+            out.append((int(h), int(h), None, *parts))
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _DEALT)], schema=_DEALT)
 
 
@@ -172,8 +172,8 @@ _FIELDS = "bucket int, home int, items binary, common binary, sizes binary, rows
 
 
 def _count(bits: int):
-    """One bucket of shingles: those in two sets or more, with that number (``MANY`` at most), packed for the buckets
-    of their sets; what is meant for these goes on. A bucket is counted in pieces, which bounds what is unpacked at once."""
+    """One bucket of shingles: those in two sets or more, with that number (``MANY`` at most), packed in one row for each
+    bucket of their sets; what is meant for these goes on. A bucket is counted in pieces, which bounds what is unpacked at once."""
 
     def piece(blobs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
         found = []
@@ -189,7 +189,7 @@ def _count(bits: int):
         b = table.column("bucket")[0].as_py()
         meant = pc.is_valid(table.column("home"))
         blobs = table.column("items").filter(pc.invert(meant)).to_pylist()
-        out = [table.filter(meant)]
+        found = []
         for k in range(1 << FINER) if blobs else ():
             owner, low = piece(blobs, k)
             fresh = np.ones(len(low), bool)
@@ -197,17 +197,18 @@ def _count(bits: int):
             owner, low = owner[fresh], low[fresh]
             n = np.repeat(*[_runs(low)[1]] * 2)
             shared = n > 1
-            owner, low, n = owner[shared], low[shared], np.minimum(n[shared], MANY).astype(np.uint8)
-            home = _split(owner, bits + FINER)[0]
-            order = np.lexsort((owner, home))
-            owner, low, n, home = owner[order], low[order], n[order], home[order]
-            found = []
+            found.append((owner[shared], low[shared], np.minimum(n[shared], MANY).astype(np.uint8)))
+        out = []
+        if found:  # of all pieces on end: a row for each bucket of sets, not one for each piece and bucket
+            owner, low, n = (np.concatenate(c) for c in zip(*found))
+            order = np.argsort(owner, kind="stable")
+            owner, low, n = owner[order], low[order], n[order]
+            home = _split(owner, bits)[0]
             for h in np.unique(home):
                 lo, hi = np.searchsorted(home, [h, h + np.uint64(1)])
-                found.append((b, int(h), _pack(owner[lo:hi], low[lo:hi], n[lo:hi]), None, None, None))
-            if found:
-                out.append(pa.table([pa.array(c, t.type) for c, t in zip(zip(*found), _DEALT)], schema=_DEALT))
-        return pa.concat_tables(t.select(_DEALT.names).cast(_DEALT) for t in out)
+                out.append((b, int(h), _pack(owner[lo:hi], low[lo:hi], n[lo:hi]), None, None, None))
+        counted = pa.table([pa.array(c, t.type) for c, t in zip(zip(*out) if out else [[]] * len(_DEALT), _DEALT)], schema=_DEALT)
+        return pa.concat_tables([table.filter(meant).select(_DEALT.names).cast(_DEALT), counted])
 
     return count
 
@@ -216,17 +217,20 @@ _SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set", pa.int64()), (
 
 
 def _gather(bits: int, percent: int):
-    """The rows of one bucket of sets, and its sets whose prefix holds a shared shingle, with their shared shingles, rare first."""
+    """The rows of one bucket of sets, and its sets whose prefix holds a shared shingle, with their shared shingles, rare
+    first. Its sets are put together in pieces, by the bits after those that name the bucket."""
 
-    def gather(table: pa.Table) -> pa.Table:
-        rows, common, sizes = (
-            np.frombuffer(b"".join(x.as_py() or b"" for x in table.column(c)), kind) for c, kind in (("rows", _ROW), ("common", _COMMON), ("sizes", _SIZE))
-        )
+    def piece(set_: np.ndarray, k: int) -> np.ndarray:
+        return (set_ << np.uint64(bits)) >> np.uint64(64 - FINER) == k
+
+    def able(table: pa.Table, common: np.ndarray, sizes: np.ndarray, k: int) -> tuple:
+        common, sizes = common[piece(common["set"], k)], sizes[piece(sizes["set"], k)]
         parts = [(common["set"], common["key"] >> np.uint64(64 - bits - 8 * KEY), np.full(len(common), MANY, np.uint8))]
         for x, b in zip(table.column("items"), table.column("bucket")):
             if x.as_py() is not None:
                 owner, low, n = _unpack(x.as_py(), np.uint8)
-                parts.append((owner, low | np.uint64(b.as_py() << 8 * KEY), n))
+                mine = piece(owner, k)
+                parts.append((owner[mine], low[mine] | np.uint64(b.as_py() << 8 * KEY), n[mine]))
         owner, key, n = (np.concatenate(c) for c in zip(*parts))
         order = np.lexsort((key, n, owner))
         owner, key = owner[order], key[order]
@@ -237,13 +241,20 @@ def _gather(bits: int, percent: int):
         name, at = np.unique(sizes["set"], return_index=True)
         size = sizes["n"][at].astype(np.int64)[np.searchsorted(name, owner[first])]
         able = np.flatnonzero(size - count < size + (-percent * size) // 100 + 1)  # n - ceil(percent n / 100) + 1
-        shared = [key[first[k] : first[k] + count[k]].tobytes() for k in able]
+        return size[able], owner[first[able]], [key[first[i] : first[i] + count[i]].tobytes() for i in able]
+
+    def gather(table: pa.Table) -> pa.Table:
+        rows, common, sizes = (
+            np.frombuffer(b"".join(x.as_py() or b"" for x in table.column(c)), kind) for c, kind in (("rows", _ROW), ("common", _COMMON), ("sizes", _SIZE))
+        )
+        found = [able(table, common, sizes, k) for k in range(1 << FINER)]
+        size, name = (np.concatenate([f[i] for f in found]) for i in (0, 1))
         return pa.table(
             [
-                pa.concat_arrays([pa.array(rows["id"], pa.int64(), mask=~rows["known"]), pa.nulls(len(able), pa.int64())]),
-                pa.array(np.concatenate([rows["n"].astype(np.int64), size[able]])),
-                pa.array(np.concatenate([rows["set"], owner[first[able]]]).view(np.int64)),
-                pa.array([None] * len(rows) + shared, pa.binary()),
+                pa.concat_arrays([pa.array(rows["id"], pa.int64(), mask=~rows["known"]), pa.nulls(len(name), pa.int64())]),
+                pa.array(np.concatenate([rows["n"].astype(np.int64), size])),
+                pa.array(np.concatenate([rows["set"], name]).view(np.int64)),
+                pa.array([None] * len(rows) + [x for f in found for x in f[2]], pa.binary()),
             ],
             schema=_SETS,
         )
