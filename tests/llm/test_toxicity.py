@@ -100,6 +100,14 @@ def test_packed_counts_and_keys():
         assert sum(z - a for _, a, z in keys.parts(x)) == 5000
 
 
+def test_large_counts_take_three_bytes_and_few_buckets_are_asked():
+    """Most words of a slice have a large count in a large corpus, and what goes with each bucket's answer adds up."""
+    counts = np.array([0, 254, 255, 300, 65534, 65535, 2**40] * 40)
+    blob = toxicity.packed_counts(counts)
+    assert len(blob) == 280 + 2 * 200 + 8 * 80 and (toxicity.unpacked_counts(blob, 280) == counts).all()
+    assert 1 << toxicity.Keys(800_000_000).bits <= 128
+
+
 def test_words():
     def words_in(text):
         data = text.encode()

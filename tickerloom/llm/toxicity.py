@@ -42,8 +42,8 @@ TIERS = (2, 8)
 FEATURES = ["whole", "run", "word_rare", "word_known", "word_frequent", "pair_rare", "pair_known", "pair_frequent", "unknown", "length"]
 #: Labelled rows that the logistic function is fitted on, at most.
 FIT_ROWS = 20_000
-#: Bytes of text for each bucket of keys, and bounds of the number of buckets as powers of two.
-BUCKET_BYTES, BUCKET_BITS = 2 << 20, (6, 16)
+#: Bytes of text for each bucket of keys, some million questions, and bounds of the number of buckets as powers of two.
+BUCKET_BYTES, BUCKET_BITS = 8 << 20, (6, 16)
 #: Bytes of text whose words are found at a time.
 PIECE = 1 << 17
 #: What comes before the first word of a text.
@@ -102,7 +102,7 @@ class Pairs:
         # A pair's key follows from its words' keys, so distinct pairs of places give distinct keys.
         keys = words.mix(self.word[context] * np.uint64(3) + tokens)
         del tokens, new
-        order = np.argsort(keys, kind="stable").astype(np.int32)
+        order = np.argsort(keys).astype(np.int32)
         keys = keys[order]
         first = np.ones(len(keys), bool)
         first[1:] = keys[1:] != keys[:-1]
@@ -114,19 +114,25 @@ class Pairs:
 
 
 def packed_counts(counts: np.ndarray) -> bytes:
-    """Whole numbers as bytes: one byte each, and those from 255 with their places at the end; nothing if all are 0."""
+    """Whole numbers as bytes: one byte each, which is 255 for those whose two bytes follow at the end, and these are 65535
+    for those that take eight bytes after them; nothing if all are 0."""
     if not counts.any():
         return b""
-    large = np.flatnonzero(counts >= 255)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + large.astype("<u4").tobytes() + counts[large].astype("<i8").tobytes()
+    large = counts[counts >= 255]
+    huge = large[large >= 65535]
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + np.minimum(large, 65535).astype("<u2").tobytes() + huge.astype("<i8").tobytes()
 
 
 def unpacked_counts(blob: bytes, n: int) -> np.ndarray:
     if not blob:
         return np.zeros(n, np.int64)
     out = np.frombuffer(blob, np.uint8, n).astype(np.int64)
-    large = (len(blob) - n) // 12
-    out[np.frombuffer(blob, "<u4", large, n)] = np.frombuffer(blob, "<i8", large, n + 4 * large)
+    if len(blob) > n:
+        large = np.flatnonzero(out == 255)
+        out[large] = np.frombuffer(blob, "<u2", len(large), n)
+        at = n + 2 * len(large)
+        if len(blob) > at:
+            out[large[out[large] == 65535]] = np.frombuffer(blob, "<i8", (len(blob) - at) // 8, at)
     return out
 
 
@@ -431,7 +437,7 @@ def with_toxicity(docs: DataFrame, counted: DataFrame, fitted: DataFrame, kept:
 
     def answered(asked: RDD, kinds: int, first: bool, name: str) -> DataFrame:
         table = slices.table(asked, _ASKED)
-        return stored(table.groupBy("bucket").applyInArrow(_answers(keys, kinds, first), _ANSWER), folder, name)
+        return stored(table.groupBy("bucket").applyInArrow(_answers(keys, kinds, first), _ANSWER), folder, name, "zstd")
 
     def with_answers(sides: DataFrame, table: DataFrame, kind: int, first: int, n: int) -> DataFrame:
         counts = F.slice("counts", first, n).alias("counts")
