@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import mixing, ngram_join, packing, private, queries, slices
+from tickerloom.llm import mixing, ngram_join, packing, private, queries
 from tickerloom.llm.storage import shared_folder, stored
 
 
@@ -39,18 +39,22 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document of each group that 5-word shingles with a Jaccard similarity of 0.75 link: that with the smallest id.
 
     Each row is judged by its own text, also if ids repeat; rows are told apart by their place in ``docs``, which a scan
-    gives alike each time. Of equal ids the first row stays, rows without an id come last. Rows without words are linked
-    with nothing and stay. Texts are not shuffled: their rows stay where they are, see ``slices``.
+    gives alike each time (a row that is read with another text than before is an error). Of equal ids the first row
+    stays, rows without an id come last. Rows without words are linked with nothing and stay. Texts go to the numbers of
+    the rows that stay by one join, without Python.
     """
     bounded_batches(spark)
     folder = shared_folder(spark)
-    rows = slices.Slices(docs, ["text"], "doc_id")
-    places = stored(rows.places().withColumn("number", slices.row_number()), folder, "places")
-    groups = stored(ngram_join.ngram_components(rows.numbered(), "number"), folder, "groups").where("n_shingles > 0")
-    ranked = places.join(groups, "number").select("component_id", F.struct(F.col("id").isNull().alias("none"), "id", "part", "slice", "row").alias("place"))
-    best = ranked.groupBy("component_id").agg(F.min("place").alias("place")).select("place.part", "place.slice", "place.row")
-    wordless = places.join(groups, "number", "left_anti").select("part", "slice", "row")
-    return rows.taken(places, best.union(wordless))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.monotonically_increasing_id().alias("_number"), F.xxhash64("text").alias("_mark"), *names)
+    places = stored(rows.select("_number", "_mark", F.col("doc_id").alias("id")), folder, "places")
+    groups = stored(ngram_join.ngram_components(rows.select("_number", "text"), "_number"), folder, "groups").where("n_shingles > 0")
+    ranked = places.join(groups, "_number").select("component_id", F.struct(F.col("id").isNull().alias("none"), "id", "_number", "_mark").alias("place"))
+    best = ranked.groupBy("component_id").agg(F.min("place").alias("place")).select("place._number", "place._mark")
+    wordless = places.join(groups, "_number", "left_anti").select("_number", "_mark")
+    kept = best.union(wordless).withColumnRenamed("_mark", "_seen")
+    moved = F.raise_error(F.lit("the rows came in another order than before: write the table first")).cast("boolean")
+    return rows.join(kept, "_number").where(F.when(F.col("_mark") == F.col("_seen"), True).otherwise(moved)).select(*names)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import collections
 import random
+import time
 
 import corpus_pipeline
 from test_ngram_join import brute
@@ -76,3 +77,24 @@ def test_one_of_each_group_with_equal_and_null_ids(spark, tmp_path):
     kept = corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path)).collect()
     want = [(1, one), (5, two), (7, three), (None, "x y z u v w"), (None, None), (8, ""), (8, "")]
     assert collections.Counter((r["doc_id"], r["text"]) for r in kept) == collections.Counter(want)
+
+
+def test_rows_that_stay_are_joined_without_python(spark, tmp_path):
+    """Texts went through three Python workers a task, which took the most memory of the stage."""
+    tables(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    plan = corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan or "BroadcastHashJoin" in plan
+    assert "ExistingRDD" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark, tmp_path):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    rows = spark.range(200_000).selectExpr("id % 70001 as k", "xxhash64(id) as v")
+    held = disk.getAllFiles().size()
+    table = stored(rows.groupBy("k").count(), str(tmp_path))
+    for _ in range(50):  # the files go in the background
+        if disk.getAllFiles().size() <= held:
+            break
+        time.sleep(0.1)
+    assert disk.getAllFiles().size() <= held and table.count() == 70_001

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import connected_components
-from .storage import give_back, shared_folder, shuffle_partitions, stored
+from .storage import give_back, giving_back, shared_folder, shuffle_partitions, stored
 
 #: A shingle in so many sets is common; more frequent ones are ordered by hash alone.
 MANY = 64
@@ -314,8 +314,8 @@ def shingle_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         buckets = max(shuffle_partitions(docs.sparkSession), total // BUCKET_BYTES)
     bits = max(1, (buckets - 1).bit_length())
     dealt = rows.mapInArrow(_deal(bits, size), _FIELDS)
-    counted = dealt.groupBy("bucket").applyInArrow(_count(bits), _FIELDS)
-    return counted.groupBy("home").applyInArrow(_gather(bits, percent), "id long, n long, set long, shared binary")
+    counted = dealt.groupBy("bucket").applyInArrow(giving_back(_count(bits)), _FIELDS)
+    return counted.groupBy("home").applyInArrow(giving_back(_gather(bits, percent)), "id long, n long, set long, shared binary")
 
 
 def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """Tables whose rows stay where they are: slices of some megabytes that small results are laid beside.
 
-A join would move all texts to the results. Here a slice is known by its partition and its number in it, a row by its
-number in the slice too. Results for them are sent to the partition of the same number and the two are read side by side.
+A join would move all texts to the results. Here a slice is known by its partition and its number in it. Results for it
+are sent to the partition of the same number and the two are read side by side.
 """
 
 from __future__ import annotations
@@ -12,15 +12,13 @@ from itertools import groupby
 
 from pyspark import RDD
 from pyspark.serializers import BatchedSerializer, CPickleSerializer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import give_back
 
 #: Characters of text of a slice, and rows of one; a longer text makes a slice of its own.
 SLICE, SLICE_ROWS = 3 << 19, 10_000
-#: Bits of a row's number for the slice and for the row in it.
-SLICE_BITS, ROW_BITS = 20, 20
 
 
 def text_of(path: list[str]):
@@ -75,11 +73,6 @@ def _gathered(rows: Iterator) -> Iterator[tuple]:
         yield part, number, list(group)
 
 
-def row_number() -> Column:
-    """A number for each row, from columns part, slice and row."""
-    return F.shiftleft(F.col("part").cast("long"), SLICE_BITS + ROW_BITS) + F.shiftleft(F.col("slice").cast("long"), ROW_BITS) + F.col("row")
-
-
 def _placed(path: list[str], id_col: str):
     def placed(item: tuple) -> Iterator[tuple]:
         part, number, rows = item
@@ -91,26 +84,6 @@ def _placed(path: list[str], id_col: str):
     return placed
 
 
-def _numbered(path: list[str]):
-    text = text_of(path)
-
-    def numbered(item: tuple) -> Iterator[tuple]:
-        part, number, rows = item
-        first = (part << SLICE_BITS + ROW_BITS) + (number << ROW_BITS)
-        return ((first + k, text(row)) for k, row in enumerate(rows))
-
-    return numbered
-
-
-def _taken(path: list[str]):
-    def taken(item: tuple) -> Iterator:
-        rows, (side,) = item
-        checked(rows, path, side["mark"])
-        return (rows[k] for k in sorted(side["rows"]))
-
-    return taken
-
-
 class Slices:
     """The slices of ``docs``, and tables of rows that are laid beside them, partition by partition.
 
@@ -148,14 +121,3 @@ class Slices:
     def places(self) -> DataFrame:
         """(part, slice, mark, row, id) of every row."""
         return self.table(self.rdd.flatMap(_placed(self.path, self.id_col)), "part int, slice int, mark long, row int, id long")
-
-    def numbered(self) -> DataFrame:
-        """(number, text) of every row, see ``row_number``."""
-        return self.table(self.rdd.flatMap(_numbered(self.path)), "number long, text string")
-
-    def taken(self, places: DataFrame, rows: DataFrame) -> DataFrame:
-        """The rows of the table whose (part, slice, row) ``rows`` lists, each once; ``places`` are those of all rows."""
-        lists = rows.groupBy("part", "slice").agg(F.collect_list("row").alias("rows"))
-        every = places.groupBy("part", "slice").agg(F.max("mark").alias("mark")).join(lists, ["part", "slice"], "left")
-        every = every.withColumn("rows", F.coalesce("rows", F.array().cast("array<int>")))
-        return self.table(self.beside(every, []).flatMap(_taken(self.path)), self.schema)

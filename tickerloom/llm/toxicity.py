@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from . import words
 from .characters import has_letter
 from .slices import Slices, checked
-from .storage import give_back, shared_folder, stored
+from .storage import give_back, giving_back, shared_folder, stored
 
 DISCOUNT = 0.75
 #: Words of the runs that are judged besides the whole text.
@@ -437,7 +437,7 @@ def with_toxicity(docs: DataFrame, counted: DataFrame, fitted: DataFrame, kept:
 
     def answered(asked: RDD, kinds: int, first: bool, name: str) -> DataFrame:
         table = slices.table(asked, _ASKED)
-        return stored(table.groupBy("bucket").applyInArrow(_answers(keys, kinds, first), _ANSWER), folder, name, "zstd")
+        return stored(table.groupBy("bucket").applyInArrow(giving_back(_answers(keys, kinds, first)), _ANSWER), folder, name, "zstd")
 
     def with_answers(sides: DataFrame, table: DataFrame, kind: int, first: int, n: int) -> DataFrame:
         counts = F.slice("counts", first, n).alias("counts")
