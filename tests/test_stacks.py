@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickerloom.operators import stacks
+from tickerloom.operators import models, stacks
 from tickerloom.operators import timeseries as ts
 from tickerloom.operators.macro import FX_COLUMNS
 from tickerloom.operators.stacks import over_symbols, tools
@@ -108,3 +108,25 @@ def test_other_types_take_the_windows(spark, make_bars):
     bars = make_bars([float(k) for k in range(40)]).withColumn("volume", F.lit(1).cast("decimal(9,2)"))
     out = over_symbols(bars, lambda df: df.withColumn("x", ts.cum_sum(tools(df)[1]("volume"))), NUMBERS)
     assert out.agg(F.max("x")).first()[0] == 40 and "Decimal" in str(out.schema["x"].dataType)
+
+
+@pytest.mark.parametrize("split", ["time", "stratified"])
+def test_training_needs_no_exchange_of_features(spark, tmp_path, split):
+    """Features are wide; models are fitted where they are made, with the rows and split of a stored table."""
+    odd_bars(spark).filter("symbol <> 'E'").write.parquet(str(tmp_path / "bars"))
+    bars, (fx, us, daily) = spark.read.parquet(str(tmp_path / "bars")), tables(spark)
+    table = features.build_features(bars, fx, us, daily, 20)
+    columns, day = features.feature_columns(), F.lit(D(2020, 1, 1))
+    out = models.train_models(table, columns, day, split)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "SMA_50" not in plan.split("MapInArrow")[1]
+    table.write.parquet(str(tmp_path / "features"))
+    stored = spark.read.parquet(str(tmp_path / "features"))
+    # A column of another type is split by windows.
+    other = stored.withColumn("target", F.col("target").cast("smallint"))
+    got = [{r.symbol: r for r in models.train_models(df, columns, day, split).collect()} for df in (table, stored, other)]
+    assert got[0].keys() == got[1].keys() == got[2].keys() and len(got[0]) > 1
+    for symbol, a in got[0].items():
+        for b in (got[1][symbol], got[2][symbol]):
+            assert (a.rows, a.epochs_trained, a.val_auc, a.train_auc) == (b.rows, b.epochs_trained, pytest.approx(b.val_auc), pytest.approx(b.train_auc))
+            assert np.allclose(a.weights, b.weights) and np.allclose(a.center, b.center)
