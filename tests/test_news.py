@@ -4,9 +4,12 @@ import datetime as dt
 import random
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from test_text import plain_jaro_winkler
 
+from tickerloom.functions import jaro
 from tickerloom.operators import matching, ranks, sentiment, upsert
 from tickerloom.plans import news as plan
 from tickerloom.sources import articles as store
@@ -350,3 +353,22 @@ def test_matches_are_not_sent_to_the_driver(spark, tmp_path):
     articles, matches = (spark.read.parquet(str(tmp_path / n)) for n in "am")
     kept = plan.with_matches(articles, matches)
     assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString() and kept.count() == 5
+
+
+def test_bounds_from_words_lose_no_run():
+    """Runs are bounded by the characters of their words; odd letters, many equal ones, short first words, three words."""
+    rng = np.random.default_rng(12)
+    known = ["A", "AB", "ABBBBBBBC", "ÇELİK", "ÇELIK", "XXXXXXXXX", "XXXXXXX", "HOLDING", "HOLDİNG", "T", "T\U0001f600T", "ABABABABAB", "ZORLU"]
+    for n, count in ((1, 13), (2, 150), (3, 400)):
+        ids = [np.arange(13)] if n == 1 else list(rng.integers(0, 13, (n, count)))
+        texts = [" ".join(known[i] for i in row) for row in zip(*ids)]
+        names = list(dict.fromkeys(texts))[::3] + [x[:-1] + "Q" for x in texts[::7] if len(x) > 1]
+        runs = matching._Runs(np.array(ids), known, matching._planes(known), matching._starts(known))
+        for threshold in (0.7, 0.88):
+            got = {(int(a), int(b)): s for a, b, s in zip(*matching._close_pairs(names, runs, threshold))}
+            want = {}
+            for k, name in enumerate(names):
+                for i, s in enumerate(jaro.similarity([name] * len(texts), texts)):
+                    if s >= threshold:
+                        want[k, i] = s
+            assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], abs=1e-12) for p in want)
