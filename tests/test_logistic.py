@@ -107,3 +107,19 @@ def test_symbols_do_not_depend_on_the_stacks(spark, monkeypatch):
     assert len(together) == 30 and sum(r.rows for r in together.values()) == len(rows)
     for s, r in together.items():
         assert np.allclose(r.weights, alone[s].weights, atol=1e-8) and r.rows == alone[s].rows
+
+
+def test_ablation_leaves_no_shuffle_files_and_exchanges_no_features(spark, tmp_path):
+    """Its rows are as wide as all features; they are split in the pass that makes them, and scores go some models a time."""
+    df, _, _ = table(spark)
+    rows, used = models.ablation_rows(df.withColumn("e", F.col("e") + 1), {"one": COLUMNS}, "stratified")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert used == COLUMNS and plan.count("MapInArrow") == 1 and "Window" not in plan
+    by_windows, _ = models.ablation_rows(df.withColumn("e", F.col("e") + 1).withColumn("target", F.col("target").cast("smallint")), {"one": COLUMNS})
+    assert rows.schema.simpleString() == by_windows.schema.simpleString() and rows.exceptAll(by_windows).isEmpty() and by_windows.exceptAll(rows).isEmpty()
+    groups = {n: [n] for n in COLUMNS}
+    every = {n: [n] for n in COLUMNS} | {"all": COLUMNS}
+    got = {r.combination: r for r in models.run_ablation(df, groups, every, str(tmp_path / "rows")).collect()}
+    assert got.keys() == every.keys() and got["a"].val_auc > got["d"].val_auc
+    assert {(r.train_rows, r.val_rows) for r in got.values()} == {(360, 40)}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
